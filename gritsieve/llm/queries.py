@@ -6,9 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import op9_byte_bpe
 from .near_dup import op10_simhash_near_dedup
+from .quality import op2_quality_rules
+from .secrets import op3_secret_scans
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality_rules": op2_quality_rules,
+    "op3_secret_scans": op3_secret_scans,
+    "op9_byte_bpe": op9_byte_bpe,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
