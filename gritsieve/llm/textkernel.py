@@ -28,7 +28,7 @@ NOT_SPACE = ~_SPACE
 #: Word bytes of ``alnum`` words: ASCII letters, digits and every non-ASCII byte.
 ALNUM = np.zeros(256, bool)
 ALNUM[48:58] = ALNUM[65:91] = ALNUM[97:123] = ALNUM[128:] = True
-#: ASCII lower case of every byte.
+#: ASCII lower case of every byte; words fold the accented capitals of Latin-1 besides.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SAME = np.arange(256, dtype=np.uint8)
@@ -99,10 +99,13 @@ class Words:
         self.end = np.flatnonzero(inside & ~after) + 1
         self.first = np.searchsorted(self.start, off)
         power, inverse = _powers(n + 1)
+        data = fold[data]
+        if fold is LOWER and n:
+            data[1:][(data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)] += 0x20
         with np.errstate(over="ignore"):
             total = np.empty(n + 1, np.uint64)
             total[0] = 0
-            np.cumsum(_BYTE[fold][data] * power[:n], out=total[1:])
+            np.cumsum(_BYTE[data] * power[:n], out=total[1:])
             self.hash = mix((total[self.end] - total[self.start]) * inverse[self.start] + (self.end - self.start).astype(np.uint64))
 
     def __len__(self) -> int:
