@@ -7,15 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op9_byte_bpe
+from .decontaminate import op5_benchmark_decontamination
 from .near_dup import op10_simhash_near_dedup
 from .quality import op2_quality_rules
 from .secrets import op3_secret_scans
+from .substring_dedup import SQL as REPEATS_SQL
+from .substring_dedup import op7_suffix_array_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_secret_scans": op3_secret_scans,
+    "op5_benchmark_decontamination": op5_benchmark_decontamination,
+    "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_suffix_array_dedup": REPEATS_SQL,
+}
