@@ -17,6 +17,8 @@ documents are ignored. Words are runs of ASCII letters, digits and non-ASCII cha
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -74,14 +76,15 @@ def _groups(rows: DataFrame, *keep: str) -> DataFrame:
         F.when(n >= K, F.sequence(F.lit(0), n - K)).otherwise(F.array().cast("array<int>")),
         lambda i: F.xxhash64(*[F.col("w")[i + j] for j in range(K)]),
     )
-    return rows.withColumn("hashes", made).select(*keep, "w", F.posexplode("hashes").alias("at", "h"))
+    # outer: for an inner explode the planner infers a filter that would cut the text into words anew for every group
+    return rows.withColumn("hashes", made).select(*keep, "w", F.posexplode_outer("hashes").alias("at", "h"))
 
 
 def template_positions(spark: SparkSession, templates: list[tuple[str, str]]) -> tuple[DataFrame, int]:
     """(template, license, size, q, h, gram) of every template group, and how many there are."""
     rows = [(i, name, text) for i, (name, text) in enumerate(templates)]
     table = spark.createDataFrame(rows, "template int, license string, text string").withColumn("w", words(F.col("text")))
-    made = _groups(table.withColumn("size", F.size("w")), "template", "license", "size")
+    made = _groups(table.withColumn("size", F.size("w")), "template", "license", "size").where("h is not null")
     made = made.select("template", "license", "size", F.col("at").alias("q"), "h", *[F.col("w")[F.col("at") + j].alias(f"t{j}") for j in range(K)])
     return made, sum(len(text) for _, text in templates)  # no more groups than characters
 
@@ -92,7 +95,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None) -> Dat
     positions, most = template_positions(docs.sparkSession, templates)
     rows = need(docs, "doc_id", "text").where(F.col("text").isNotNull()).select("doc_id", *row_key(F.col("text")), words(F.col("text")).alias("w"))
     met = _groups(rows, "doc_id", "_k1", "_k2").join(small_side(positions, most), "h")
-    met = met.where(F.reduce(F.array(*[F.col("w")[F.col("at") + j] == F.col(f"t{j}") for j in range(K)]), F.lit(True), lambda a, x: a & x))
+    met = met.where(functools.reduce(Column.__and__, [F.col("w")[F.col("at") + j] == F.col(f"t{j}") for j in range(K)]))
     met = met.select("doc_id", "_k1", "_k2", "template", "license", "size", "at", "q", (F.col("at") - F.col("q")).alias("diagonal")).distinct()
     doc = ["doc_id", "_k1", "_k2", "template", "license", "size"]
     voted = met.groupBy(*doc, "diagonal").agg(F.count("*").alias("votes"), F.min("at").alias("low"), F.max("at").alias("high"), F.collect_set("q").alias("q"))
