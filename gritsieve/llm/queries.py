@@ -16,6 +16,8 @@ from .secrets import op3_secret_scans
 from .substring_dedup import SQL as REPEATS_SQL
 from .substring_dedup import op7_suffix_array_dedup
 from .url_filter import op4_url_filters
+from .warc import SQL as WARC_SQL
+from .warc import op6_warc_salvage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scans": op1_license_scans,
@@ -23,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_secret_scans": op3_secret_scans,
     "op4_url_filters": op4_url_filters,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
+    "op6_warc_salvage": op6_warc_salvage,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
@@ -30,5 +33,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op1_license_scans": licenses_sql(),
+    "op6_warc_salvage": WARC_SQL,
     "op7_suffix_array_dedup": REPEATS_SQL,
 }
