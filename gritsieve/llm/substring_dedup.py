@@ -101,7 +101,7 @@ def repeated(pieces: list[bytes], counts: np.ndarray, seeds: np.ndarray, many: n
     suffixes = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts) + begin[owner]
     seed_of = np.zeros(len(text), np.uint64)
     seed_of[suffixes] = seeds[owner]
-    order = S.sort_bucket(text, suffixes, S.sample_ranks(text, length), seeds[owner])
+    order = S.sort_bucket(text, suffixes, S.sample_ranks(text), seeds[owner])
     same = np.zeros(len(order), bool)
     for a in range(0, len(order) - 1, 1 << 15):
         i, j = order[a : a + (1 << 15)], order[a + 1 : a + 1 + (1 << 15)]

@@ -49,8 +49,11 @@ def _dense(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return order, np.cumsum(new) + 1
 
 
-def sample_ranks(text: np.ndarray, least: int) -> np.ndarray:
-    """Rank of every sample position among the sample by its first ``least`` symbols or more (0 elsewhere and past the end)."""
+def sample_ranks(text: np.ndarray) -> np.ndarray:
+    """Rank of every sample position among the sample (0 elsewhere and past the end), by prefix doubling.
+
+    Ranks are told apart in full: if two could be equal, comparisons at different shifts might contradict each other.
+    """
     n = len(text)
     at = np.flatnonzero(np.isin(np.arange(n) % PERIOD, COVER))
     rank = np.zeros(n + 2 * PERIOD, np.int64)
@@ -59,7 +62,7 @@ def sample_ranks(text: np.ndarray, least: int) -> np.ndarray:
     order, dense = _dense(packed(text, at))
     rank[at[order]] = dense
     known = PERIOD
-    while known < least and dense[-1] < len(at):
+    while dense[-1] < len(at):
         key = rank[at] * (len(at) + 1) + rank[np.minimum(at + known, n + PERIOD)]  # at + known has the same residue
         order, dense = _dense([key])
         rank[at[order]] = dense
@@ -122,7 +125,7 @@ def _merge_classes(group: np.ndarray, rank: np.ndarray) -> np.ndarray:
 def suffix_array(text: np.ndarray, block: int = 1 << 16) -> np.ndarray:
     """The whole suffix array, a bucket of about ``block`` suffixes (a range of first symbols) at a time."""
     text = np.asarray(text, np.int64) + 1
-    rank = sample_ranks(text, len(text) + 1)
+    rank = sample_ranks(text)
     by = np.argsort(text, kind="stable")
     cuts = np.flatnonzero(np.concatenate([[True], text[by][1:] != text[by][:-1]])) if len(text) else np.zeros(0, np.int64)
     out, at = [], 0
