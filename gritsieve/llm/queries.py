@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op9_byte_bpe
 from .decontaminate import op5_benchmark_decontamination
+from .html_extract import op8_html_extraction
 from .licenses import op1_license_scans
 from .licenses import sql as licenses_sql
 from .near_dup import op10_simhash_near_dedup
@@ -27,6 +28,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_warc_salvage": op6_warc_salvage,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
+    "op8_html_extraction": op8_html_extraction,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
