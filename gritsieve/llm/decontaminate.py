@@ -3,8 +3,8 @@
 Texts and items are word shingles (3 folded words). A shingle's weight is the rounded log of its rarity among items; the
 similarity of a window and an item is the weighted Jaccard of their shingle multisets, and a match has at least ``least``.
 For an item of n words every window of n words of every document is a query (a shorter document is one window). Windows are
-screened without loss: shared weight is at most the weight of the window's shingles that any item has, so a window in which
-these weigh less than ``least`` of the whole can't match any item. What is left gets a 64-bit weighted SimHash; items of
+screened without loss: shared weight is at most the weight of the window's shingles that an item has, so a window in which
+these weigh less than ``least`` of the whole can't match any item; only shingles of items of the window's size count. What is left gets a 64-bit weighted SimHash; items of
 that size within ``RADIUS`` bits are found through 8 blocks of 8 bits, each probed on the item side with every value of at
 most one changed bit (15 differing bits leave one block with one or none, so none within the radius is missed), and the
 exact similarity decides.
@@ -78,22 +78,29 @@ def _item_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 class Weights:
     """Weight of every item shingle (of one slice), and that of any other."""
 
-    def __init__(self, h: np.ndarray, weight: np.ndarray, other: int):
+    def __init__(self, h: np.ndarray, weight: np.ndarray, sizes: np.ndarray, other: int):
         order = np.argsort(h)
         self.h, self.weight, self.other = h[order], weight[order].astype(np.int64), other
+        self.sizes = sizes[order].view(np.uint64)  # bit b: an item of a size that is b modulo 64 has it
         self.maybe = np.zeros(1 << 22, bool)
         self.maybe[h >> _U(42)] = True
 
-    def of(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(weights, whether an item has it)."""
-        weight, hit = np.full(len(h), self.other, np.int64), np.zeros(len(h), bool)
+    def of(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(weight of every shingle, places of those that items have, size bits of these)."""
+        weight, places, bits = np.full(len(h), self.other, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
         at = np.flatnonzero(self.maybe[h >> _U(42)])
         if len(at) and len(self.h):
             found = np.minimum(np.searchsorted(self.h, h[at]), len(self.h) - 1)
             same = self.h[found] == h[at]
-            weight[at[same]] = self.weight[found[same]]
-            hit[at[same]] = True
-        return weight, hit
+            places, bits = at[same], self.sizes[found[same]]
+            weight[places] = self.weight[found[same]]
+        return weight, places, bits
+
+
+def _between(places: np.ndarray, weight: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Sum of the weights of places in [low, high)."""
+    run = np.concatenate([[0], np.cumsum(weight)])
+    return run[np.searchsorted(places, high)] - run[np.searchsorted(places, low)]
 
 
 def windows(data: np.ndarray, off: np.ndarray, sizes: list[int], weights: Weights, least: float) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -103,24 +110,26 @@ def windows(data: np.ndarray, off: np.ndarray, sizes: list[int], weights: Weight
     count = np.diff(words.first)
     if not len(h):
         return
-    weight, hit = weights.of(h)
-    hits = np.concatenate([[0], np.cumsum(np.where(hit, weight, 0))])
+    weight, hit, bits = weights.of(h)
+    if not len(hit):
+        return
     total = np.concatenate([[0], np.cumsum(weight)])
     row = np.repeat(np.arange(len(count)), np.diff(first))
     end = first[1:][row]
     low = int(weights.weight.min()) if len(weights.weight) else 1
     shortest, longest = min(sizes) - K + 1, max(sizes) - K + 1
     at = np.arange(len(h))
-    reach = hits[np.minimum(at + longest, end)] - hits[at]
+    reach = _between(hit, weight[hit], at, np.minimum(at + longest, end))
     whole = first[:-1][row] == at
     need_weight = least * np.minimum(shortest, np.diff(first)[row]) * min(low, weights.other)
     at = at[(reach >= need_weight) & (reach > 0) & (count[row] >= K)]
     for size in sizes:
         n = size - K + 1
+        own_hit = hit[(bits >> _U(size % 64)) & _U(1) == 1]
         fits = at + n <= end[at]
         for part in (at[fits], at[~fits & whole[at] & (count[row[at]] < size)]):
             stop = np.minimum(part + n, end[part])
-            part = part[hits[stop] - hits[part] >= least * (total[stop] - total[part])]
+            part = part[_between(own_hit, weight[own_hit], part, stop) >= least * (total[stop] - total[part])]
             if not len(part):
                 continue
             for length in np.unique(np.minimum(n, end[part] - part)):
@@ -188,7 +197,7 @@ def matches_keyed(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -
     items = Stored(need(benchmark, "item_id", "text").where(F.col("text").isNotNull()).mapInArrow(_item_batches, f"item_id {kind}, size int, h array<long>")).df
     n, shingles = items.agg(F.count("*"), F.coalesce(F.sum(F.size("h")), F.lit(0))).first()
     slices = max(1, -(-shingles // SLICE))
-    rarity = items.select(F.explode(F.array_distinct("h")).alias("h")).groupBy("h").agg(F.greatest(F.lit(1), F.round(8 * F.log(1 + F.lit(n) / F.count("*")))).cast("long").alias("weight"))
+    rarity = items.select((F.col("size") % 64).alias("bit"), F.explode(F.array_distinct("h")).alias("h")).groupBy("h").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("sizes"), F.greatest(F.lit(1), F.round(8 * F.log(1 + F.lit(n) / F.count("*")))).cast("long").alias("weight"))
     other = max(1, round(8 * float(np.log(1 + n))))
     rows = need(docs, "doc_id", "text").where(F.col("text").isNotNull()).select("doc_id", "text", *row_key(F.col("text")))
     doc_kind = docs.schema["doc_id"].dataType.simpleString()
@@ -196,7 +205,7 @@ def matches_keyed(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -
     for s in range(slices):
         own = items if slices == 1 else items.where(F.pmod(F.xxhash64("size", "h"), F.lit(slices)) == s)
         table = (rarity if slices == 1 else rarity.join(own.select(F.explode("h").alias("h")).distinct(), "h", "left_semi")).toArrow()
-        weights = Weights(table["h"].to_numpy().view(np.uint64), table["weight"].to_numpy(), other)
+        weights = Weights(table["h"].to_numpy().view(np.uint64), table["weight"].to_numpy(), table["sizes"].to_numpy(), other)
         sizes = sorted(r[0] for r in own.select("size").distinct().collect())
         if not sizes:
             sizes = [K]
