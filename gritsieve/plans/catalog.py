@@ -5,6 +5,491 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from ..functions import globs, text
+from ..operators import findings as O
+from ..operators import identity, overrides, rules, suppress
+from ..sources import files, reports
+from . import corpora as C
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+_TRIM = lambda c: f"regexp_replace(regexp_replace({c}, '^[ \\t\\n\\r\\x00\\x0B]+', ''), '[ \\t\\n\\r\\x00\\x0B]+$', '')"
+_ASCII = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def flat(found: DataFrame) -> DataFrame:
+    """Findings with scalar columns only."""
+    line = F.get("locations", 0)["line"].alias("line")
+    return found.select("rule_id", "path", line, "score", "message", F.array_join("evidence", "|").alias("evidence"), F.size("locations").alias("places"))
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# -- text, files, globs
+
+
+@query("lines_physical_logical", f"""
+SELECT doc_id, CAST(CASE WHEN text = '' THEN 0 ELSE len(text) - len(replace(text, chr(10), '')) + CASE WHEN text LIKE '%' || chr(10) THEN 0 ELSE 1 END END AS INTEGER) AS line_count,
+  CAST(len(list_filter(string_split_regex(text, '\\r\\n|[\\n\\v\\f\\r\\x{{85}}\\x{{2028}}\\x{{2029}}]'), lambda x: {_TRIM('x')} <> '' AND NOT regexp_matches({_TRIM('x')}, '^(//|\\*)'))) AS INTEGER) AS logical_line_count FROM documents""")
+def _lines(spark, d):
+    return _table(spark, d, "documents").select("doc_id", text.physical_lines(F.col("text")).alias("line_count"), text.logical_lines(F.col("text")).alias("logical_line_count"))
+
+
+@query("content_hash", "SELECT doc_id, sha256(text) AS content_hash FROM documents")
+def _hash(spark, d):
+    return _table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("content_hash"))
+
+
+_EXT = "regexp_extract(lower(path), '(\\.[^./]*)$', 1)"
+_LANG = f"CASE WHEN {_EXT} IN ('.php', '.phtml', '.inc') THEN 'php' WHEN {_EXT} IN ('.md', '.markdown') THEN 'markdown' END"
+
+
+@query("language_detect", f"SELECT path, {_EXT} AS extension, {_LANG} AS language_id FROM ({C.FILES})")
+def _language(spark, d):
+    return C.corpus(spark, d, C.FILES).select("path", files.extension(F.col("path")).alias("extension"), files.language(F.col("path")).alias("language_id"))
+
+
+@query("glob_ignore", f"SELECT path, {_LANG} AS language_id FROM ({C.FILES}) WHERE {_LANG} IS NOT NULL AND NOT regexp_matches(path, '^(?:.*/)?vendor/.*$|^(?:.*/)?[^/]*\\.generated\\.[^/]*$')")
+def _ignore(spark, d):
+    return files.discovered(C.corpus(spark, d, C.FILES), ["**/vendor/**", "**/*.generated.*"]).select("path", "language_id")
+
+
+@query("glob_path_filter", f"SELECT path FROM ({C.FILES}) WHERE regexp_matches(path, '^src/[^/]*/en[^/]*/f.*$|^vendor/src1/.*$')")
+def _glob(spark, d):
+    return C.corpus(spark, d, C.FILES).where(globs.matches(F.col("path"), ["src/*/en*/f**", "vendor/src1/**"])).select("path")
+
+
+_DIR = "regexp_replace(path, '/[^/]*$', '')"
+
+
+@query("directory_records", f"SELECT {_DIR} AS directory, string_agg(path, '|' ORDER BY path) AS paths, CAST(count(*) AS INTEGER) AS file_count FROM ({C.FILES}) GROUP BY 1")
+def _directories(spark, d):
+    return files.directories(C.corpus(spark, d, C.FILES).select("path")).withColumn("paths", F.array_join("paths", "|"))
+
+
+@query("duplicate_documents", f"""
+SELECT body, CAST(count(*) AS BIGINT) AS copies, min(doc_id) AS first_id FROM (SELECT doc_id, regexp_replace({_ASCII.format(_TRIM('text'))}, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g') AS body FROM documents) GROUP BY body HAVING count(*) > 1""")
+def _duplicates(spark, d):
+    docs = _table(spark, d, "documents").select("doc_id", rules.normalized_body(F.col("text")).alias("body"))
+    return docs.groupBy("body").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id")).where("copies > 1")
+
+
+@query("html_comments", "SELECT page_id, CAST(i AS INTEGER) AS pos, c AS comment FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<!--.*?-->')) AS c, generate_subscripts(regexp_extract_all(html, '(?s)<!--.*?-->'), 1) - 1 AS i FROM pages)")
+def _html(spark, d):
+    return _table(spark, d, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit("(?s)<!--.*?-->"), F.lit(0))).alias("pos", "comment"))
+
+
+# -- comment rules
+
+_BODY = _TRIM(f"regexp_replace(regexp_replace({_TRIM('text')}, '^\\s*(?://|#|/\\*\\*?| \\*)\\s?', ''), '\\s*\\*/\\s*$', '')")
+_FLAT = "line, CAST({} AS DOUBLE) AS score, {} AS message, {} AS evidence, CAST({} AS INTEGER) AS places"
+
+
+def _comment_sql(rule: str, where: str, score: float, message: str) -> str:
+    return f"SELECT '{rule}' AS rule_id, path, {_FLAT.format(score, repr(message), _TRIM('text'), 1)} FROM (SELECT *, {_BODY} AS body FROM ({C.COMMENTS})) WHERE {where}"
+
+
+def _with_comments(spark: SparkSession, d: str) -> DataFrame:
+    """Comments gathered by file, as facts hold them."""
+    rows = C.corpus(spark, d, C.COMMENTS)
+    return rows.groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text", "line"))), lambda c: F.struct(c["text"].alias("text"), c["line"].alias("line"))).alias("comments"))
+
+
+_IDS = "[a-z0-9_]+(?:[.-][a-z0-9_]+)*(?:\\s*,\\s*[a-z0-9_]+(?:[.-][a-z0-9_]+)*)*"
+_TAIL = _TRIM("regexp_extract(body, '(?i)@(phpstan-ignore(?:-(?:next-)?line)?)\\b([^\\r\\n]*)', 2)")
+_DIRECTIVE = "lower(regexp_extract(body, '(?i)@(phpstan-ignore(?:-(?:next-)?line)?)\\b', 1))"
+_SCOPED = f"regexp_matches({_TAIL}, '(?i)^{_IDS}(?:\\s+\\([^()\\r\\n]+\\))?$')"
+_CONTEXT = f"((strlen({_TAIL}) > 1 AND {_SCOPED}) OR regexp_matches({_TAIL}, '^(?:[A-Za-z][A-Za-z0-9 _.,:-]+|\\([^()\\r\\n]+\\))$'))"
+_ANY = "'(?i)@(phpstan-ignore(?:-(?:next-)?line)?|psalm-suppress|psalm-ignore-var|phpcsSuppress)\\b{}'"
+_BLANKET = f"{_DIRECTIVE} <> '' AND CASE WHEN {_DIRECTIVE} = 'phpstan-ignore' THEN NOT {_SCOPED} ELSE NOT {_CONTEXT} END"
+_UNEXPLAINED = f"regexp_matches(body, {_ANY.format('')}) AND NOT regexp_matches({_TRIM('regexp_extract(body, ' + _ANY.format('([^\\r\\n]*)') + ', 2)')}, '(?i)^{_IDS}\\s+\\([^()\\r\\n]+\\)$')"
+_CODE = "regexp_matches(body, '(?i)^(?:<\\?php\\b|return\\b|throw\\b|if\\s*\\(|elseif\\s*\\(|foreach\\s*\\(|for\\s*\\(|while\\s*\\(|switch\\s*\\(|case\\b|try\\b|catch\\s*\\(|\\$[A-Za-z_][A-Za-z0-9_]*(?:\\[[^\\]]+\\])?\\s*=|[A-Za-z_\\\\][A-Za-z0-9_\\\\]*\\s*\\([^)]*\\)\\s*;|\\}\\s*else\\b)') AND regexp_matches(body, '[;{}]')"
+
+for _rule, _where, _score, _message, _name in (
+    ("php.placeholder-comments", "regexp_matches(text, '(?i)\\b(todo|fixme|hack|placeholder|temporary|generated by ai)\\b')", 0.5, "Found placeholder-style PHP comment", "placeholder_comments"),
+    ("php.commented-out-code", _CODE, 0.75, "Found PHP comment that looks like disabled code", "commented_out_code"),
+    ("php.blanket-static-analysis-suppressions", _BLANKET, 0.75, "Found blanket PHPStan suppression without an identifier or reason", "blanket_suppressions"),
+):
+    query(_name, _comment_sql(_rule, _where, _score, _message))(lambda spark, d, r=_rule: flat(rules.fact_findings(_with_comments(spark, d), {r: {}})))
+
+
+@query("excessive_suppressions", f"""
+SELECT 'php.excessive-static-analysis-suppressions' AS rule_id, path, min(line) AS line, least(3.0, 0.5 * count(*))::DOUBLE AS score, 'Found excessive static-analysis suppression comments in one PHP file' AS message,
+  'suppressions=' || count(*) || '|threshold=3|lines=' || array_to_string(list(line ORDER BY pos)[1:8], ',') AS evidence, CAST(1 AS INTEGER) AS places
+FROM (SELECT *, {_BODY} AS body FROM ({C.COMMENTS})) WHERE {_UNEXPLAINED} GROUP BY path HAVING count(*) > 3""")
+def _excessive(spark, d):
+    return flat(rules.fact_findings(_with_comments(spark, d), {"php.excessive-static-analysis-suppressions": {}}))
+
+
+@query("stacked_suppressions", f"""
+WITH m AS (SELECT path, pos, line, regexp_matches(text, {_ANY.format('')}) AS s FROM ({C.COMMENTS})),
+b AS (SELECT *, CASE WHEN s AND NOT coalesce(lag(s) OVER w AND line = lag(line) OVER w + 1, false) THEN 1 ELSE 0 END AS begins FROM m WINDOW w AS (PARTITION BY path ORDER BY line, pos)),
+r AS (SELECT *, sum(begins) OVER (PARTITION BY path ORDER BY line, pos) AS run FROM b)
+SELECT 'php.stacked-static-analysis-suppressions' AS rule_id, path, min(line) AS line, least(2.5, 0.75 * count(*))::DOUBLE AS score, 'Found stacked static-analysis suppression comments above one PHP code site' AS message,
+  'suppressions=' || count(*) || '|lines=' || string_agg(CAST(line AS VARCHAR), ',' ORDER BY line) AS evidence, CAST(1 AS INTEGER) AS places FROM r WHERE s GROUP BY path, run HAVING count(*) >= 2""")
+def _stacked(spark, d):
+    return flat(rules.stacked(C.corpus(spark, d, C.COMMENTS), {}))
+
+
+@query("comment_body", f"SELECT path, pos, {_BODY} AS body FROM ({C.COMMENTS})")
+def _body(spark, d):
+    return C.corpus(spark, d, C.COMMENTS).select("path", "pos", text.comment_body(F.col("text")).alias("body"))
+
+
+_DIRECTIVES = f"""
+SELECT path, {_TRIM('id')} AS rule_id, line AS first, CAST(line + len(text) - len(replace(text, chr(10), '')) AS INTEGER) AS last
+FROM (SELECT path, line, text, unnest(string_split(regexp_extract(tail, '(?i)^({_IDS})(?:\\s*\\([^()\\r\\n]+\\))?$', 1), ',')) AS id
+      FROM (SELECT *, {_TRIM("regexp_extract(body, '(?i)@quality-ignore\\b([^\\r\\n]*)', 1)")} AS tail FROM (SELECT *, {_BODY} AS body FROM ({C.COMMENTS})))) WHERE {_TRIM('id')} <> ''"""
+
+
+@query("inline_directives", _DIRECTIVES)
+def _directives(spark, d):
+    return suppress.directives(C.corpus(spark, d, C.COMMENTS))
+
+
+@query("inline_suppressed", f"""
+WITH f AS (SELECT CASE o_orderkey % 3 WHEN 0 THEN 'rule.one' WHEN 1 THEN 'rule.two' ELSE 'rule.three' END AS rule_id, 'src/mod' || CAST(o_custkey % 50 AS VARCHAR) || '.php' AS path, CAST(o_orderkey % 400 + 1 AS INTEGER) AS line, o_orderkey AS k FROM orders)
+SELECT k, rule_id, path, line FROM f WHERE NOT EXISTS (SELECT 1 FROM ({_DIRECTIVES}) x WHERE x.path = f.path AND x.rule_id = f.rule_id AND f.line BETWEEN x.first AND x.last + 1)""")
+def _suppressed(spark, d):
+    orders = _table(spark, d, "orders")
+    k = F.col("o_orderkey")
+    rows = orders.select(
+        F.when(k % 3 == 0, "rule.one").when(k % 3 == 1, "rule.two").otherwise("rule.three").alias("rule_id"), F.lit("m").alias("message"), F.concat(F.lit("src/mod"), (F.col("o_custkey") % 50).cast("string"), F.lit(".php")).alias("path"),
+        (k % 400 + 1).cast("int").alias("line"), F.lit("e").alias("item"), F.lit(1.0).alias("score"), k.alias("k"),
+    )
+    kept = suppress.inline_suppressed(C.findings(rows), suppress.directives(C.corpus(spark, d, C.COMMENTS)))
+    return kept.select(F.col("ord.a").alias("k"), "rule_id", "path", F.col("locations")[0]["line"].alias("line"))
+
+
+# -- Markdown
+
+_KEYS = "summary|overview|change|changes|implementation|testing|validation|next steps|follow-up|note|notes|status|checklist|plan|completed work|remaining work"
+_PROCESS = "implemented|updated|added|removed|validated|completed|remaining work|follow-up|next steps|this document|the following changes|successfully"
+_BULLET = "(?:[-*+]|[0-9]+\\.)\\s+"
+_SIGNALS = f"""
+SELECT path, CAST(pos AS INTEGER) AS pos, line, fence, inside, content, content AND regexp_matches(line, '^{_BULLET}\\[[ xX]\\]') AS checklist, content AND heading AS heading,
+  fence OR (content AND (regexp_matches(line, '`[^`]+`') OR regexp_matches(line, '\\[[^\\]]+\\]\\([^)]+\\)') OR regexp_matches(line, '(?:^|[\\s(])(?:\\.{{0,2}}/)?(?:[A-Za-z0-9_.-]+/)+[A-Za-z0-9_.-]+\\.[A-Za-z0-9]+(?:[:#][0-9]+)?')
+    OR regexp_matches(line, '(?i)(?:^|\\s)(?:composer|php|vendor/bin/[A-Za-z0-9_.-]+|bin/[A-Za-z0-9_.-]+)\\b'))) AS anchor,
+  content AND boiler AS boilerplate, content AND NOT boiler AND NOT regexp_matches(line, '^{_BULLET}\\[[ xX]\\]') AND words >= 8 AS descriptive
+FROM (SELECT *, NOT fence AND NOT inside AND line <> '' AS content, regexp_matches(line, '(?i)^(?:#+\\s*)?(?:{_KEYS})\\b') AS heading,
+    regexp_matches(line, '(?i)^(?:#+\\s*)?(?:{_KEYS})\\b') OR regexp_matches(line, '(?i)^{_BULLET}(?:\\[[ xX]\\]\\s*)?(?:{_KEYS})\\b') OR regexp_matches(line, '(?i)\\b(?:{_PROCESS})\\b') AS boiler,
+    len(regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(line, '[^A-Za-z0-9''-]+', ' ', 'g'), '^[''-]+', ''), '-$', ''), '[A-Za-z''-]+')) AS words
+  FROM (SELECT *, NOT fence AND sum(CASE WHEN fence THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY pos) % 2 = 1 AS inside
+    FROM (SELECT path, pos, {_TRIM('raw')} AS line, regexp_matches({_TRIM('raw')}, '^(?:```|~~~)') AS fence
+      FROM (SELECT path, unnest(t) AS raw, generate_subscripts(t, 1) - 1 AS pos FROM (SELECT path, string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)) AS t FROM ({C.MD_FILES}))))))
+"""
+
+
+@query("md_line_signals", _SIGNALS)
+def _signals(spark, d):
+    return rules.line_signals(C.corpus(spark, d, C.MD_FILES))
+
+
+@query("md_fence_state", f"SELECT path, count(*) FILTER (fence) AS fences, count(*) FILTER (inside) AS inside, count(*) FILTER (content) AS content FROM ({_SIGNALS}) GROUP BY path")
+def _fences(spark, d):
+    return rules.line_signals(C.corpus(spark, d, C.MD_FILES)).groupBy("path").agg(F.count_if("fence").alias("fences"), F.count_if("inside").alias("inside"), F.count_if("content").alias("content"))
+
+
+_LOW = f"""
+SELECT 'markdown.low-signal' AS rule_id, path, CAST(coalesce(first, 1) AS INTEGER) AS line, CAST(0.75 AS DOUBLE) AS score, 'Found Markdown document dominated by generic process scaffolding with few repo-specific anchors' AS message,
+  'filename=' || name || '|boilerplateLines=' || b || '|genericHeadings=' || h || '|checklistLines=' || k || '|repoAnchors=' || a || CASE WHEN art THEN '|filenamePattern=generic-artifact' ELSE '' END AS evidence, CAST(1 AS INTEGER) AS places
+FROM (SELECT *, b + CASE WHEN art THEN 1 ELSE 0 END AS e FROM (SELECT *, regexp_extract(path, '[^/]*$') AS name, regexp_matches(regexp_extract(path, '[^/]*$'), '(?i)(?:^|[-_.])(?:analysis|checklist|implementation|notes|plan|progress|report|status|summary|task|todo)(?:[-_.]|$)') AS art
+  FROM (SELECT path, count(*) FILTER (content) AS c, count(*) FILTER (checklist) AS k, count(*) FILTER (heading) AS h, count(*) FILTER (anchor) AS a, count(*) FILTER (boilerplate) AS b, count(*) FILTER (descriptive) AS d, min(pos + 1) FILTER (boilerplate) AS first FROM ({_SIGNALS}) GROUP BY path)))
+WHERE c >= 6 AND e >= 4 AND d < 2 AND a <= 2 AND (art OR h >= 2 OR k >= 2) AND a * 2 < e + 1"""
+
+
+@query("md_low_signal", _LOW)
+def _low(spark, d):
+    return flat(rules.low_signal(C.corpus(spark, d, C.MD_FILES)))
+
+
+# -- directories, duplication, function facts
+
+
+@query("directory_fanout", f"SELECT 'php.directory-fanout-hotspot' AS rule_id, dir AS path, CAST(1 AS INTEGER) AS line, CAST(1.5 AS DOUBLE) AS score, 'Found high PHP file fanout in one directory' AS message, 'fileCount=' || count(*) AS evidence, CAST(1 AS INTEGER) AS places FROM (SELECT {_DIR} AS dir FROM ({C.FILES})) GROUP BY dir HAVING count(*) > 3")
+def _fanout(spark, d):
+    return flat(rules.fanout(C.corpus(spark, d, C.FILES), {"fileCount": 3}))
+
+
+@query("over_fragmentation", f"""
+SELECT 'php.over-fragmentation' AS rule_id, dir AS path, CAST(1 AS INTEGER) AS line, CAST(1.0 AS DOUBLE) AS score, 'Found many tiny PHP files in one directory' AS message, 'tinyFiles=' || small AS evidence, CAST(1 AS INTEGER) AS places
+FROM (SELECT 'src/' || CAST(doc_id % 40 AS VARCHAR) AS dir, count(*) AS n, count(*) FILTER (lines BETWEEN 1 AND 12 AND doc_id % 4 <= 1) AS small
+      FROM (SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: {_TRIM('x')} <> '' AND NOT regexp_matches({_TRIM('x')}, '^(//|\\*)'))) AS lines FROM documents) GROUP BY 1) WHERE small >= 6 AND small >= n / 2.0""")
+def _fragments(spark, d):
+    i = F.col("doc_id")
+    rows = _table(spark, d, "documents").select(
+        F.concat(F.lit("src/"), (i % 40).cast("string"), F.lit("/f"), i.cast("string"), F.lit(".php")).alias("path"), text.logical_lines(F.col("text")).alias("logical_line_count"), (i % 4).alias("function_count")
+    )
+    return flat(rules.fragmentation(rows, {}))
+
+
+_OWN = f"{_ASCII.format('name')} NOT IN ('__construct', '__destruct', '_before', '_after', 'setup', 'teardown')"
+
+
+@query("duplicate_signatures", f"""
+SELECT 'php.duplicate-function-signatures' AS rule_id, CAST(NULL AS VARCHAR) AS path, CAST(list(line ORDER BY path, pos, line)[1] AS INTEGER) AS line, CAST(2.0 AS DOUBLE) AS score, 'Found duplicated PHP function signatures' AS message, signature AS evidence, CAST(count(*) AS INTEGER) AS places
+FROM ({C.FUNCTIONS}) WHERE {_OWN} GROUP BY signature HAVING count(*) > 1""")
+def _signatures(spark, d):
+    return flat(rules.duplicate_signatures(C.corpus(spark, d, C.FUNCTIONS)))
+
+
+@query("clone_cluster", f"""
+SELECT 'php.clone-cluster' AS rule_id, CAST(NULL AS VARCHAR) AS path, CAST(list(line ORDER BY path, pos, line)[1] AS INTEGER) AS line, CAST(2.0 AS DOUBLE) AS score, 'Found near-duplicate PHP function bodies' AS message,
+  array_to_string(list_sort(list_distinct(list('name=' || name))), '|') AS evidence, CAST(count(*) AS INTEGER) AS places
+FROM (SELECT *, regexp_replace({_ASCII.format(_TRIM('body'))}, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g') AS normal, array_to_string(string_split({_DIR}, '/')[1:3], '/') AS prefix FROM ({C.FUNCTIONS})) WHERE {_OWN} AND strlen(body) >= 40
+GROUP BY normal HAVING count(*) > 1 AND count(DISTINCT namespace_name) <> 1 AND count(DISTINCT prefix) <> 1""")
+def _clones(spark, d):
+    return flat(rules.clones(C.corpus(spark, d, C.FUNCTIONS)))
+
+
+@query("duplicate_mock_setup", f"""
+WITH s AS ({C.SETUPS}), c AS (SELECT fingerprint, min(label) AS label, count(DISTINCT path) AS files FROM s GROUP BY fingerprint HAVING count(DISTINCT path) >= 3),
+e AS (SELECT DISTINCT path, fingerprint FROM s), g AS (SELECT e.path, list_sort(list('setup=' || label || '|files=' || files)) AS items, sum(1.0 + greatest(0, files - 2) * 0.5) AS score FROM e JOIN c USING (fingerprint) GROUP BY e.path),
+p AS (SELECT e.path, count(DISTINCT (s.path, s.line)) AS places, min(s.path || ':' || s.line) AS first FROM e JOIN c USING (fingerprint) JOIN s USING (fingerprint) GROUP BY e.path)
+SELECT 'php.duplicate-mock-setup' AS rule_id, g.path, CAST(regexp_extract(first, '[0-9]+$') AS INTEGER) AS line, CAST(least(5.0, score) AS DOUBLE) AS score, 'Found duplicated PHPUnit mock/setup pattern' || CASE WHEN len(items) = 1 THEN '' ELSE 's' END AS message,
+  array_to_string(items, '|') AS evidence, CAST(places AS INTEGER) AS places FROM g JOIN p USING (path)""")
+def _mocks(spark, d):
+    return flat(rules.duplicate_mocks(C.corpus(spark, d, C.SETUPS)))
+
+
+@query("return_constant_stub", f"""
+SELECT path, pos, name, constant_return FROM (SELECT *, count(*) FILTER (regexp_matches(name, '(?i)^get_[a-z0-9_]+_(?:name|info)$')) OVER (PARTITION BY path) AS accessors FROM ({C.FUNCTIONS}))
+WHERE constant_return IS NOT NULL AND constant_return NOT IN ('empty-array', 'null') AND coalesce(class_kind, '') NOT IN ('interface', 'abstract-class') AND NOT (accessors >= 4 AND regexp_matches(name, '(?i)^get_[a-z0-9_]+_(?:name|info)$'))
+  AND NOT regexp_matches(coalesce(class_name, ''), '(?i)(?:dummy|stub|fake|mock|test)\\b') AND NOT (constant_return IN ('false', 'true') AND regexp_matches(name, '^(?:is|has|can|supports|should|needs|allows|must|may|was|were)[A-Z0-9_]'))""")
+def _stub(spark, d):
+    from pyspark.sql import Window as W
+
+    rows = C.corpus(spark, d, C.FUNCTIONS).withColumn("accessors", F.count_if(rules.is_accessor(F.col("name"))).over(W.partitionBy("path")))
+    keep = rules.constant_stub(F.col("name"), F.col("constant_return"), F.col("class_kind"), F.col("class_name"), F.col("accessors"))
+    return rows.where(keep).select("path", "pos", "name", "constant_return")
+
+
+@query("placeholder_bodies", f"SELECT path, pos, name FROM ({C.FUNCTIONS}) WHERE class_kind = 'class' AND coalesce(body, '') = '' AND NOT starts_with(name, '__')")
+def _bodies(spark, d):
+    return C.corpus(spark, d, C.FUNCTIONS).where(rules.empty_method(F.col("name"), F.col("class_kind"), F.col("body"))).select("path", "pos", "name")
+
+
+@query("error_swallowing", f"SELECT path, k, line FROM ({C.CATCHES}) WHERE call IN ('echo', 'error_log', 'print', 'trigger_error', 'var_dump') AND NOT has_throw AND NOT has_return")
+def _swallowing(spark, d):
+    return C.corpus(spark, d, C.CATCHES).where(rules.swallows(F.array("call"), F.col("has_throw"), F.col("has_return"))).select("path", "k", "line")
+
+
+@query("empty_catch", f"SELECT path, k, line, sha256('php.empty-catch:Found empty PHP catch block:' || path || ':' || line) AS fingerprint FROM ({C.CATCHES}) WHERE statements = 0")
+def _empty(spark, d):
+    mark = identity.fingerprint(F.lit("php.empty-catch"), F.lit("Found empty PHP catch block"), F.col("path"), F.col("line"))
+    return C.corpus(spark, d, C.CATCHES).where("statements = 0").select("path", "k", "line", mark.alias("fingerprint"))
+
+
+@query("type_escape_hotspots", "SELECT path, mixed, casts, CAST(mixed + casts AS DOUBLE) AS score FROM (SELECT 'src/s' || l_suppkey || '.php' AS path, count(*) FILTER (l_returnflag = 'R') AS mixed, count(*) FILTER (l_linestatus = 'O') AS casts FROM lineitem GROUP BY l_suppkey) WHERE mixed > 0 AND mixed + casts >= 3")
+def _escapes(spark, d):
+    g = _table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.count_if(F.col("l_returnflag") == "R").alias("mixed"), F.count_if(F.col("l_linestatus") == "O").alias("casts"))
+    facts = g.select(F.concat(F.lit("src/s"), F.col("l_suppkey").cast("string"), F.lit(".php")).alias("path"), F.struct("mixed", "casts").alias("type_escapes"))
+    found = rules.fact_findings(facts, {"php.type-escape-hotspots": {}})
+    number = lambda i: F.substring_index(F.col("evidence")[i], "=", -1).cast("long")
+    return found.select("path", number(0).alias("mixed"), number(1).alias("casts"), "score")
+
+
+@query("magic_numbers", "SELECT 'src/o' || l_orderkey || '.php' AS path, l_linenumber AS line, 'value=' || CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS value FROM lineitem WHERE CAST(l_quantity AS BIGINT) NOT IN (1, 2, 50)")
+def _magic(spark, d):
+    q = F.col("l_quantity").cast("long").cast("string")
+    n = F.struct(q.alias("value"), q.alias("normalized"), F.lit("numeric").alias("kind"), F.col("l_linenumber").alias("line"), F.lit(1).alias("column"))
+    f = F.array(F.struct(F.lit("run").alias("name"), F.array(n).alias("magic_numbers")))
+    facts = _table(spark, d, "lineitem").select(F.concat(F.lit("src/o"), F.col("l_orderkey").cast("string"), F.lit(".php")).alias("path"), f.alias("functions"))
+    found = rules.fact_findings(facts, {"php.magic-numbers": {"ignoredValues": [1, "2", 50.0]}})
+    return found.select("path", F.col("locations")[0]["line"].alias("line"), F.col("evidence")[1].alias("value"))
+
+
+# -- selection, weights, budgets, rollups
+
+
+def _head(spark: SparkSession, d: str) -> DataFrame:
+    return C.findings(C.corpus(spark, d, C.HEAD))
+
+
+@query("rule_weights_overrides", f"""
+SELECT rule_id, path, line, k, score * CASE WHEN rule_id = 'rule.click' AND regexp_matches(path, '^src/d1/') THEN 0.5 WHEN rule_id = 'rule.click' THEN 2.0 ELSE 1.0 END AS score FROM ({C.HEAD})
+WHERE NOT (rule_id = 'rule.view' AND regexp_matches(path, '^src/d2/'))""")
+def _weights(spark, d):
+    config = {"rule.click": {"weight": 2.0}}
+    over = [{"path": "src/d1/**", "rules": {"rule.click": {"weight": 0.5}}}, {"paths": ["src/d2/**"], "rules": {"rule.view": {"enabled": False}}}]
+    keyed = _head(spark, d).withColumn("_key", overrides.variant(F.col("path"), over))
+    out = None
+    for key in ("00", "10", "01"):
+        own = keyed.where(F.col("_key") == key)
+        names = ("rule.click", "rule.view")
+        off = [r for r in names if not overrides.resolve(r, config, over, key).enabled]
+        part = O.weighted(own.where(~F.col("rule_id").isin(off)) if off else own, {r: overrides.resolve(r, config, over, key).weight for r in names})
+        out = part if out is None else out.unionByName(part)
+    return out.select("rule_id", "path", F.col("locations")[0]["line"].alias("line"), F.col("ord.a").alias("k"), "score")
+
+
+_EMIT = "ORDER BY path, k, rule_id"
+
+
+@query("ignore_errors_budget", f"""
+WITH f AS ({C.HEAD}), a AS (SELECT *, CASE WHEN regexp_matches(message, 'Found [a-z]+ 1[0-9]*$') THEN row_number() OVER (PARTITION BY regexp_matches(message, 'Found [a-z]+ 1[0-9]*$') {_EMIT}) END AS r FROM f),
+b AS (SELECT * FROM a WHERE r IS NULL OR r > 100), c AS (SELECT *, CASE WHEN regexp_matches(path, '^src/d3/') THEN row_number() OVER (PARTITION BY regexp_matches(path, '^src/d3/') {_EMIT}) END AS q FROM b),
+e AS (SELECT * FROM c WHERE q IS NULL OR q > 50) SELECT k, rule_id, path, line FROM e WHERE NOT (rule_id = 'rule.click' AND regexp_matches(path, '^src/d4/'))""")
+def _budget(spark, d):
+    entries = suppress.normalize([{"message": "/Found [a-z]+ 1[0-9]*$/", "count": 100}, {"path": "src/d3/**", "count": "50"}, {"ruleId": "rule.click", "paths": ["src/d4/**"]}, {"count": 3}])
+    return suppress.ignored(_head(spark, d), entries).select(F.col("ord.a").alias("k"), "rule_id", "path", F.col("locations")[0]["line"].alias("line"))
+
+
+@query("findings_filtered_topk", f"SELECT k, rule_id, path, line, score FROM ({C.HEAD}) WHERE rule_id IN ('rule.click', 'rule.purchase', 'rule.view') AND score >= 0.5 AND regexp_matches(path, '^src/d[^/]*/f1.*$') ORDER BY score DESC, rule_id, path, line, k LIMIT 50")
+def _topk(spark, d):
+    kept = O.selected(_head(spark, d), ["rule.click", "rule.purchase", "rule.view"], ["src/d*/f1**"], 0.5)
+    return O.top(kept, 50).select(F.col("ord.a").alias("k"), "rule_id", "path", F.col("locations")[0]["line"].alias("line"), "score")
+
+
+@query("findings_raw_order", f"SELECT k, rule_id || path AS sort_key, row_number() OVER (PARTITION BY rule_id || path ORDER BY path, k) AS place FROM ({C.HEAD})")
+def _raw(spark, d):
+    from pyspark.sql import Window as W
+
+    key = F.concat("rule_id", F.coalesce("path", F.lit("")))
+    return _head(spark, d).select(F.col("ord.a").alias("k"), key.alias("sort_key"), F.row_number().over(W.partitionBy(key).orderBy(*O.raw_order())).cast("long").alias("place"))
+
+
+_SCORES = "sum(score) AS score, count(*) AS finding_count"
+for _name, _sql, _f in (
+    ("file_scores_raw", f"SELECT path, {_SCORES} FROM ({C.HEAD}) GROUP BY path", O.raw_file_scores),
+    ("file_scores_filtered", f"SELECT path, {_SCORES} FROM ({C.HEAD}) GROUP BY path", O.file_scores),
+    ("directory_scores_filtered", f"SELECT {_DIR} AS path, {_SCORES} FROM ({C.HEAD}) GROUP BY 1", O.directory_scores),
+):
+    query(_name, _sql)(lambda spark, d, f=_f: f(_head(spark, d)))
+
+
+@query("directory_scores_raw", f"SELECT {_DIR} AS path, CAST(count(*) AS DOUBLE) * 1.5 AS score, count(*) AS finding_count FROM (SELECT path FROM (SELECT min(path) AS path FROM ({C.FILES}) GROUP BY {_DIR} HAVING count(*) > 3)) GROUP BY 1")
+def _directory_raw(spark, d):
+    return O.raw_directory_scores(rules.fanout(C.corpus(spark, d, C.FILES), {"fileCount": 3}))
+
+
+@query("repo_summary", f"""
+WITH f AS (SELECT count(*) AS file_count, count(DISTINCT {_DIR}) AS directory_count, CAST(sum(doc_id % 50) AS BIGINT) AS physical_line_count, CAST(sum(doc_id % 40) AS BIGINT) AS logical_line_count, CAST(sum(doc_id % 3) AS BIGINT) AS function_count FROM ({C.FILES})),
+g AS (SELECT count(*) AS finding_count, sum(score) AS repo_score FROM ({C.HEAD}))
+SELECT *, repo_score / file_count AS score_per_file, repo_score / (logical_line_count / 1000) AS score_per_kloc, repo_score / function_count AS score_per_function, finding_count / file_count AS findings_per_file, finding_count / (logical_line_count / 1000) AS findings_per_kloc, finding_count / function_count AS findings_per_function FROM f, g""")
+def _summary(spark, d):
+    i = F.col("doc_id")
+    rows = C.corpus(spark, d, C.FILES).select("path", (i % 50).alias("line_count"), (i % 40).alias("logical_line_count"), (i % 3).alias("function_count"))
+    return O.summary(rows, _head(spark, d))
+
+
+@query("stats_top_rules", f"SELECT rule_id, count(*) AS finding_count, CAST(count(*) AS BIGINT) AS location_count FROM ({C.HEAD}) GROUP BY rule_id ORDER BY 2 DESC, rule_id LIMIT 10")
+def _top_rules(spark, d):
+    return O.top_rules(_head(spark, d))
+
+
+@query("stats_top_files", f"SELECT path, count(*) AS finding_count FROM ({C.HEAD}) GROUP BY path ORDER BY 2 DESC, min(rule_id || path) LIMIT 10")
+def _top_files(spark, d):
+    return O.top_files(_head(spark, d))
+
+
+@query("stats_summary", f"SELECT count(*) AS finding_count, count(DISTINCT rule_id) AS unique_rules, count(DISTINCT path) AS unique_paths FROM ({C.HEAD})")
+def _stats(spark, d):
+    return O.stats_summary(_head(spark, d))
+
+
+# -- identity
+
+_MARK = "sha256(rule_id || ':' || message || ':' || path || ':' || line)"
+
+
+@query("fingerprints", f"SELECT k, {_MARK} AS fingerprint FROM ({C.HEAD})")
+def _fingerprints(spark, d):
+    return identity.with_occurrences(_head(spark, d)).select(F.col("ord.a").alias("k"), F.col("occurrences")[0]["fingerprint"].alias("fingerprint"))
+
+
+_SIDE = "SELECT fingerprint, max_by(rule_id, (rule_id || path, path, k)) AS rule_id, max_by(message, (rule_id || path, path, k)) AS message, max_by(path, (rule_id || path, path, k)) AS path, max_by(item, (rule_id || path, path, k)) AS item FROM (SELECT *, " + _MARK + " AS fingerprint FROM ({})) GROUP BY fingerprint"
+_DELTA = f"""
+WITH h AS ({_SIDE.format(C.HEAD)}), b AS ({_SIDE.format(C.BASE)}), a AS (SELECT * FROM h WHERE fingerprint NOT IN (SELECT fingerprint FROM b)), r AS (SELECT * FROM b WHERE fingerprint NOT IN (SELECT fingerprint FROM h)),
+ua AS (SELECT rule_id, message, path, item, min(fingerprint) AS fingerprint FROM a GROUP BY ALL HAVING count(*) = 1), ur AS (SELECT rule_id, message, path, item, min(fingerprint) AS fingerprint FROM r GROUP BY ALL HAVING count(*) = 1),
+m AS (SELECT ua.fingerprint AS added, ur.fingerprint AS resolved FROM ua JOIN ur USING (rule_id, message, path, item)),
+x AS (SELECT 'added' AS status, fingerprint, rule_id, path FROM a WHERE fingerprint NOT IN (SELECT added FROM m) UNION ALL SELECT 'resolved', fingerprint, rule_id, path FROM r WHERE fingerprint NOT IN (SELECT resolved FROM m)) """
+
+
+def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return C.findings(C.corpus(spark, d, C.BASE)), _head(spark, d)
+
+
+for _status in ("added", "resolved"):
+    query(f"delta_{_status}", _DELTA + f"SELECT fingerprint, rule_id, path FROM x WHERE status = '{_status}'")(lambda spark, d, s=_status: identity.delta(*_sides(spark, d)).where(F.col("status") == s).select("fingerprint", "rule_id", "path"))
+
+
+@query("delta_changes", _DELTA + "SELECT * FROM x")
+def _changes(spark, d):
+    return identity.delta(*_sides(spark, d)).select("status", "fingerprint", "rule_id", "path")
+
+
+@query("delta_relocated", _DELTA + "SELECT * FROM m")
+def _relocated(spark, d):
+    base, head = (identity.occurrences(x) for x in _sides(spark, d))
+    return identity.relocations(head.join(base.select("fingerprint"), "fingerprint", "left_anti"), base.join(head.select("fingerprint"), "fingerprint", "left_anti"))
+
+
+@query("baseline_new_findings", _DELTA + f"SELECT k, rule_id, path, line FROM ({C.HEAD}) WHERE {_MARK} IN (SELECT fingerprint FROM x WHERE status = 'added')")
+def _new(spark, d):
+    return identity.new_findings(*_sides(spark, d)).select(F.col("ord.a").alias("k"), "rule_id", "path", F.col("locations")[0]["line"].alias("line"))
+
+
+# -- encoders
+
+
+@query("ndjson_lines", f"""
+SELECT k, '{{"type":"finding","finding":{{"ruleId":"' || rule_id || '","family":"events","severity":"medium","scope":"file","message":"' || message || '","why":null,"suggestedAction":null,"confidence":null,"evidence":["' || item || '"],"score":' || CAST(score AS VARCHAR)
+  || ',"locations":[{{"path":"' || path || '","line":' || line || ',"column":1}}],"path":"' || path || '","deltaIdentity":{{"fingerprintVersion":1,"occurrences":[{{"fingerprint":"' || {_MARK} || '","path":"' || path || '","line":' || line || ',"column":1}}]}}}}}}' AS value FROM ({C.HEAD})""")
+def _ndjson(spark, d):
+    return reports.ndjson_lines(_head(spark, d)).select(F.col("ord.a").alias("k"), "value")
+
+
+@query("lint_lines", f"SELECT k, 'medium  ' || message || '  ' || rule_id || chr(10) || '  at ' || path || ':' || line || ':1' AS value FROM ({C.HEAD})")
+def _lint(spark, d):
+    return reports.lint_lines(_head(spark, d)).select(F.col("ord.a").alias("k"), "value")
+
+
+@query("github_annotations", f"SELECT k, '::error file=' || path || ',line=' || line || ',col=1::' || message || ' (' || rule_id || ')' AS value FROM ({C.HEAD})")
+def _github(spark, d):
+    return reports.annotations(_head(spark, d)).select(F.col("ord.a").alias("k"), "value")
+
+
+# -- the PHP front end on a corpus that holds every rule
+
+
+def _php_corpus(spark: SparkSession) -> DataFrame:
+    from .fixtures import CORPUS
+
+    return files.discovered(spark.createDataFrame(CORPUS, "path string, text string"), ["**/vendor/**"])
+
+
+@query("php_facts_fixture")
+def _php_facts(spark, d):
+    from ..operators import facts
+
+    return facts.extract(_php_corpus(spark))
+
+
+@query("php_findings_fixture")
+def _php_findings(spark, d):
+    from .analyze import analyze
+
+    return flat(analyze(spark, _php_corpus(spark)).findings)
+
+
+@query("phpdoc_types")
+def _php_doc(spark, d):
+    from ..operators import facts
+
+    return facts.extract(_php_corpus(spark)).select("path", F.explode("phpdoc").alias("e")).select("path", "e.subject", "e.line", F.explode("e.annotations").alias("a")).select("path", "subject", "line", "a.annotation", "a.native", "a.doc_type", "a.raw")
