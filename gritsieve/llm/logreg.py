@@ -18,15 +18,19 @@ class Rows:
     def __len__(self) -> int:
         return len(self.first) - 1
 
-    def take(self, rows: np.ndarray) -> Rows:
-        count = np.diff(self.first)[rows]
-        first = np.concatenate([[0], np.cumsum(count)])
-        at = np.repeat(self.first[:-1][rows] - first[:-1], count) + np.arange(first[-1])
-        return Rows(self.index[at], self.value[at], first)
+    def blocks(self, rows: int = 256):
+        """(first row, end row, ids, values, row starts) of runs of rows, so that what is computed at once stays small."""
+        for a in range(0, len(self), rows):
+            b = min(a + rows, len(self))
+            cut = slice(self.first[a], self.first[b])
+            yield a, b, self.index[cut], self.value[cut], self.first[a : b + 1] - self.first[a]
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        total = np.concatenate([[0.0], np.cumsum(self.value * w[self.index])])
-        return total[self.first[1:]] - total[self.first[:-1]]
+        out = np.zeros(len(self))
+        for a, b, index, value, first in self.blocks():
+            total = np.concatenate([[0.0], np.cumsum(value * w[index])])
+            out[a:b] = total[first[1:]] - total[first[:-1]]
+        return out
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
@@ -36,14 +40,15 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 def fit(x: Rows, y: np.ndarray, weight: np.ndarray, dim: int, l2: float = 1e-3, steps: int = 120) -> np.ndarray:
     """Weights of dim features and, last, the bias. Minimises the weighted mean log loss plus l2/2 |w|^2."""
     weight = weight / weight.sum()
-    row = np.repeat(np.arange(len(x)), np.diff(x.first))
     sign = np.where(y > 0, 1.0, -1.0)
 
     def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
         margin = sign * (x.dot(w[:-1]) + w[-1])
         slope = -sign * weight * sigmoid(-margin)
         grad = np.empty_like(w)
-        grad[:-1] = np.bincount(x.index, weights=x.value * slope[row], minlength=dim) + l2 * w[:-1]
+        grad[:-1] = l2 * w[:-1]
+        for a, b, index, value, first in x.blocks():
+            grad[:-1] += np.bincount(index, weights=value * np.repeat(slope[a:b], np.diff(first)), minlength=dim)
         grad[-1] = slope.sum()
         return float((weight * np.logaddexp(0, -margin)).sum() + 0.5 * l2 * (w[:-1] @ w[:-1])), grad
 
@@ -112,12 +117,10 @@ class Model:
 
 def train(x: Rows, y: np.ndarray, weight: np.ndarray, dim: int, held_out: np.ndarray, l2: float) -> Model:
     """Fit on the rows that aren't held out, calibrate on those that are (on all rows if these lack a class)."""
-    fitted = np.flatnonzero(~held_out)
+    fitted = ~held_out
     if len(set(y[fitted])) < 2:
-        fitted = np.arange(len(y))
-    w = fit(x.take(fitted), y[fitted], weight[fitted], dim, l2)
-    rest = np.flatnonzero(held_out)
-    if len(set(y[rest])) < 2:
-        rest = np.arange(len(y))
-    a, b = platt(x.take(rest).dot(w[:-1]) + w[-1], y[rest], weight[rest])
+        fitted = np.ones(len(y), bool)
+    w = fit(x, y, np.where(fitted, weight, 0.0), dim, l2)  # no weight: no part in it
+    rest = held_out if len(set(y[held_out])) == 2 else np.ones(len(y), bool)
+    a, b = platt(x.dot(w[:-1])[rest] + w[-1], y[rest], weight[rest])
     return Model(w[:-1].astype(np.float32), float(w[-1]), a, b)

@@ -37,6 +37,12 @@ _SCALE = 50.0
 _L2 = 1e-4
 
 
+def _within(first: np.ndarray, last: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ranges of grams cut to the n there are; a row too short for one has none."""
+    first = np.minimum(first, n)
+    return first, np.maximum(np.minimum(last, n), first)
+
+
 def _grams(data: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(bucket of every gram of the chunk, first and end gram of every row), a kind at a time."""
     wide = data.astype(np.uint32)
@@ -46,14 +52,14 @@ def _grams(data: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np.n
             for j in range(1, n):
                 code |= wide[j : len(data) - n + 1 + j] << np.uint32(8 * j)
             bucket = ((code + np.uint32(n * 0x01000193)) * np.uint32(2654435761)) >> np.uint32(32 - 15)
-            yield bucket, off[:-1], np.maximum(off[1:] - n + 1, off[:-1])
+            yield bucket, *_within(off[:-1], off[1:] - n + 1, len(bucket))
     words = Words(data, off)
     yield (words.hash >> _U(49)).astype(np.uint32), words.first[:-1], words.first[1:]
     if len(words) > 1:
         pair = words.hash[:-1] * _U(3) + words.hash[1:] * _U(0x9E3779B97F4A7C15)
         pair ^= pair >> _U(29)
         pair[words.hash[:-1] == words.hash[1:]] = _U(12345) << _U(49)
-        yield (pair >> _U(49)).astype(np.uint32), words.first[:-1], np.maximum(words.first[1:] - 1, words.first[:-1])
+        yield (pair >> _U(49)).astype(np.uint32), *_within(words.first[:-1], words.first[1:] - 1, len(pair))
 
 
 def linear(column: pa.Array, weights: np.ndarray) -> np.ndarray:
@@ -97,7 +103,7 @@ def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     for b in batches:
         x = features(b["text"])
         first = pa.array(x.first.astype(np.int32))
-        lists = [pa.ListArray.from_arrays(first, pa.array(v.astype(t))) for v, t in ((x.index, np.int32), (x.value, np.float32))]
+        lists = [pa.ListArray.from_arrays(first, pa.array(v.astype(t))) for v, t in ((x.index, np.int16), (x.value, np.float32))]
         yield pa.RecordBatch.from_arrays([b["fold"], b["label"], *lists], names=["fold", "label", "index", "value"])
 
 
@@ -117,14 +123,14 @@ def fit_model(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Mod
     sample = agreed.where("label = 0").orderBy(order, "doc_id").limit(rows).union(agreed.where("label = 1").orderBy(order, "doc_id").limit(rows))
     text = need(docs, "doc_id", "text").where(F.col("text").isNotNull())
     text = text.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))  # at most 2 * rows rows
-    found = text.select(F.xxhash64("doc_id").alias("fold"), "label", "text").mapInArrow(_feature_batches, "fold long, label int, index array<int>, value array<float>")
+    found = text.select(F.xxhash64("doc_id").alias("fold"), "label", "text").mapInArrow(_feature_batches, "fold long, label int, index array<smallint>, value array<float>")
     table = found.toArrow().sort_by([("fold", "ascending"), ("label", "ascending")]).combine_chunks()
     y = table["label"].to_numpy().astype(float)
     if len(set(y)) < 2:
         return None
     index, value = table["index"].combine_chunks(), table["value"].combine_chunks()
     first = index.offsets.to_numpy().astype(np.int64)
-    x = Rows(index.values.to_numpy()[first[0] : first[-1]], value.values.to_numpy()[first[0] : first[-1]].astype(float), first - first[0])
+    x = Rows(index.values.to_numpy()[first[0] : first[-1]], value.values.to_numpy()[first[0] : first[-1]], first - first[0])
     weight = np.where(y > 0, counts[1] / (y > 0).sum(), counts[0] / (y <= 0).sum()) * len(y) / sum(counts.values())
     fold = table["fold"].to_numpy().view(np.uint64) >> _U(7)
     return train(x, y, weight, DIM, fold % _U(5) == 0, _L2)
