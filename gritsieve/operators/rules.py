@@ -18,7 +18,16 @@ from ..functions.php_facts import normalized_number
 from ..schema import FINDING_COLUMNS, LOCATION
 
 Options = dict[str, Any]
-_EMPTY = F.lit(None).cast("string")
+
+
+def _empty() -> Column:
+    return F.lit(None).cast("string")
+
+
+def _path() -> Column:
+    return F.col("path")
+
+
 
 
 @dataclass(frozen=True)
@@ -39,7 +48,7 @@ def location(path: Column, line: Column | int, column: Column | int = 1) -> Colu
 def order(phase: int, unit: Column, rule: int, key: Column | None = None, a: Column | int = 0, b: Column | int = 0) -> Column:
     as_col = lambda v: v if isinstance(v, Column) else F.lit(v)
     return F.struct(
-        F.lit(phase).alias("phase"), unit.alias("unit"), F.lit(rule).alias("rule"), (_EMPTY if key is None else key).alias("key"), as_col(a).cast("bigint").alias("a"), as_col(b).cast("bigint").alias("b")
+        F.lit(phase).alias("phase"), unit.alias("unit"), F.lit(rule).alias("rule"), (_empty() if key is None else key).alias("key"), as_col(a).cast("bigint").alias("a"), as_col(b).cast("bigint").alias("b")
     )
 
 
@@ -106,11 +115,8 @@ def _each(rule: str, items: Column, keep: Callable[[Column], Column], make: Call
     return F.transform(F.filter(placed, lambda p: F.coalesce(keep(p["x"]), F.lit(False))), lambda p: make(p["x"], p["i"]))
 
 
-PATH = F.col("path")
-
-
 def _one(rule: str, message: Column | str, found: Column, score: Column | float, line: Column, column: Column | int, a: Column, b: Column | int = 0) -> Column:
-    return finding(rule, message, found, score, F.array(location(PATH, line, column)), PATH, order(0, PATH, INDEX[rule], None, a, b))
+    return finding(rule, message, found, score, F.array(location(_path(), line, column)), _path(), order(0, _path(), INDEX[rule], None, a, b))
 
 
 # -- static-analysis comments
@@ -405,7 +411,7 @@ def low_signal(files: DataFrame, options: Options | None = None) -> DataFrame:
     counted = line_signals(files).groupBy("path").agg(
         *[F.count_if(s).alias(s) for s in ("content", "checklist", "heading", "anchor", "boilerplate", "descriptive")], F.min(F.when(F.col("boilerplate"), F.col("pos") + 1)).alias("first")
     )
-    name = X.basename(PATH)
+    name = X.basename(_path())
     artifact = name.rlike(rf"(?i)(?:^|[\-_.])(?:{'|'.join(_ARTIFACTS)})(?:[\-_.]|$)")
     effective = F.col("boilerplate") + F.when(artifact, 1).otherwise(0)
     kept = counted.where(
@@ -424,7 +430,7 @@ def low_signal(files: DataFrame, options: Options | None = None) -> DataFrame:
 def fanout(files: DataFrame, options: Options) -> DataFrame:
     """(path) rows -> directories with more than ``fileCount`` files."""
     rule = "php.directory-fanout-hotspot"
-    g = files.groupBy(X.dirname(PATH).alias("d")).agg(F.count("*").alias("n"), F.min("path").alias("first")).where(F.col("n") > _number(options, "fileCount", 12))
+    g = files.groupBy(X.dirname(_path()).alias("d")).agg(F.count("*").alias("n"), F.min("path").alias("first")).where(F.col("n") > _number(options, "fileCount", 12))
     made = finding(rule, "Found high PHP file fanout in one directory", evidence(tagged("fileCount", F.col("n"))), 1.5, F.array(location(F.col("first"), 1)), F.col("d"), order(1, F.col("d"), INDEX[rule]))
     return g.select(made.alias("f")).select("f.*")
 
@@ -433,7 +439,7 @@ def fragmentation(files: DataFrame, options: Options) -> DataFrame:
     """(path, logical_line_count, function_count) rows -> directories of many tiny files."""
     rule = "php.over-fragmentation"
     tiny = F.col("logical_line_count").between(1, 12) & (F.coalesce("function_count", F.lit(0)) <= 1)
-    g = files.groupBy(X.dirname(PATH).alias("d")).agg(F.count("*").alias("n"), F.count_if(tiny).alias("small"), F.min("path").alias("first")).where((F.col("small") >= 6) & (F.col("small") * 2 >= F.col("n")))
+    g = files.groupBy(X.dirname(_path()).alias("d")).agg(F.count("*").alias("n"), F.count_if(tiny).alias("small"), F.min("path").alias("first")).where((F.col("small") >= 6) & (F.col("small") * 2 >= F.col("n")))
     made = finding(rule, "Found many tiny PHP files in one directory", evidence(tagged("tinyFiles", F.col("small"))), 1.0, F.array(location(F.col("first"), 1)), F.col("d"), order(1, F.col("d"), INDEX[rule]))
     return g.select(made.alias("f")).select("f.*")
 
@@ -456,7 +462,7 @@ def duplicate_signatures(functions: DataFrame, options: Options | None = None) -
     own = functions.where(~X.ascii_lower(F.col("name")).isin(_LIFECYCLE))
     g = own.groupBy("signature").agg(_places().alias("at")).where(F.size("at") > 1)
     where = F.transform("at", lambda p: location(p["path"], p["line"]))
-    made = finding(rule, "Found duplicated PHP function signatures", evidence(F.col("signature")), 2.0, where, _EMPTY, order(2, F.lit(""), INDEX[rule], F.col("signature")))
+    made = finding(rule, "Found duplicated PHP function signatures", evidence(F.col("signature")), 2.0, where, _empty(), order(2, F.lit(""), INDEX[rule], F.col("signature")))
     return g.select(made.alias("f")).select("f.*")
 
 
@@ -475,11 +481,11 @@ def clones(functions: DataFrame, options: Options | None = None) -> DataFrame:
     rule = "php.clone-cluster"
     own = functions.where(~X.ascii_lower(F.col("name")).isin(_LIFECYCLE) & (F.octet_length("body") >= 40)).withColumn("normal", normalized_body(F.col("body")))
     g = own.groupBy("normal").agg(
-        _places().alias("at"), F.count_distinct(F.when(F.col("namespace_name") != "", F.col("namespace_name"))).alias("spaces"), F.count_distinct(directory_prefix(PATH)).alias("prefixes")
+        _places().alias("at"), F.count_distinct(F.when(F.col("namespace_name") != "", F.col("namespace_name"))).alias("spaces"), F.count_distinct(directory_prefix(_path())).alias("prefixes")
     ).where((F.size("at") > 1) & (F.col("spaces") != 1) & (F.col("prefixes") != 1))
     names = F.array_sort(F.array_distinct(F.transform("at", lambda p: p["name"])))
     where = F.transform("at", lambda p: location(p["path"], p["line"]))
-    made = finding(rule, "Found near-duplicate PHP function bodies", F.transform(names, lambda n: tagged("name", n)), 2.0, where, _EMPTY, order(2, F.lit(""), INDEX[rule], F.col("normal")))
+    made = finding(rule, "Found near-duplicate PHP function bodies", F.transform(names, lambda n: tagged("name", n)), 2.0, where, _empty(), order(2, F.lit(""), INDEX[rule], F.col("normal")))
     return g.select(made.alias("f")).select("f.*")
 
 
@@ -498,7 +504,7 @@ def duplicate_mocks(setups: DataFrame, options: Options | None = None) -> DataFr
     at = F.array_distinct("at")
     where = F.transform(F.array_sort(F.transform(at, lambda p: F.struct(F.concat(p["path"], F.lit(":"), p["line"].cast("string")).alias("k"), p.alias("p")))), lambda x: location(x["p"]["path"], x["p"]["line"]))
     message = F.concat(F.lit("Found duplicated PHPUnit mock/setup pattern"), F.when(F.size("items") == 1, "").otherwise("s"))
-    made = finding(rule, message, F.col("items"), F.least(F.lit(5.0), F.col("score")), where, PATH, order(2, F.lit(""), INDEX[rule], PATH))
+    made = finding(rule, message, F.col("items"), F.least(F.lit(5.0), F.col("score")), where, _path(), order(2, F.lit(""), INDEX[rule], _path()))
     return g.select(made.alias("f")).select("f.*")
 
 

@@ -39,7 +39,7 @@ SELECT 'src/' || source || '/' || lang || '/' || CAST(doc_id % 3 AS VARCHAR(20))
 SETUPS = """
 SELECT 'tests/T' || CAST(o_custkey % 97 AS VARCHAR(20)) || 'Test.php' AS path, CAST(o_orderkey % 500 + 1 AS INT) AS line,
   CASE o_orderkey % 2 WHEN 0 THEN 'method|willReturn' ELSE 'getMockBuilder|getMock' END AS label,
-  CASE o_orderkey % 2 WHEN 0 THEN 'method|willReturn' ELSE 'getMockBuilder|getMock' END || '::' || CAST(o_custkey * 31 % 1009 AS VARCHAR(20)) AS fingerprint FROM orders
+  CASE o_orderkey % 2 WHEN 0 THEN 'method|willReturn' ELSE 'getMockBuilder|getMock' END || '::' || CAST(o_orderkey % 2003 AS VARCHAR(20)) AS fingerprint FROM orders
 """
 
 CATCHES = """
