@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -308,18 +308,23 @@ def groups(docs: DataFrame, radius: int = RADIUS, recall: float = RECALL) -> Dat
 def dedup(docs: DataFrame, radius: int = RADIUS, recall: float = RECALL) -> DataFrame:
     """``docs``, all columns, with one row of every group; rows in no group stay as they are.
 
-    The narrow decisions join the documents on (doc_id, text hash); of exactly repeated rows that are to stay, one does.
+    The narrow decisions join the documents on a hash of id and text, in a shuffle of the documents whatever their size, and
+    are the hashed side. Of exactly repeated rows that are to stay, one does.
     """
-    m = Stored(members(docs, radius, recall).withColumn("_stay", F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("_k1") == F.col("first_k1")) & (F.col("_k2") == F.col("first_k2"))).select("doc_id", "_k1", "_k2", "copies", "_stay")).df
+    stay = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("_k1") == F.col("first_k1")) & (F.col("_k2") == F.col("first_k2"))
     names = docs.columns
-    k = _fresh(names, "k1"), _fresh(names, "k2"), _fresh(names, "id")
-    text = F.col("`text`")
-    keyed = docs.select("*", *[c.alias(n) for c, n in zip(row_key(text), k[:2], strict=True)])
-    gone = m.where("not _stay or copies > 1").select(F.col("doc_id").alias(k[2]), F.col("_k1").alias(k[0] + "x"), F.col("_k2").alias(k[1] + "x"), "_stay")
-    same = (F.col(k[0]) == F.col(k[0] + "x")) & (F.col(k[1]) == F.col(k[1] + "x")) & F.col("`doc_id`").eqNullSafe(F.col(k[2]))
-    kept = keyed.join(gone.drop("_stay"), same, "left_anti")
-    once = keyed.join(gone.where("_stay").drop("_stay"), same, "left_semi").dropDuplicates(["doc_id", k[0], k[1]])
-    return kept.unionByName(once).select(*[F.col(f"`{n}`") for n in names])
+    r1, r2 = _fresh(names, "1"), _fresh(names, "2")
+    m = Stored(members(docs, radius, recall).select(*_row_hash(F.col("doc_id"), F.col("_k1"), F.col("_k2"), r1 + "x", r2 + "x"), stay.alias("_stay"), (F.col("copies") > 1).alias("_more"))).df
+    k1, k2 = row_key(F.col("`text`"))
+    keyed = docs.select("*", *_row_hash(F.col("`doc_id`"), k1, k2, r1, r2))
+    decided = keyed.join(m.where("not _stay or _more").hint("shuffle_hash"), (F.col(r1) == F.col(r1 + "x")) & (F.col(r2) == F.col(r2 + "x")), "left")
+    once = decided.where("_stay and _more").dropDuplicates([r1, r2])
+    return decided.where("_stay is null").unionByName(once).select(*[F.col(f"`{n}`") for n in names])
+
+
+def _row_hash(doc_id: Column, k1: Column, k2: Column, first: str, second: str) -> list[Column]:
+    """128 bits of (doc_id, text), never null."""
+    return [F.xxhash64(doc_id.isNull(), doc_id, k1, F.lit(1)).alias(first), F.xxhash64(doc_id.isNull(), doc_id, k2, F.lit(2)).alias(second)]
 
 
 def _fresh(names: list[str], stem: str) -> str:
