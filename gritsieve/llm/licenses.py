@@ -2,8 +2,8 @@
 
 Every rolling group of ``K`` words of every document meets the positions of that group in the license templates in a Spark
 join on its hash (the words themselves are compared too). A meeting at document position p and template position q votes for
-the diagonal p - q. Votes are counted by (document, template, diagonal); diagonals at most ``BAND`` apart are one alignment
-if they follow each other, so inserted or dropped words don't split it; and an alignment is a finding if its groups cover
+the diagonal p - q. Votes are counted by (document, template, diagonal); diagonals at most ``BAND`` apart (and less than the
+template's size) are one alignment if they follow each other, so inserted or dropped words don't split it; and an alignment is a finding if its groups cover
 at least ``COVER`` of the template's words and its span is at most ``STRETCH`` times the template.
 
 Scale: groups are made, hashed and joined inside the JVM in one pass; the template side is a few thousand rows, broadcast
@@ -61,6 +61,7 @@ TEMPLATES = [
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights to this work"),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("Proprietary", "All rights reserved. Unauthorized copying of this file, via any medium, is strictly prohibited."),
+    ("Proprietary", "All rights reserved."),
 ]
 
 
@@ -100,7 +101,8 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None) -> Dat
     doc = ["doc_id", "_k1", "_k2", "template", "license", "size"]
     voted = met.groupBy(*doc, "diagonal").agg(F.count("*").alias("votes"), F.min("at").alias("low"), F.max("at").alias("high"), F.collect_set("q").alias("q"))
     along = W.partitionBy("doc_id", "_k1", "_k2", "template").orderBy("diagonal")
-    near = (F.col("diagonal") - F.lag("diagonal").over(along) <= BAND) & (F.col("low") - F.lag("high").over(along) <= F.col("size"))
+    # copies of a template that follow at once are its size apart; the SQL, which has BAND alone, loses those of K words
+    near = (F.col("diagonal") - F.lag("diagonal").over(along) <= F.least(F.lit(BAND), F.col("size") - 1)) & (F.col("low") - F.lag("high").over(along) <= F.col("size"))
     merged = voted.withColumn("new", F.when(near, 0).otherwise(1)).withColumn("alignment", F.sum("new").over(along.rowsBetween(W.unboundedPreceding, 0)))
     whole = merged.groupBy(*doc, "alignment").agg(F.sum("votes").alias("votes"), F.min("low").alias("start_word"), (F.max("high") + K).alias("end_word"), F.flatten(F.collect_list("q")).alias("q"))
     covered = F.size(F.array_distinct(F.flatten(F.transform("q", lambda q: F.array(*[q + j for j in range(K)])))))

@@ -338,6 +338,13 @@ def test_license_with_an_inserted_word(spark):
     assert [(g["doc_id"], g["start_word"], g["end_word"]) for g in got] == [(None, 0, 18)]
 
 
+def test_every_planted_license_line(spark):
+    lines = {"Released under the MIT License.": "MIT", "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "All rights reserved.": "Proprietary"}
+    rows = [(i, f"{prose(30, i)}.\n{line}") for i, line in enumerate(lines)] + [(10, "All rights reserved. All rights reserved.\nALL RIGHTS RESERVED"), (11, "all rights are reserved, all rights")]
+    got = sorted((g["doc_id"], g["license"], g["start_word"], g["coverage"]) for g in licenses.scan(table(spark, rows)).where("coverage = 1").collect())
+    assert got == [(i, name, 30, 1.0) for i, name in enumerate(lines.values())] + [(10, "Proprietary", at, 1.0) for at in (0, 3, 6)]
+
+
 # -- WARC
 
 
