@@ -1,6 +1,9 @@
 """Operator 3: secret scans by a battery of randomness tests.
 
-A candidate is a run of 16 or more characters of the base-64 alphabets, of any length, that holds a letter. Its encoding is
+A candidate is a run of 16 or more characters of the base-64 alphabets, of any length, that holds a letter. So is, beside the
+run, each of its parts of that size with '-', '_', '/' or any of these as separators, and each longest chain of parts of one
+alphabet (hex or base36 in one case, any) without its separators, as of a UUID; each is tested for itself and counted in the
+control of false discoveries. What lies within a longer discovery isn't reported again. A candidate's encoding is
 inferred from its characters (hex, base32, alpha26, base36, base64), which gives the alphabet in which it would be uniform
 if it were random. Three tests ask whether it is: chi-squared uniformity over the alphabet, runs above and below the middle
 of the alphabet, and lag-1 serial correlation of the codes; Fisher's method combines them. What passes (p >= 0.001) gets an
@@ -37,6 +40,9 @@ FDR = 0.01
 MASK = b"[SECRET]"
 _CANDIDATE = re.compile(rb"(?<![\x80-\xffA-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{16,}+={0,2}+(?![\x80-\xff])")
 _LETTER = re.compile(rb"[A-Za-z]")
+_BETWEEN = re.compile(rb"[/_\-]+")
+_PARTS = [re.compile(rb"[^" + cut + rb"=]{16,}") for cut in (rb"/", rb"_", rb"\-", rb"/_", rb"/\-", rb"_\-", rb"/_\-")]
+_CHAINS = [re.compile(rb"(?<![A-Za-z0-9+])[" + c + rb"]+(?:[/_\-]+[" + c + rb"]+)+(?![A-Za-z0-9+])") for c in (rb"0-9a-f", rb"0-9A-F", rb"0-9a-z", rb"0-9A-Z", rb"A-Za-z0-9+")]
 _KINDS = [
     ("hex", re.compile(rb"[0-9a-f]+|[0-9A-F]+"), (b"0123456789abcdef", b"0123456789ABCDEF")),
     ("alpha26", re.compile(rb"[a-z]+|[A-Z]+"), (b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ")),
@@ -140,8 +146,21 @@ class Detector:
         return self.least is not None and p_random >= RANDOM_FROM and math.floor(10 * log10_e) >= self.least
 
 
-def candidates(column: pa.Array) -> Iterator[tuple[int, int, bytes]]:
-    """(row, start byte, token) of every candidate of an Arrow string column."""
+def _within(run: bytes) -> set[tuple[int, int, bytes]]:
+    """(start, end, token) of a run and of the parts and chains in it; padding goes with what ends at it."""
+    out = {(0, len(run), run)}
+    if _BETWEEN.search(run):
+        body = len(run.rstrip(b"="))
+        for pattern in (*_PARTS, *_CHAINS):
+            for m in pattern.finditer(run):
+                token = _BETWEEN.sub(b"", m.group()) if pattern in _CHAINS else m.group()
+                if len(token) >= LEAST and _LETTER.search(token):
+                    out.add((m.start(), len(run) if m.end() == body else m.end(), token + run[body:] if m.end() == body else token))
+    return out
+
+
+def candidates(column: pa.Array) -> Iterator[tuple[int, int, list[tuple[int, int, bytes]]]]:
+    """(row, start byte of a run, its candidates from there) of every run of an Arrow string column."""
     data, off = utf8(column)
     raw = memoryview(data)
     for row, (a, b) in enumerate(zip(off[:-1].tolist(), off[1:].tolist(), strict=True)):
@@ -149,7 +168,18 @@ def candidates(column: pa.Array) -> Iterator[tuple[int, int, bytes]]:
         for m in _CANDIDATE.finditer(text):
             token = m.group()
             if _LETTER.search(token):
-                yield row, m.start(), bytes(token)
+                yield row, m.start(), sorted(_within(bytes(token)))
+
+
+def discovered(column: pa.Array, found: Detector) -> Iterator[tuple[int, int, int, tuple]]:
+    """(row, start byte, end byte, tests) of every secret that lies in no other, in order; of one span the best evidence."""
+    for row, start, tokens in candidates(column):
+        hits = [(a, b, t) for a, b, token in tokens if found.secret((t := found.tests(token))[4], t[5])]
+        last = -1
+        for a, b, t in sorted(hits, key=lambda x: (x[0], -x[1], -x[2][5])):
+            if b > last:
+                last = b
+                yield row, start + a, start + b, t
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,9 +216,10 @@ def _bucket_batches(natural: Natural):
         probe = Detector(natural, None)
         for b in batches:
             out = []
-            for _, _, token in candidates(b["text"]):
-                *_, p, e = probe.tests(token)
-                out.append(math.floor(10 * e) if p >= RANDOM_FROM else None)
+            for _, _, tokens in candidates(b["text"]):
+                for _, _, token in tokens:
+                    *_, p, e = probe.tests(token)
+                    out.append(math.floor(10 * e) if p >= RANDOM_FROM else None)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["bucket"])
 
     return run
@@ -218,11 +249,9 @@ def scan(docs: DataFrame, detector: Detector | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, out = [], []
-            for row, start, token in candidates(b["text"]):
-                t = found.tests(token)
-                if found.secret(t[4], t[5]):
-                    rows.append(row)
-                    out.append((start, len(token), *t))
+            for row, start, end, t in discovered(b["text"], found):
+                rows.append(row)
+                out.append((start, end - start, *t))
             cols = list(zip(*out, strict=True)) if out else [[]] * 8
             types = [pa.int32(), pa.int32(), pa.string(), *[pa.float64()] * 5]
             ids = b["doc_id"].take(pa.array(rows, pa.int64()))
@@ -238,10 +267,11 @@ def redact(docs: DataFrame, detector: Detector | None = None) -> DataFrame:
     @F.arrow_udf("string")
     def masked(column: pa.Array) -> pa.Array:
         spans: dict[int, list[tuple[int, int]]] = {}
-        for row, start, token in candidates(column):
-            t = found.tests(token)
-            if found.secret(t[4], t[5]):
-                spans.setdefault(row, []).append((start, start + len(token)))
+        for row, start, end, _ in discovered(column, found):
+            cut = spans.setdefault(row, [])
+            if cut and start < cut[-1][1]:  # two that overlap are masked as one
+                start = cut.pop()[0]
+            cut.append((start, end))
         if not spans:
             return column.cast(pa.string())
         texts = column.to_pylist()

@@ -231,6 +231,25 @@ def test_secrets_found_and_masked(spark):
     assert secrets.scan(docs.limit(0)).count() == 0 and secrets.redact(docs.limit(0)).count() == 0
 
 
+def test_secrets_joined_to_other_parts(spark):
+    r = random.Random(12)
+    some = lambda n, of: "".join(r.choice(of) for _ in range(n))
+    low, digits, full = "0123456789abcdef", "0123456789", "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    uuid = lambda: "-".join(some(n, low) for n in (8, 4, 4, 4, 12))
+    web = lambda: base64.urlsafe_b64encode(r.randbytes(45)).decode()
+    kinds = [lambda: ("tok_", some(40, low)), lambda: ("a/", some(40, low)), lambda: ("key-", some(32, low)), lambda: ("", uuid()), lambda: ("api/v1/key-", uuid()), lambda: (f"xoxb-{some(12, digits)}-{some(12, digits)}-", some(24, full)), lambda: ("com/services/the/web/hooks/of/this/place/", web())]
+    made = [(k, *kind()) for k, kind in enumerate(kinds) for _ in range(20)]
+    rows = [(i, f"{prose(60, i)} see \"{before}{t}\" {prose(20, i + 50)}") for i, (_, before, t) in enumerate(made)]
+    rows += [(1000 + i, prose(200, i) + " over-complicated-mis_understandings path/to/some/other-file/without-secrets") for i in range(20)]
+    docs = table(spark, rows)
+    by = {x["doc_id"]: x["text"] for x in secrets.redact(docs).collect()}
+    for k in range(len(kinds)):
+        assert sum(t not in by[i] and by[i].endswith(rows[i][1][-40:]) and "[SECRET]" in by[i] for i, (kind, _, t) in enumerate(made) if kind == k) >= 18, k
+    assert all(by[i] == t for i, t in rows if i >= 1000)
+    got = secrets.scan(docs).collect()
+    assert {g["doc_id"] for g in got} == {i for i, t in by.items() if "[SECRET]" in t} and len({(g["doc_id"], g["start"]) for g in got}) == len(got)
+
+
 # -- URLs
 
 
