@@ -9,8 +9,10 @@ that size within ``RADIUS`` bits are found through 8 blocks of 8 bits, each prob
 most one changed bit (15 differing bits leave one block with one or none, so none within the radius is missed), and the
 exact similarity decides.
 
-Scale: the item side (weights and index) is what is shared with tasks; it is cut into slices of at most ``SLICE`` shingles,
-each with a scan of its own, so the broadcast is bounded however large the benchmark is. Document text is never shuffled;
+Scale: the item side (weights and index) is what is shared with tasks; it is cut into slices of about ``SLICE`` shingles,
+each with a scan of its own. A slice holds the weights of its own shingles and of those of other slices whose weight isn't
+that of unknown ones (several items have them), so every slice scores alike; only these shared shingles add to a broadcast
+as the benchmark grows. Document text is never shuffled;
 :func:`clean` joins narrow keys, broadcast only if they are few.
 
 Defined cases: null and empty texts and texts of fewer than 3 words match nothing; items of fewer than 3 words and null items
@@ -34,7 +36,7 @@ from .textkernel import Words, chunks, mix, need, row_key
 K = 3
 LEAST = 0.75
 RADIUS, BLOCKS = 15, 8
-#: Item shingles that one broadcast holds at most.
+#: Item shingles of a slice, about.
 SLICE = 2_000_000
 _U = np.uint64
 
@@ -76,17 +78,17 @@ def _item_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 class Weights:
-    """Weight of every item shingle (of one slice), and that of any other."""
+    """Weight of every item shingle of one slice and of those of other slices (without size bits) that need it, and that of any other."""
 
     def __init__(self, h: np.ndarray, weight: np.ndarray, sizes: np.ndarray, other: int):
         order = np.argsort(h)
         self.h, self.weight, self.other = h[order], weight[order].astype(np.int64), other
-        self.sizes = sizes[order].view(np.uint64)  # bit b: an item of a size that is b modulo 64 has it
+        self.sizes = sizes[order].view(np.uint64)  # bit b: an item of a size that is b modulo 64 has it; 0: no item of the slice
         self.maybe = np.zeros(1 << 22, bool)
         self.maybe[h >> _U(42)] = True
 
     def of(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(weight of every shingle, places of those that items have, size bits of these)."""
+        """(weight of every shingle, places of those that items of the slice have, size bits of these)."""
         weight, places, bits = np.full(len(h), self.other, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
         at = np.flatnonzero(self.maybe[h >> _U(42)])
         if len(at) and len(self.h):
@@ -94,6 +96,7 @@ class Weights:
             same = self.h[found] == h[at]
             places, bits = at[same], self.sizes[found[same]]
             weight[places] = self.weight[found[same]]
+            places, bits = places[bits != 0], bits[bits != 0]
         return weight, places, bits
 
 
@@ -190,6 +193,13 @@ def candidate_pairs(found: DataFrame, items: DataFrame, rows: int) -> DataFrame:
     return pairs.where((F.col("distance") <= RADIUS) & (F.array_position(near, True) == F.col("block") + 1))
 
 
+def _slice_weights(rarity: DataFrame, own: DataFrame, other: int) -> DataFrame:
+    """(h, sizes, weight) of the shingles of a slice's items, and without sizes of all others that don't weigh ``other``."""
+    mine = own.select(F.explode("h").alias("h")).distinct().withColumn("mine", F.lit(True))
+    both = rarity.join(mine, "h", "left").where(F.col("mine") | (F.col("weight") != other))
+    return both.select("h", F.when(F.col("mine"), F.col("sizes")).otherwise(F.lit(0).cast("long")).alias("sizes"), "weight")
+
+
 def matches_keyed(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
     """(doc_id, _k1, _k2, item_id, start_word, similarity, distance): the most similar window for every matching pair."""
     spark = docs.sparkSession
@@ -204,7 +214,7 @@ def matches_keyed(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -
     out = None
     for s in range(slices):
         own = items if slices == 1 else items.where(F.pmod(F.xxhash64("size", "h"), F.lit(slices)) == s)
-        table = (rarity if slices == 1 else rarity.join(own.select(F.explode("h").alias("h")).distinct(), "h", "left_semi")).toArrow()
+        table = (rarity if slices == 1 else _slice_weights(rarity, own, other)).toArrow()
         weights = Weights(table["h"].to_numpy().view(np.uint64), table["weight"].to_numpy(), table["sizes"].to_numpy(), other)
         sizes = sorted(r[0] for r in own.select("size").distinct().collect())
         if not sizes:

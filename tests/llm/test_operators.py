@@ -340,6 +340,20 @@ def test_slices_of_the_benchmark_give_the_same(spark, sf, monkeypatch):
     assert whole and sorted(map(tuple, decontaminate.matches(docs, bench).collect())) == whole
 
 
+def test_slices_share_the_weights_of_shared_shingles(spark, monkeypatch):
+    common = [prose(10, 300 + i) for i in range(7)]
+    items = [f"{prose(20, 400 + i)} {common[i % 7]}" for i in range(20)]
+    rows = []
+    for i in range(60):
+        passage = items[i % 20].split()
+        passage[:4] = common[(i + 1) % 7].split()[:4]
+        rows.append((i, f"{prose(20, 600 + i)} {' '.join(passage)} {prose(20, 900 + i)}"))
+    docs, bench = table(spark, rows), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    whole = sorted(map(tuple, decontaminate.matches(docs, bench).collect()))
+    monkeypatch.setattr(decontaminate, "SLICE", 80)
+    assert whole and sorted(map(tuple, decontaminate.matches(docs, bench).collect())) == whole
+
+
 # -- licenses
 
 
