@@ -1,6 +1,8 @@
 """Operator 8: HTML main-text extraction by a recurrent block labeller.
 
-A page is cut into leaf blocks: the text between block-level tags, without script, style, template, noscript and comments.
+A page is cut into leaf blocks: the text between block-level tags, without comments and without all that script, style,
+template, noscript, svg, iframe and select elements hold (to the page's end if they aren't closed; a self-closed svg holds
+nothing).
 A block is a vector: hashed embeddings of its tag path (names, class and id words of the last ancestors) and of its folded
 words, and shape numbers (length, links, punctuation, case, digits, place). A bidirectional LSTM in numpy reads the page's
 whole sequence in both directions, so every label sees the whole document, and blocks with a probability of at least
@@ -34,7 +36,7 @@ WIDTH = 2 * EMBED + SHAPE
 KEEP_FROM = 0.5
 SEED = 11
 _U = np.uint64
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|svg|iframe|select)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S | re.I)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<svg\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*/>|<(script|style|template|noscript|svg|iframe|select)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S | re.I)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data dfn em font i kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())

@@ -492,6 +492,14 @@ def test_blocks_of_broken_html():
     assert html_extract.blocks("") == [] and [b.text for b in html_extract.blocks("plain < text")] == ["plain < text"]
 
 
+def test_self_closed_svg_skips_only_itself(spark):
+    page = '<p>one</p><svg class="i"/><p>two <svg aria-label="a > b"/>two</p><svg><svg/><text>drawn</text></svg><p>three</p><svg><path d="x"/><p>inner</p></svg><select><option>no</select><p>four</p>'
+    assert [b.text for b in html_extract.blocks(page)] == ["one", "two two", "three", "four"]
+    article = "".join(f"<p>{prose(60, i)}.</p>" for i in range(6))
+    got = [html_extract.extract(spark.createDataFrame([(1, "u", f"<html><body>{icon}<article>{article}</article></body></html>")], "page_id long, url string, html string")).first()["text"] for icon in ("", "<svg class='i'/>")]
+    assert prose(60, 3) in got[0] and got[0] == got[1]
+
+
 def test_lstm_gradients():
     rng = np.random.default_rng(0)
     m = html_extract.Labeller(1)
