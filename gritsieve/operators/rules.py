@@ -490,19 +490,21 @@ def clones(functions: DataFrame, options: Options | None = None) -> DataFrame:
 
 
 def duplicate_mocks(setups: DataFrame, options: Options | None = None) -> DataFrame:
-    """(path, line, label, fingerprint) rows -> for every file, the setups it shares with two other files or more."""
+    """(path, line, label, fingerprint) rows -> for every file, the setups it shares with two other files or more.
+
+    A finding lists every place of every setup that its file shares, so a row is as long as the rule asks. Places travel as
+    ``path:line`` keys, whose duplicates a hash set drops.
+    """
     rule = "php.duplicate-mock-setup"
-    by = W.partitionBy("fingerprint")
-    files = F.size(F.collect_set("path").over(by))
-    shared = setups.withColumn("files", files).where("files >= 3")
-    clusters = shared.groupBy("fingerprint").agg(F.min("label").alias("label"), F.first("files").alias("files"), F.collect_set(F.struct("path", "line")).alias("at"))
-    each = shared.select("path", "fingerprint").distinct().join(clusters, "fingerprint")
-    g = each.groupBy("path").agg(
+    key = F.concat(F.col("path"), F.lit(":"), F.col("line").cast("string"))
+    of = lambda k: F.substring(k, 1, F.length(k) - F.length(F.substring_index(k, ":", -1)) - 1)
+    met = setups.groupBy("fingerprint").agg(F.min("label").alias("label"), F.collect_set(key).alias("at"), F.collect_set("path").alias("paths"))
+    shared = met.where(F.size("paths") >= 3).select(F.explode("paths").alias("path"), "label", F.size("paths").alias("files"), "at")
+    g = shared.groupBy("path").agg(
         F.array_sort(F.collect_list(F.concat(F.lit("setup="), "label", F.lit("|files="), F.col("files").cast("string")))).alias("items"),
-        F.sum(1.0 + F.greatest(F.lit(0), F.col("files") - 2) * 0.5).alias("score"), F.flatten(F.collect_list("at")).alias("at"),
+        F.sum(1.0 + F.greatest(F.lit(0), F.col("files") - 2) * 0.5).alias("score"), F.collect_list("at").alias("at"),
     )
-    at = F.array_distinct("at")
-    where = F.transform(F.array_sort(F.transform(at, lambda p: F.struct(F.concat(p["path"], F.lit(":"), p["line"].cast("string")).alias("k"), p.alias("p")))), lambda x: location(x["p"]["path"], x["p"]["line"]))
+    where = F.transform(F.sort_array(F.array_distinct(F.flatten("at"))), lambda k: location(of(k), F.substring_index(k, ":", -1).cast("int")))
     message = F.concat(F.lit("Found duplicated PHPUnit mock/setup pattern"), F.when(F.size("items") == 1, "").otherwise("s"))
     made = finding(rule, message, F.col("items"), F.least(F.lit(5.0), F.col("score")), where, _path(), order(2, F.lit(""), INDEX[rule], _path()))
     return g.select(made.alias("f")).select("f.*")
