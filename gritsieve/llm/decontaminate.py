@@ -4,16 +4,19 @@ Texts and items are word shingles (3 folded words). A shingle's weight is the ro
 similarity of a window and an item is the weighted Jaccard of their shingle multisets, and a match has at least ``least``.
 For an item of n words every window of n words of every document is a query (a shorter document is one window). Windows are
 screened without loss: shared weight is at most the weight of the window's shingles that an item has, so a window in which
-these weigh less than ``least`` of the whole can't match any item; only shingles of items of the window's size count. What is left gets a 64-bit weighted SimHash; items of
-that size within ``RADIUS`` bits are found through 8 blocks of 8 bits, each probed on the item side with every value of at
-most one changed bit (15 differing bits leave one block with one or none, so none within the radius is missed), and the
-exact similarity decides.
-
-Scale: the item side (weights and index) is what is shared with tasks; it is cut into slices of about ``SLICE`` shingles,
-each with a scan of its own. A slice holds the weights of its own shingles and of those of other slices whose weight isn't
-that of unknown ones (several items have them), so every slice scores alike; only these shared shingles add to a broadcast
-as the benchmark grows. Document text is never shuffled;
-:func:`clean` joins narrow keys, broadcast only if they are few.
+these weigh less than ``least`` of the whole can't match any item; only shingles of items of the window's size count. What
+is left gets a 64-bit weighted SimHash, by prefix sums over the text. Items of that size within ``RADIUS`` bits are found
+through 8 blocks of 8 bits, each listing every item under all values with at most one changed bit (15 differing bits leave
+one block with one or none, so none within the radius is missed). The exact similarity of a candidate item is computed for
+all windows of the document at once: a shingle counts in a window unless the window already holds as many of it as the item
+has, so each place adds its weight to one run of windows, and verifying costs time linear in the text, whatever the item's
+length.
+
+Scale: one map over the documents; neither text nor windows are shuffled, and :func:`clean` is a filter in the scan. The item
+side (weights, shingles and index) is what is shared with tasks; it is cut into slices of about ``SLICE`` shingles, each with
+a scan of its own. A slice holds the weights of its own shingles and of those of other slices whose weight isn't that of
+unknown ones (several items have them), so every slice scores alike; only these shared shingles add to a broadcast as the
+benchmark grows.
 
 Defined cases: null and empty texts and texts of fewer than 3 words match nothing; items of fewer than 3 words and null items
 are left out; texts of any length are covered whole; repeated items report each, repeated rows report once per (doc_id,
@@ -30,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Stored, small_side
+from .shared import Stored
 from .textkernel import Words, chunks, mix, need, row_key
 
 K = 3
@@ -38,29 +41,34 @@ LEAST = 0.75
 RADIUS, BLOCKS = 15, 8
 #: Item shingles of a slice, about.
 SLICE = 2_000_000
+#: Shingles whose SimHash sums are held at once.
+_SPAN = 1 << 16
 _U = np.uint64
 
 
-def occurrences(h: np.ndarray) -> np.ndarray:
-    """Hashes of (shingle, how often it was met before in the row), for (rows, shingles): sets of these are multisets."""
-    order = np.argsort(h, axis=1, kind="stable")
-    s = np.take_along_axis(h, order, 1)
-    at = np.broadcast_to(np.arange(s.shape[1]), s.shape)
-    begin = np.maximum.accumulate(np.where(np.concatenate([np.ones((len(s), 1), bool), s[:, 1:] != s[:, :-1]], 1), at, 0), axis=1)
-    out = np.empty_like(h)
-    with np.errstate(over="ignore"):
-        np.put_along_axis(out, order, mix(s + (at - begin).astype(np.uint64) * _U(0x9E3779B97F4A7C15)), 1)
-    return out
-
-
-def simhash(h: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """64-bit weighted SimHash of each row of (rows, shingles) hashes and weights."""
-    out = np.empty(len(h), np.uint64)
-    for a in range(0, len(h), 128):
-        x, w = mix(h[a : a + 128] ^ _U(0xA24BAED4963EE407)), weight[a : a + 128].astype(np.float32)
-        bits = np.unpackbits(np.ascontiguousarray(x).view(np.uint8).reshape(*x.shape, 8), axis=2, bitorder="little")
-        total = np.matmul(w[:, None, :], bits.astype(np.float32))[:, 0]
-        out[a : a + 128] = np.packbits(2 * total > w.sum(1, keepdims=True), axis=1, bitorder="little").view(np.uint64)[:, 0]
+def simhashes(h: np.ndarray, weight: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """64-bit weighted SimHash of each range [start, stop) (starts ascending) of shingles: bit b is set if the shingles with it weigh more than those without."""
+    out = np.zeros(len(start), np.uint64)
+    if len(start):  # only what some range holds counts
+        low, high = int(start.min()), int(stop.max())
+        edge = np.bincount(start - low, minlength=high - low + 1) - np.bincount(stop - low, minlength=high - low + 1)
+        inside = np.cumsum(edge[:-1]) > 0
+        place = np.concatenate([[0], np.cumsum(inside)])
+        h, weight, start, stop = h[low:high][inside], weight[low:high][inside], place[start - low], place[stop - low]
+    at = 0
+    while at < len(start):
+        low = int(start[at])
+        end = max(at + 1, int(np.searchsorted(start, low + _SPAN)))
+        high = int(stop[at:end].max())
+        w = weight[low:high]
+        run = np.concatenate([[0], np.cumsum(w)])
+        a, b = start[at:end] - low, stop[at:end] - low
+        half = run[b] - run[a]
+        x = mix(h[low:high] ^ _U(0xA24BAED4963EE407))
+        for bit in range(64):
+            np.cumsum(w * ((x >> _U(bit)) & _U(1)).astype(np.int64), out=run[1:])
+            out[at:end] |= (2 * (run[b] - run[a]) > half).astype(np.uint64) << _U(bit)
+        at = end
     return out
 
 
@@ -106,13 +114,88 @@ def _between(places: np.ndarray, weight: np.ndarray, low: np.ndarray, high: np.n
     return run[np.searchsorted(places, high)] - run[np.searchsorted(places, low)]
 
 
-def windows(data: np.ndarray, off: np.ndarray, sizes: list[int], weights: Weights, least: float) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(item size, rows, first words, SimHashes, occurrence hashes (n, shingles), weights) of the windows that pass the screen."""
-    words = Words(data, off)
-    h, first = words.shingles(K)
+def _slice_weights(rarity: DataFrame, own: DataFrame, other: int) -> DataFrame:
+    """(h, sizes, weight) of the shingles of a slice's items, and without sizes of all others that don't weigh ``other``."""
+    mine = own.select(F.explode("h").alias("h")).distinct().withColumn("mine", F.lit(True))
+    both = rarity.join(mine, "h", "left").where(F.col("mine") | (F.col("weight") != other))
+    return both.select("h", F.when(F.col("mine"), F.col("sizes")).otherwise(F.lit(0).cast("long")).alias("sizes"), "weight")
+
+
+class Items:
+    """The items of a slice, each distinct text once: shingles, SimHashes, and for every size the blocks' lists."""
+
+    def __init__(self, sizes: np.ndarray, shingles: list[np.ndarray], weights: Weights):
+        self.names: list[int] = []  # of every row given, the distinct item it is
+        known: dict[bytes, int] = {}
+        self.size, self.h = [], []
+        for n, h in zip(sizes.tolist(), shingles, strict=True):
+            key = h.tobytes()
+            if key not in known:
+                known[key] = len(self.h)
+                self.size.append(n)
+                self.h.append(np.ascontiguousarray(h).view(np.uint64))
+            self.names.append(known[key])
+        self.size = np.array(self.size, np.int64)
+        self.total = np.zeros(len(self.h), np.int64)
+        fp = np.zeros(len(self.h), np.uint64)
+        for i, h in enumerate(self.h):
+            w = weights.of(h)[0]
+            self.total[i] = w.sum()
+            fp[i] = simhashes(h, w, np.zeros(1, np.int64), np.full(1, len(h)))[0]
+        self.by_size: dict[int, tuple[np.ndarray, np.ndarray, list]] = {}
+        flips = np.array([0, *(1 << np.arange(8))])
+        for n in np.unique(self.size).tolist():
+            own = np.flatnonzero(self.size == n)
+            lists = []
+            for block in range(BLOCKS):
+                value = ((fp[own] >> _U(8 * block)) & _U(255)).astype(np.int64)
+                probe = (value[:, None] ^ flips).reshape(-1)
+                order = np.argsort(probe, kind="stable")
+                lists.append((np.searchsorted(probe[order], np.arange(257)), np.repeat(np.arange(len(own)), len(flips))[order]))
+            self.by_size[n] = own, fp[own], lists
+
+    def near(self, size: int, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(window, item, distance) of all pairs within RADIUS bits, each once."""
+        own, item_fp, lists = self.by_size[size]
+        out = []
+        for begin in range(0, len(fp), 1 << 12):
+            part = fp[begin : begin + (1 << 12)]
+            for block, (first, listed) in enumerate(lists):
+                value = ((part >> _U(8 * block)) & _U(255)).astype(np.int64)
+                have = first[value + 1] - first[value]
+                window = np.repeat(np.arange(len(part)), have)
+                item = listed[np.repeat(first[value] - np.cumsum(have) + have, have) + np.arange(have.sum())]
+                x = part[window] ^ item_fp[item]
+                ok = np.bitwise_count(x) <= RADIUS
+                for earlier in range(block):  # of the blocks in which a pair meets, only the first counts
+                    ok &= np.bitwise_count((x >> _U(8 * earlier)) & _U(255)) > 1
+                out.append((window[ok] + begin, own[item[ok]], np.bitwise_count(x[ok])))
+        return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
+
+
+def shared_weights(h: np.ndarray, weight: np.ndarray, item: np.ndarray, length: int) -> np.ndarray:
+    """For every window of ``length`` shingles (the last one of a shorter text being whole): the weight it shares with the item."""
+    count = max(1, len(h) - length + 1)
+    kinds, have = np.unique(item, return_counts=True)
+    at = np.minimum(np.searchsorted(kinds, h), len(kinds) - 1)
+    place = np.flatnonzero(kinds[at] == h)
+    kind = at[place]
+    order = np.argsort(kind, kind="stable")
+    s, k = place[order], kind[order]
+    begin = np.searchsorted(k, k)
+    back = np.arange(len(k)) - have[k]  # the occurrence that must have left the window
+    since = np.where(back >= begin, s[np.maximum(back, 0)] + 1, 0)
+    low, high = np.maximum(since, s - length + 1), np.minimum(s, count - 1)
+    keep = low <= high
+    run = np.zeros(count + 1, np.int64)
+    np.add.at(run, low[keep], weight[s[keep]])
+    np.add.at(run, high[keep] + 1, -weight[s[keep]])
+    return np.cumsum(run[:-1])
+
+
+def screened(words: Words, h: np.ndarray, first: np.ndarray, sizes: list[int], weights: Weights, least: float) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(item size, rows, first and end shingle of the windows that pass the screen, weight of all shingles)."""
     count = np.diff(words.first)
-    if not len(h):
-        return
     weight, hit, bits = weights.of(h)
     if not len(hit):
         return
@@ -129,123 +212,108 @@ def windows(data: np.ndarray, off: np.ndarray, sizes: list[int], weights: Weight
     for size in sizes:
         n = size - K + 1
         own_hit = hit[(bits >> _U(size % 64)) & _U(1) == 1]
-        fits = at + n <= end[at]
-        for part in (at[fits], at[~fits & whole[at] & (count[row[at]] < size)]):
-            stop = np.minimum(part + n, end[part])
-            part = part[_between(own_hit, weight[own_hit], part, stop) >= least * (total[stop] - total[part])]
-            if not len(part):
-                continue
-            for length in np.unique(np.minimum(n, end[part] - part)):
-                own = part[np.minimum(n, end[part] - part) == length]
-                for a in range(0, len(own), 4096):
-                    p = own[a : a + 4096]
-                    index = p[:, None] + np.arange(length)
-                    yield size, row[p], p - first[:-1][row[p]], simhash(h[index], weight[index]), occurrences(h[index]), weight[index]
-
-
-def _window_batches(sizes: list[int], shared, least: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = shared.value
-        for b in batches:
-            for start, _, data, off in chunks(b["text"]):
-                for size, row, word, fp, occ, weight in windows(data, off, sizes, weights, least):
-                    at = pa.array(row + start)
-                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(row) + 1, dtype=np.int32) * occ.shape[1]), pa.array(occ.reshape(-1).view(np.int64)))
-                    cols = [b[c].take(at) for c in ("doc_id", "_k1", "_k2")]
-                    cols += [pa.array(word.astype(np.int32)), pa.array(np.full(len(row), size, np.int32)), pa.array(fp.view(np.int64)), lists, pa.array(weight.sum(1))]
-                    yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "_k1", "_k2", "start_word", "size", "fp", "seen", "total"])
-
-    return run
-
-
-def _item_index(weights: Weights):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fps, seen, weight, total = [], [], [], []
-            for values in b["h"].to_pylist():
-                h = np.array(values, np.int64).view(np.uint64)[None, :]
-                w = weights.of(h[0])[0][None, :]
-                fps.append(simhash(h, w).view(np.int64)[0])
-                seen.append(occurrences(h)[0].view(np.int64))
-                weight.append(w[0])
-                total.append(int(w.sum()))
-            yield pa.RecordBatch.from_arrays(
-                [b["item_id"], b["size"], pa.array(np.array(fps, np.int64)), pa.array(seen, pa.list_(pa.int64())), pa.array(weight, pa.list_(pa.int64())), pa.array(total, pa.int64())],
-                names=["item_id", "size", "item_fp", "item_seen", "item_weight", "item_total"],
-            )
-
-    return run
-
+        part = at[(at + n <= end[at]) | (whole[at] & (count[row[at]] < size))]
+        stop = np.minimum(part + n, end[part])
+        pass_ = _between(own_hit, weight[own_hit], part, stop) >= least * (total[stop] - total[part])
+        if pass_.any():
+            yield size, row[part[pass_]], part[pass_], stop[pass_], weight
 
-def _blocks(fp: str):
-    return [F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(F.col(fp), 8 * i).bitwiseAND(255).cast("int").alias("value")) for i in range(BLOCKS)]
 
-
-def candidate_pairs(found: DataFrame, items: DataFrame, rows: int) -> DataFrame:
-    """Windows joined to items of their size whose fingerprints differ in at most RADIUS bits; each pair once."""
-    probes = F.array(F.lit(0), *[F.lit(1 << i) for i in range(8)])
-    index = items.withColumn("b", F.explode(F.array(*_blocks("item_fp")))).withColumn("flip", F.explode(probes))
-    index = index.select("item_id", "size", "item_fp", "item_seen", "item_weight", "item_total", F.col("b.block").alias("block"), F.col("b.value").bitwiseXOR(F.col("flip")).alias("value"))
-    probed = found.withColumn("b", F.explode(F.array(*_blocks("fp")))).select("*", F.col("b.block").alias("block"), F.col("b.value").alias("value")).drop("b")
-    pairs = probed.join(small_side(index, rows), ["size", "block", "value"]).withColumn("distance", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))))
-    # of the blocks in which a pair meets, only the first counts
-    near = F.array(*[F.bit_count(F.shiftrightunsigned(F.col("fp").bitwiseXOR(F.col("item_fp")), 8 * i).bitwiseAND(255)) <= 1 for i in range(BLOCKS)])
-    return pairs.where((F.col("distance") <= RADIUS) & (F.array_position(near, True) == F.col("block") + 1))
-
-
-def _slice_weights(rarity: DataFrame, own: DataFrame, other: int) -> DataFrame:
-    """(h, sizes, weight) of the shingles of a slice's items, and without sizes of all others that don't weigh ``other``."""
-    mine = own.select(F.explode("h").alias("h")).distinct().withColumn("mine", F.lit(True))
-    both = rarity.join(mine, "h", "left").where(F.col("mine") | (F.col("weight") != other))
-    return both.select("h", F.when(F.col("mine"), F.col("sizes")).otherwise(F.lit(0).cast("long")).alias("sizes"), "weight")
+def found_in(data: np.ndarray, off: np.ndarray, weights: Weights, items: Items, least: float) -> list[tuple[int, int, int, float, int]]:
+    """(row, distinct item, first word, similarity, distance) of the best window of every item that a row of the chunk holds."""
+    words = Words(data, off)
+    h, first = words.shingles(K)
+    out = []
+    if not len(h) or not len(items.h):
+        return out
+    for size, row, start, stop, weight in screened(words, h, first, sorted(items.by_size), weights, least):
+        window, item, distance = items.near(size, simhashes(h, weight, start, stop))
+        if not len(window):
+            continue
+        order = np.lexsort((start[window], item, row[window]))
+        window, item, distance = window[order], item[order], distance[order]
+        cut = np.flatnonzero(np.concatenate([[True], (row[window][1:] != row[window][:-1]) | (item[1:] != item[:-1])]))
+        for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(window)], strict=True):
+            r, i = int(row[window[a]]), int(item[a])
+            low, high = int(first[r]), int(first[r + 1])
+            met = shared_weights(h[low:high], weight[low:high], items.h[i], size - K + 1)
+            own = window[a:b]
+            run = np.concatenate([[0], np.cumsum(weight[low:high])])
+            both = met[start[own] - low]
+            similarity = both / (run[stop[own] - low] - run[start[own] - low] + items.total[i] - both)
+            best = int(np.argmax(similarity))  # the earliest of the best
+            if similarity[best] >= least:
+                out.append((r, i, int(start[own[best]] - low), float(similarity[best]), int(distance[a + best])))
+    return out
 
 
-def matches_keyed(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
-    """(doc_id, _k1, _k2, item_id, start_word, similarity, distance): the most similar window for every matching pair."""
-    spark = docs.sparkSession
+def _slices(benchmark: DataFrame) -> Iterator[tuple[Weights, Items, pa.Array]]:
+    """(weights, distinct items, item_id of every item row) of every slice of the benchmark."""
     kind = benchmark.schema["item_id"].dataType.simpleString()
-    items = Stored(need(benchmark, "item_id", "text").where(F.col("text").isNotNull()).mapInArrow(_item_batches, f"item_id {kind}, size int, h array<long>")).df
+    kept = Stored(need(benchmark, "item_id", "text").where(F.col("text").isNotNull()).mapInArrow(_item_batches, f"item_id {kind}, size int, h array<long>"))
+    items = kept.df
     n, shingles = items.agg(F.count("*"), F.coalesce(F.sum(F.size("h")), F.lit(0))).first()
     slices = max(1, -(-shingles // SLICE))
     rarity = items.select((F.col("size") % 64).alias("bit"), F.explode(F.array_distinct("h")).alias("h")).groupBy("h").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("sizes"), F.greatest(F.lit(1), F.round(8 * F.log(1 + F.lit(n) / F.count("*")))).cast("long").alias("weight"))
     other = max(1, round(8 * float(np.log(1 + n))))
-    rows = need(docs, "doc_id", "text").where(F.col("text").isNotNull()).select("doc_id", "text", *row_key(F.col("text")))
-    doc_kind = docs.schema["doc_id"].dataType.simpleString()
-    out = None
     for s in range(slices):
         own = items if slices == 1 else items.where(F.pmod(F.xxhash64("size", "h"), F.lit(slices)) == s)
         table = (rarity if slices == 1 else _slice_weights(rarity, own, other)).toArrow()
         weights = Weights(table["h"].to_numpy().view(np.uint64), table["weight"].to_numpy(), table["sizes"].to_numpy(), other)
-        sizes = sorted(r[0] for r in own.select("size").distinct().collect())
-        if not sizes:
-            sizes = [K]
-        shared = spark.sparkContext.broadcast(weights)
-        found = rows.mapInArrow(_window_batches(sizes, shared, least), f"doc_id {doc_kind}, _k1 long, _k2 long, start_word int, size int, fp long, seen array<long>, total long")
-        index = own.mapInArrow(_item_index(weights), f"item_id {kind}, size int, item_fp long, item_seen array<long>, item_weight array<long>, item_total long")
-        pairs = candidate_pairs(found, index, -(-n // slices) * 9 * BLOCKS)
-        shared_weight = F.expr("aggregate(zip_with(item_seen, item_weight, (h, w) -> if(array_contains(seen, h), w, 0L)), 0L, (a, x) -> a + x)")
-        scored = pairs.withColumn("shared", shared_weight).withColumn("similarity", F.col("shared") / (F.col("total") + F.col("item_total") - F.col("shared"))).where(F.col("similarity") >= least)
-        part = scored.groupBy("doc_id", "_k1", "_k2", "item_id").agg(F.max(F.struct("similarity", (-F.col("start_word")).alias("s"), (-F.col("distance")).alias("d"))).alias("best"))
-        part = part.select("doc_id", "_k1", "_k2", "item_id", (-F.col("best.s")).alias("start_word"), F.col("best.similarity").alias("similarity"), (-F.col("best.d")).alias("distance"))
-        out = part if out is None else out.unionByName(part)
-    return out
+        rows = own.toArrow().combine_chunks()
+        lists = rows["h"].combine_chunks() if len(rows) else pa.array([], pa.list_(pa.int64()))
+        values, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
+        yield weights, Items(rows["size"].to_numpy(), [values[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)], weights), rows["item_id"].combine_chunks()
+    kept.drop()
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
-    """(doc_id, item_id, start_word, similarity, distance) of every document that holds an item."""
-    return matches_keyed(docs, benchmark, least).drop("_k1", "_k2")
+    """(doc_id, item_id, start_word, similarity, distance): the most similar window of every item that a document holds."""
+    kind, doc_kind = (t.schema[c].dataType.simpleString() for t, c in ((benchmark, "item_id"), (docs, "doc_id")))
+    rows = need(docs, "doc_id", "text").where(F.col("text").isNotNull()).select("doc_id", "text", *row_key(F.col("text")))
+    out = None
+    for weights, items, names in _slices(benchmark):
+        of = [[] for _ in items.h]
+        for place, item in enumerate(items.names):
+            of[item].append(place)
+        shared = docs.sparkSession.sparkContext.broadcast((weights, items, of, names))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            weights, items, of, names = shared.value
+            for b in batches:
+                for begin, _, data, off in chunks(b["text"]):
+                    got = [(r + begin, place, w, s, d) for r, i, w, s, d in found_in(data, off, weights, items, least) for place in of[i]]
+                    if got:
+                        at, item, word, similarity, distance = zip(*got, strict=True)
+                        cols = [b[c].take(pa.array(at)) for c in ("doc_id", "_k1", "_k2")]
+                        yield pa.RecordBatch.from_arrays([*cols, names.take(pa.array(item)), pa.array(word, pa.int32()), pa.array(similarity, pa.float64()), pa.array(distance, pa.int32())], names=["doc_id", "_k1", "_k2", "item_id", "start_word", "similarity", "distance"])
+
+        part = rows.mapInArrow(run, f"doc_id {doc_kind}, _k1 long, _k2 long, item_id {kind}, start_word int, similarity double, distance int")
+        out = part if out is None else out.unionByName(part)
+    best = out.groupBy("doc_id", "_k1", "_k2", "item_id").agg(F.max(F.struct("similarity", (-F.col("start_word")).alias("s"), (-F.col("distance")).alias("d"))).alias("best"))
+    return best.select("doc_id", "item_id", (-F.col("best.s")).alias("start_word"), F.col("best.similarity").alias("similarity"), (-F.col("best.d")).alias("distance"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
     """``docs``, all columns, without the texts that hold an item."""
-    found = Stored(matches_keyed(docs, benchmark, least).select(F.col("_k1").alias("_x1"), F.col("_k2").alias("_x2")).distinct()).df
     names = docs.columns
-    k1, k2 = "_dc1", "_dc2"
-    while {k1, k2} & {n.lower() for n in names}:
-        k1, k2 = k1 + "_", k2 + "_"
-    keyed = docs.select("*", *[c.alias(n) for c, n in zip(row_key(F.col("`text`")), (k1, k2), strict=True)])
-    keys = small_side(found.select(F.col("_x1").alias(k1 + "x"), F.col("_x2").alias(k2 + "x")), found.count())
-    return keyed.join(keys, (F.col(k1) == F.col(k1 + "x")) & (F.col(k2) == F.col(k2 + "x")), "left_anti").select(*[F.col(f"`{n}`") for n in names])
+    out = docs
+    for weights, items, _ in _slices(benchmark):
+        out = out.where(~_holds(docs.sparkSession.sparkContext.broadcast((weights, items)), least)(F.col("`text`")))
+    return out.select(*[F.col(f"`{n}`") for n in names])
+
+
+def _holds(shared, least: float):
+    @F.arrow_udf("boolean")
+    def holds(column: pa.Array) -> pa.Array:
+        weights, items = shared.value
+        hit = np.zeros(len(column), bool)
+        for begin, _, data, off in chunks(column):
+            for r, *_ in found_in(data, off, weights, items, least):
+                hit[begin + r] = True
+        return pa.array(hit)
+
+    return holds
 
 
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

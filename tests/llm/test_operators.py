@@ -2,6 +2,7 @@ import base64
 import io
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -279,58 +280,94 @@ def brute_similarity(a, b, weight):
     return low / high if high else 0.0
 
 
+def brute_matches(rows, items):
+    """By the definition: every window of an item's size, SimHash distance at most RADIUS, exact similarity at least LEAST."""
+    from collections import Counter
+
+    ws = lambda t: re.findall("[a-z0-9]+", (t or "").lower())
+    grams = lambda w: [tuple(w[k : k + 3]) for k in range(len(w) - 2)]
+    counts = Counter(s for _, t in items for s in set(grams(ws(t))))
+    n = sum(len(ws(t)) >= 3 for _, t in items)
+    weight = lambda s: max(1, round(8 * np.log(1 + n / counts[s]))) if s in counts else max(1, round(8 * float(np.log(1 + n))))
+
+    def bits(w):
+        raw = " ".join(w).encode()
+        h, _ = textkernel.Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)])).shingles(3)
+        of = np.array([weight(s) for s in grams(w)])
+        x = textkernel.mix(h ^ np.uint64(0xA24BAED4963EE407))
+        return sum((1 << b) for b in range(64) if 2 * of[(x >> np.uint64(b)) & np.uint64(1) == 1].sum() > of.sum())
+
+    out = {}
+    for i, t in rows:
+        w = ws(t)
+        for j, item in items:
+            b = ws(item)
+            if len(b) < 3 or len(w) < 3 or not set(grams(w)) & set(grams(b)):
+                continue  # no shared shingle, no similarity
+            near = [(brute_similarity(x, b, weight), -k) for k in range(max(1, len(w) - len(b) + 1)) if (bits(x := w[k : k + len(b)]) ^ bits(b)).bit_count() <= decontaminate.RADIUS]
+            if near and max(near)[0] >= decontaminate.LEAST:
+                out[i, j] = max(near)[0], -max(near)[1]
+    return out
+
+
 def test_decontamination_matches_brute_force(spark):
     r = random.Random(7)
-    items = [prose(r.randint(12, 40), 100 + i) for i in range(12)]
-    rows = []
+    items = [(i, prose(r.randint(12, 40), 100 + i)) for i in range(12)] + [(20, "no no no no no no yes no no no")]
+    rows = [(200, "no no no no no no no yes no no no"), (201, "yes no no"), (202, items[0][1] + " " + items[0][1])]
     for i in range(80):
         words = prose(r.randint(0, 120), 500 + i).split()
         if i % 2:
-            passage = r.choice(items).split()
+            passage = r.choice(items[:12])[1].split()
             if i % 4 == 3:
                 passage[r.randrange(len(passage))] = "zzz"
             at = r.randint(0, len(words))
             words = words[:at] + passage + words[at:]
         rows.append((i, " ".join(words)))
-    bench = spark.createDataFrame([(i, t, "x") for i, t in enumerate(items)] + [(90, None, "x"), (91, "two words", "x"), (92, "", "x")], "item_id long, text string, size string")
-    got = {(g["doc_id"], g["item_id"]): g["similarity"] for g in decontaminate.matches(table(spark, rows), bench).collect()}
-    counts = {}
-    for t in items:
-        for s in {tuple(t.split()[i : i + 3]) for i in range(len(t.split()) - 2)}:
-            counts[s] = counts.get(s, 0) + 1
-    n = len(items)
-    weight = lambda s: max(1, round(8 * np.log(1 + n / counts[s]))) if s in counts else max(1, round(8 * float(np.log(1 + n))))
-    want = {}
-    for i, t in rows:
-        w = t.split()
-        for j, item in enumerate(items):
-            b = item.split()
-            if not {tuple(w[k : k + 3]) for k in range(len(w) - 2)} & {tuple(b[k : k + 3]) for k in range(len(b) - 2)}:
-                continue  # no shared shingle, no similarity
-            spans = [w[k : k + len(b)] for k in range(max(1, len(w) - len(b) + 1))]
-            best = max(brute_similarity(s, b, weight) for s in spans)
-            if best >= decontaminate.LEAST:
-                want[i, j] = best
-    assert len(want) >= 25 and set(got) <= set(want) and len(got) >= 0.9 * len(want)
-    assert all(abs(got[k] - want[k]) < 1e-9 for k in got)
+    bench = spark.createDataFrame([(i, t, "x") for i, t in items] + [(90, None, "x"), (91, "two words", "x"), (92, "", "x")], "item_id long, text string, size string")
+    docs = table(spark, rows)
+    got = {(g["doc_id"], g["item_id"]): (g["similarity"], g["start_word"]) for g in decontaminate.matches(docs, bench).collect()}
+    want = brute_matches(rows, items)
+    assert len(want) >= 30 and set(got) == set(want)
+    assert all(abs(got[k][0] - want[k][0]) < 1e-9 and got[k][1] == want[k][1] for k in got)
+    assert set(ids(docs)) - set(ids(decontaminate.clean(docs, bench))) == {i for i, _ in want}
+
+
+@given(st.lists(st.integers(0, 3), min_size=1, max_size=40), st.lists(st.integers(0, 3), min_size=1, max_size=12))
+@settings(max_examples=80, deadline=None)
+def test_shared_weights_of_all_windows(text, item):
+    from collections import Counter
+
+    h, own = np.array(text, np.uint64), np.array(item, np.uint64)
+    weight = np.array([1, 5, 2, 7])[text]
+    got = decontaminate.shared_weights(h, weight, own, len(item)).tolist()
+    have = Counter(item)
+    assert got == [sum(min(n, have[s]) * (1, 5, 2, 7)[s] for s, n in Counter(text[k : k + len(item)]).items()) for k in range(max(1, len(text) - len(item) + 1))]
 
 
 def test_decontamination_awkward_rows(spark):
     bench = spark.createDataFrame([(1, prose(80, 2)), (1, prose(80, 2)), (None, prose(30_000, 9))], "item_id long, text string")
     docs = table(spark, awkward())
+    began = time.time()
     got = sorted((str(g["doc_id"]), str(g["item_id"])) for g in decontaminate.matches(docs, bench).collect())
-    assert got == [("5", "1"), ("6", "1"), ("7", "None")]
+    assert got == [("5", "1"), ("6", "1"), ("7", "None")] and time.time() - began < 30
     kept = decontaminate.clean(docs, bench)
     assert kept.columns == docs.columns and ids(kept) == [1, 2, 3, 4, 8, 9, None, None]
     assert decontaminate.clean(docs, bench.limit(0)).count() == docs.count() and decontaminate.matches(docs.limit(0), bench).count() == 0
 
 
 def test_blocks_guarantee_the_radius():
-    rng = np.random.default_rng(0)
-    for _ in range(300):
-        bits = rng.choice(64, decontaminate.RADIUS, False)
-        per = np.bincount(bits // 8, minlength=8)
-        assert per.min() <= 1
+    r = np.random.default_rng(0)
+    bench = [r.integers(0, 2**63, 20, np.uint64) for _ in range(300)]
+    none = np.zeros(0, np.uint64)
+    items = decontaminate.Items(np.full(300, 22), bench, decontaminate.Weights(none, none.astype(np.int64), none.astype(np.int64), 3))
+    _, fps, _ = items.by_size[22]
+    probes = fps.copy()
+    for i in range(len(probes)):
+        for bit in r.choice(64, i % 25, False):
+            probes[i] ^= np.uint64(1 << int(bit))
+    window, item, distance = items.near(22, probes)
+    want = {(i, j): d for i in range(300) for j in range(300) if (d := int(np.bitwise_count(probes[i] ^ fps[j]))) <= decontaminate.RADIUS}
+    assert len(window) == len(want) and dict(zip(zip(window.tolist(), item.tolist(), strict=True), distance.tolist(), strict=True)) == want
 
 
 def test_slices_of_the_benchmark_give_the_same(spark, sf, monkeypatch):
