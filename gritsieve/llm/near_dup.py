@@ -4,15 +4,18 @@ Every text gets a 128-bit SimHash of its distinct folded words. Fingerprints wit
 groups are the connected components of neighbours. Neighbours are found as May and Ozerov (2015) do: coordinates are
 permuted and cut into strips; a node of the recursion draws random centres and keeps, for each, the fingerprints whose
 distance to the centre on the node's strip is at most ``weight``; the kept lists recurse on the next strip with centres of
-their own until lists are small, and are then searched by brute force. The number of centres is computed so that a pair *at*
-the radius is met with probability ``recall`` (nearer pairs more often). Depth and weight follow from the count of distinct
-fingerprints by a cost model (:func:`plan`).
+their own, and after ``depth`` strips are small and searched by brute force. The number of centres is computed so that a pair
+*at* the radius is met with probability ``recall`` (nearer pairs more often). Depth and weight are parameters (:class:`Plan`)
+and the same at every size, so which pairs are met doesn't depend on other rows; :func:`cheapest` says which would cost least
+for an expected number of distinct fingerprints. The default is the cheapest with two levels for 12 million.
 
 Scale: exact copies and texts with equal fingerprints collapse before the search, so a hot group costs one row; the
-recursion is a map over fingerprints (32 bytes a row are shuffled, text never); a leaf emits a spanning forest, not all
-pairs. Rows in and out:
+recursion is a map over fingerprints (32 bytes a row are shuffled, text never). A leaf emits a spanning forest, not all
+pairs, and in a leaf beyond ``LEAF`` rows what a pivot's neighbourhood already joins isn't compared again, so a large group
+of copies that differ costs linear time. Groups are counted by partial aggregation; no window spans a group. Rows in and out:
 
-* null or wordless texts have no fingerprint and are in no group;
+* null texts are in no group; wordless texts (empty, white space, punctuation) have no fingerprint and are grouped with
+  exact copies alone;
 * texts of any length have one; equal texts, also those of repeated rows, have the same one;
 * a null ``doc_id`` counts as greater than all others, so it represents a group only if all are null;
 * repeated rows (the same id and text) are one member; an empty table gives an empty result;
@@ -24,11 +27,11 @@ from __future__ import annotations
 import functools
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .components import components
@@ -36,10 +39,10 @@ from .shared import Stored
 from .textkernel import Words, chunks, mix, need, row_key
 
 BITS, STRIP = 128, 64
-#: Levels of the recursion at most; two cut one permutation of the coordinates, further ones another.
-LEVELS = 4
 RADIUS = 20
 RECALL = 0.9
+#: Rows of a leaf up to which all its pairs are compared.
+LEAF = 1024
 _U = np.uint64
 _LANES = _U(0x0101010101010101)
 
@@ -85,17 +88,17 @@ def fingerprints(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         fp, have = fingerprints(b["text"])
-        keep = pa.array(have)
+        key = np.stack([b[c].to_numpy(zero_copy_only=False).view(np.uint64) for c in ("_k1", "_k2")], 1)
+        fp = np.where(have[:, None], fp, key)  # without words, the text's hash
         hi, lo = (pa.array(np.ascontiguousarray(fp[:, j]).view(np.int64)) for j in (0, 1))
-        rest = [b[c] for c in ("doc_id", "_k1", "_k2")]
-        yield pa.RecordBatch.from_arrays([*rest, hi, lo], names=["doc_id", "_k1", "_k2", "hi", "lo"]).filter(keep)
+        yield pa.RecordBatch.from_arrays([*[b[c] for c in ("doc_id", "_k1", "_k2")], hi, lo, pa.array(have)], names=["doc_id", "_k1", "_k2", "hi", "lo", "words"])
 
 
 def fingerprinted(docs: DataFrame) -> DataFrame:
-    """(doc_id, _k1, _k2, hi, lo): one narrow row for each text with a word."""
+    """(doc_id, _k1, _k2, hi, lo, words): one narrow row for each text; ``words`` says that (hi, lo) is a fingerprint."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = need(docs, "doc_id", "text").where(F.col("text").isNotNull()).select("doc_id", "text", *row_key(F.col("text")))
-    return rows.mapInArrow(_fingerprint_batches, f"doc_id {kind}, _k1 long, _k2 long, hi long, lo long")
+    return rows.mapInArrow(_fingerprint_batches, f"doc_id {kind}, _k1 long, _k2 long, hi long, lo long, words boolean")
 
 
 def _pass(weight: int) -> float:
@@ -131,22 +134,30 @@ def _centres(depth: int, weight: int, radius: int, recall: float) -> int:
     return low
 
 
-def plan(n: int, radius: int = RADIUS, recall: float = RECALL) -> tuple[int, int, int]:
-    """(depth, weight, centres of each node) that cost least for n distinct fingerprints.
+@dataclass(frozen=True)
+class Plan:
+    """Levels of the recursion and the distance to a centre, on a strip, up to which its list takes a fingerprint."""
 
-    The cost in seconds counts comparisons with centres, rows shuffled and sorted, and brute-force comparisons in leaves.
-    Every choice meets the same recall; they differ in how small the lists get, and a larger n asks for smaller ones.
+    depth: int = 2
+    weight: int = 22
+
+
+def cheapest(n: int, depths: tuple[int, ...] = (2, 3), radius: int = RADIUS, recall: float = RECALL) -> Plan:
+    """The plan that should cost least for about n distinct fingerprints, as a help in choosing one; nothing here calls it.
+
+    The cost in seconds counts comparisons with centres, rows shuffled and sorted, and comparisons in leaves. Every plan
+    meets the same recall.
     """
     best = None
-    for depth in range(1, LEVELS + 1):
+    for depth in depths:
         for weight in range(14, STRIP // 2 + 1):
             p, centres = _pass(weight), _centres(depth, weight, radius, recall)
             lists = (centres * p) ** depth
             looks = sum((centres * p) ** k for k in range(depth)) * centres
             cost = n * (looks * 3e-9 + lists * 3e-6) + n * n * lists * p**depth * 3e-9
             if best is None or cost < best[0]:
-                best = cost, depth, weight, centres
-    return best[1:]
+                best = cost, Plan(depth, weight)
+    return best[1]
 
 
 class Recursion:
@@ -155,7 +166,7 @@ class Recursion:
     def __init__(self, depth: int, weight: int, centres: int, seed: int = 7):
         self.depth, self.centres, self.weight, self.seed = depth, centres, weight, seed
         rng = np.random.default_rng(seed)
-        self.order = np.concatenate([rng.permutation(BITS) for _ in range(LEVELS * STRIP // BITS)])[: depth * STRIP]
+        self.order = np.concatenate([rng.permutation(BITS) for _ in range(-(-depth * STRIP // BITS))])[: depth * STRIP]
 
     def strips(self, fp: np.ndarray) -> np.ndarray:
         """(n, depth) uint64: two levels cut one permutation of the coordinates, further levels another."""
@@ -215,31 +226,80 @@ def _spread_batch(bucket: list, row: list, signed: np.ndarray) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays([pa.array(k), pa.array(np.ascontiguousarray(signed[r, 0])), pa.array(np.ascontiguousarray(signed[r, 1]))], names=["bucket", "hi", "lo"])
 
 
-def leaf_edges(bucket: np.ndarray, fp: np.ndarray, radius: int) -> np.ndarray:
-    """(m, 2) row pairs that join all rows of the same bucket (sorted runs) within ``radius``: a spanning forest."""
+def _small_edges(bucket: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs within the radius in runs of equal ``bucket``, by comparing rows 1, 2, 3, … places apart."""
     n = len(bucket)
-    if n < 2:
-        return np.zeros((0, 2), np.int64)
     ends = np.flatnonzero(np.concatenate([bucket[1:] != bucket[:-1], [True]])) + 1
     end = np.repeat(ends, np.diff(np.concatenate([[0], ends])))
-    left, right = [], []
-    at = np.arange(n)
-    lag = 0
+    hi, lo = np.ascontiguousarray(fp[:, 0]), np.ascontiguousarray(fp[:, 1])
+    left, right, at, lag = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.arange(n), 0
     while True:
         lag += 1
         at = at[at + lag < end[at]]
         if not len(at):
-            break
-        x = fp[at] ^ fp[at + lag]
-        near = at[np.bitwise_count(x).sum(1, dtype=np.int64) <= radius]
+            return np.concatenate(left), np.concatenate(right)
+        near = at[np.bitwise_count(hi[at] ^ hi[at + lag]) + np.bitwise_count(lo[at] ^ lo[at + lag]) <= radius]
         if len(near):
             left.append(near)
             right.append(near + lag)
-    if not left:
+
+
+def _large_edges(fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that join all rows within the radius of a large leaf.
+
+    From a pivot, its neighbours are joined and asked in turn, but only for rows that aren't joined yet and whose distance to
+    the pivot lets them be neighbours (triangle inequality).
+    """
+    hi, lo = np.ascontiguousarray(fp[:, 0]), np.ascontiguousarray(fp[:, 1])
+
+    def apart(i: int, rows: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(hi[rows] ^ hi[i]) + np.bitwise_count(lo[rows] ^ lo[i])
+
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    rest = np.arange(len(fp))
+    while len(rest) > 1:
+        pivot, rest = int(rest[0]), rest[1:]
+        d = apart(pivot, rest)
+        hit = d <= radius
+        queue = [(int(i), int(x)) for i, x in zip(rest[hit], d[hit], strict=True)]
+        left.append(np.full(len(queue), pivot))
+        right.append(rest[hit])
+        rest, d = rest[~hit], d[~hit]
+        ring = np.argsort(d, kind="stable")  # what is left, by distance to the pivot
+        ring_d, ring_row, gone = d[ring], rest[ring], np.zeros(len(ring), bool)
+        while queue:
+            i, x = queue.pop()
+            span = slice(int(np.searchsorted(ring_d, x - radius)), int(np.searchsorted(ring_d, x + radius, "right")))
+            own = np.flatnonzero(~gone[span]) + span.start
+            if not len(own):
+                continue
+            own = own[apart(i, ring_row[own]) <= radius]
+            gone[own] = True
+            left.append(np.full(len(own), i))
+            right.append(ring_row[own])
+            queue += zip(ring_row[own].tolist(), ring_d[own].tolist(), strict=True)
+        if gone.any():
+            rest = np.sort(ring_row[~gone])
+    return np.concatenate(left), np.concatenate(right)
+
+
+def leaf_edges(bucket: np.ndarray, fp: np.ndarray, radius: int) -> np.ndarray:
+    """(m, 2) row pairs that join all rows of the same bucket (sorted runs) within ``radius``: a spanning forest."""
+    n = len(bucket)
+    if n < 2:
         return np.zeros((0, 2), np.int64)
-    a, b = np.concatenate(left), np.concatenate(right)
+    begin = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+    size = np.diff(np.concatenate([begin, [n]]))
+    small = np.flatnonzero(np.repeat(size <= LEAF, size))
+    a, b = _small_edges(bucket[small], fp[small], radius) if len(small) else (small, small)
+    a, b = [small[a]], [small[b]]
+    for i, k in zip(begin[size > LEAF].tolist(), size[size > LEAF].tolist(), strict=True):
+        x, y = _large_edges(fp[i : i + k], radius)
+        a.append(x + i)
+        b.append(y + i)
+    a, b = np.concatenate(a), np.concatenate(b)
     label = np.arange(n)
-    while True:
+    while len(a):
         low = np.minimum(label[a], label[b])
         was = label.copy()
         np.minimum.at(label, a, low)
@@ -275,37 +335,38 @@ def _search(radius: int):
     return run
 
 
-def neighbour_edges(fps: DataFrame, n: int, radius: int = RADIUS, recall: float = RECALL) -> DataFrame:
+def neighbour_edges(fps: DataFrame, radius: int = RADIUS, recall: float = RECALL, plan: Plan = Plan()) -> DataFrame:
     """(a, b) edges that connect distinct fingerprints (hi, lo) within the radius; a and b are struct(hi, lo)."""
-    spread = fps.select("hi", "lo").mapInArrow(_spread(Recursion(*plan(n, radius, recall))), "bucket long, hi long, lo long")
-    found = spread.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_search(radius), "hi1 long, lo1 long, hi2 long, lo2 long")
+    recursion = Recursion(plan.depth, plan.weight, _centres(plan.depth, plan.weight, radius, recall))
+    spread = fps.select("hi", "lo").mapInArrow(_spread(recursion), "bucket long, hi long, lo long")
+    found = spread.repartition("bucket").sortWithinPartitions("bucket", "hi", "lo").mapInArrow(_search(radius), "hi1 long, lo1 long, hi2 long, lo2 long")
     return found.distinct().select(F.struct(F.col("hi1").alias("hi"), F.col("lo1").alias("lo")).alias("a"), F.struct(F.col("hi2").alias("hi"), F.col("lo2").alias("lo")).alias("b"))
 
 
-def members(docs: DataFrame, radius: int = RADIUS, recall: float = RECALL) -> DataFrame:
-    """(doc_id, _k1, _k2, copies, first_id, first_k1, group_size) of every distinct (doc_id, text) in a group of two rows or more."""
+def members(docs: DataFrame, radius: int = RADIUS, recall: float = RECALL, plan: Plan = Plan()) -> DataFrame:
+    """(doc_id, _k1, _k2, copies, first_id, first_k1, first_k2, group_size) of every distinct (doc_id, text) in a group of two rows or more."""
     rows = Stored(fingerprinted(docs)).df
-    fps = rows.select("hi", "lo").distinct()
-    fps = fps.repartition(max(12, rows.rdd.getNumPartitions()), "hi", "lo")
-    n = rows.agg(F.approx_count_distinct(F.struct("hi", "lo"))).first()[0]
-    found = components(neighbour_edges(fps, n, radius, recall))
-    root = found.select(F.col("node.hi").alias("hi"), F.col("node.lo").alias("lo"), "root")
-    placed = rows.join(root, ["hi", "lo"], "left").withColumn("root", F.coalesce("root", F.struct("hi", "lo")))
-    each = placed.groupBy("doc_id", "_k1", "_k2", "root").agg(F.count("*").alias("copies"))
+    each = rows.groupBy("doc_id", "_k1", "_k2", "hi", "lo", "words").agg(F.count("*").alias("copies"))
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_k1", "_k2")
-    group = W.partitionBy("root")
-    each = each.withColumn("least", F.min(order).over(group)).withColumn("group_size", F.sum("copies").over(group)).where("group_size > 1")
-    return each.select("doc_id", "_k1", "_k2", "copies", F.col("least.doc_id").alias("first_id"), F.col("least._k1").alias("first_k1"), F.col("least._k2").alias("first_k2"), "group_size")
-
-
-def groups(docs: DataFrame, radius: int = RADIUS, recall: float = RECALL) -> DataFrame:
+    fps = Stored(rows.groupBy("hi", "lo", "words").agg(F.min(order).alias("least"), F.count("*").alias("copies"))).df
+    wide = max(12, docs.sparkSession.sparkContext.defaultParallelism)
+    found = components(neighbour_edges(fps.where("words").repartition(wide, "hi", "lo"), radius, recall, plan))
+    root = found.select(F.col("node.hi").alias("hi"), F.col("node.lo").alias("lo"), F.lit(True).alias("words"), "root")
+    placed = fps.join(root, ["hi", "lo", "words"], "left").withColumn("root", F.struct(F.coalesce("root", F.struct("hi", "lo")), "words"))
+    sizes = placed.groupBy("root").agg(F.min("least").alias("least"), F.sum("copies").alias("group_size")).where("group_size > 1")
+    of = placed.select("hi", "lo", "words", "root").join(sizes, "root").drop("root")
+    met = each.join(of, ["hi", "lo", "words"])
+    return met.select("doc_id", "_k1", "_k2", "copies", F.col("least.doc_id").alias("first_id"), F.col("least._k1").alias("first_k1"), F.col("least._k2").alias("first_k2"), "group_size")
+
+
+def groups(docs: DataFrame, radius: int = RADIUS, recall: float = RECALL, plan: Plan = Plan()) -> DataFrame:
     """(doc_id, group_id, group_size, keep) of every distinct (doc_id, text) whose group has two rows or more; group_id is the least doc_id."""
-    m = members(docs, radius, recall)
+    m = members(docs, radius, recall, plan)
     keep = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("_k1") == F.col("first_k1")) & (F.col("_k2") == F.col("first_k2"))
     return m.select("doc_id", F.col("first_id").alias("group_id"), "group_size", keep.alias("keep"))
 
 
-def dedup(docs: DataFrame, radius: int = RADIUS, recall: float = RECALL) -> DataFrame:
+def dedup(docs: DataFrame, radius: int = RADIUS, recall: float = RECALL, plan: Plan = Plan()) -> DataFrame:
     """``docs``, all columns, with one row of every group; rows in no group stay as they are.
 
     The narrow decisions join the documents on a hash of id and text, in a shuffle of the documents whatever their size, and
@@ -314,7 +375,7 @@ def dedup(docs: DataFrame, radius: int = RADIUS, recall: float = RECALL) -> Data
     stay = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("_k1") == F.col("first_k1")) & (F.col("_k2") == F.col("first_k2"))
     names = docs.columns
     r1, r2 = _fresh(names, "1"), _fresh(names, "2")
-    m = Stored(members(docs, radius, recall).select(*_row_hash(F.col("doc_id"), F.col("_k1"), F.col("_k2"), r1 + "x", r2 + "x"), stay.alias("_stay"), (F.col("copies") > 1).alias("_more"))).df
+    m = Stored(members(docs, radius, recall, plan).select(*_row_hash(F.col("doc_id"), F.col("_k1"), F.col("_k2"), r1 + "x", r2 + "x"), stay.alias("_stay"), (F.col("copies") > 1).alias("_more"))).df
     k1, k2 = row_key(F.col("`text`"))
     keyed = docs.select("*", *_row_hash(F.col("`doc_id`"), k1, k2, r1, r2))
     decided = keyed.join(m.where("not _stay or _more").hint("shuffle_hash"), (F.col(r1) == F.col(r1 + "x")) & (F.col(r2) == F.col(r2 + "x")), "left")

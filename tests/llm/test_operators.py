@@ -82,8 +82,8 @@ def test_recursion_meets_its_recall_at_the_radius():
     for i in range(len(b)):
         for bit in rng.choice(128, near_dup.RADIUS, False):
             b[i, bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
-    for plan in (near_dup.plan(len(a)), (2, 24, near_dup._centres(2, 24, near_dup.RADIUS, near_dup.RECALL))):
-        r = near_dup.Recursion(*plan)
+    for depth, weight in ((near_dup.Plan().depth, near_dup.Plan().weight), (2, 24), (1, 22)):
+        r = near_dup.Recursion(depth, weight, near_dup._centres(depth, weight, near_dup.RADIUS, near_dup.RECALL))
         buckets = [dict() for _ in range(2)]
         for side, fp in enumerate((a, b)):
             for k, rows in r.leaves(fp):
@@ -112,12 +112,44 @@ def test_near_dup_awkward_rows(spark):
     docs = table(spark, awkward())
     got = sorted((r["doc_id"], r["group_id"], r["group_size"], r["keep"]) for r in near_dup.groups(docs).collect())
     assert got == [(5, 5, 3, True), (6, 5, 3, False)]
+    blank = near_dup.groups(table(spark, [(1, ""), (2, " "), (3, ""), (4, "!?"), (5, None), (6, "!?"), (7, None)])).collect()
+    assert sorted((r["doc_id"], r["group_id"]) for r in blank) == [(1, 1), (3, 1), (4, 4), (6, 4)]
     kept = near_dup.dedup(docs)
     assert kept.columns == docs.columns
     assert ids(kept) == [1, 2, 3, 4, 5, 7, 8, 9, None, None]
     assert near_dup.groups(docs.limit(0)).count() == 0 and near_dup.dedup(docs.limit(0)).count() == 0
 
 
+@given(st.integers(2, 400), st.integers(0, 2**32), st.sampled_from([1, 3, 40]))
+@settings(max_examples=40, deadline=None)
+def test_large_leaves_join_as_all_pairs_do(n, seed, kinds):
+    rng = np.random.default_rng(seed)
+    fp = rng.integers(0, 2**63, (kinds, 2), np.uint64)[rng.integers(0, kinds, n)]
+    for _ in range(int(rng.integers(0, 20))):
+        fp[np.arange(n), rng.integers(0, 2, n)] ^= np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64)
+    edges = [near_dup._large_edges(fp, 20), near_dup._small_edges(np.zeros(n, np.int64), fp, 20)]
+    assert all((np.bitwise_count(fp[a] ^ fp[b]).sum(1, dtype=int) <= 20).all() for a, b in edges)
+    label = [np.arange(n), np.arange(n)]
+    for l, (a, b) in zip(label, edges, strict=True):
+        for _ in range(n):
+            was = l.copy()
+            np.minimum.at(l, a, l[b])
+            np.minimum.at(l, b, l[a])
+            if (was == l).all():
+                break
+    assert (label[0] == label[1]).all()
+
+
+def test_a_hot_leaf_takes_linear_time():
+    rng = np.random.default_rng(1)
+    n = 200_000
+    fp = np.repeat(rng.integers(0, 2**63, (1, 2), np.uint64), n, 0)
+    for _ in range(6):
+        fp[np.arange(n), rng.integers(0, 2, n)] ^= np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64)
+    began = time.time()
+    assert len(near_dup.leaf_edges(np.zeros(n, np.int64), fp, 20)) == n - 1 and time.time() - began < 20
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (7, 7), (None, 3)]
     got = dict(components.components(spark.createDataFrame(edges, "a long, b long")).collect())
