@@ -22,19 +22,19 @@ for _d in range(PERIOD - 1, -1, -1):
             if (_i + _d) % PERIOD in COVER and (_j + _d) % PERIOD in COVER:
                 _SHIFT[_i, _j] = _d
 assert (_SHIFT >= 0).all()
-_PACK = 3
-_BITS = 21
 
 
 def packed(text: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
-    """The first PERIOD symbols at each position as columns of up to three 21-bit symbols; past the end reads 0."""
+    """The first PERIOD symbols at each position as columns of 64 bits, as many symbols to each as fit; past the end reads 0."""
     n = len(text)
+    bits = max(1, int(text.max()).bit_length()) if n else 1
+    pack = max(1, min(PERIOD, 64 // bits))
     long = np.concatenate([text, np.zeros(PERIOD, text.dtype)]).astype(np.uint64)
     out = []
-    for c in range(0, PERIOD, _PACK):
+    for c in range(0, PERIOD, pack):
         key = np.zeros(len(at), np.uint64)
-        for j in range(c, min(c + _PACK, PERIOD)):
-            key = (key << np.uint64(_BITS)) | long[np.minimum(at + j, n + PERIOD - 1)]
+        for j in range(c, min(c + pack, PERIOD)):
+            key = (key << np.uint64(bits % 64)) | long[np.minimum(at + j, n + PERIOD - 1)]
         out.append(key)
     return out
 

@@ -515,6 +515,16 @@ def test_long_ties_in_classes():
     assert suffix_array.suffix_array(text).tolist() == suffix_array.naive(text.tolist())
 
 
+def test_a_block_of_many_distinct_words():
+    some = np.random.default_rng(3).permutation(3_000_000)
+    pieces = [" ".join(map(str, part)).encode() for part in np.array_split(some, 1000)]
+    counts = np.array([len(p.split()) - substring_dedup.LENGTH + 1 for p in pieces])
+    pieces[7] = pieces[3][: pieces[3].rindex(b" ")]
+    counts[7] = counts[3] - 1
+    hit = substring_dedup.repeated(pieces, counts, np.zeros(1000, np.uint64), np.ones(1000, int))
+    assert hit[7].all() and hit[3][:-1].all() and not hit[3][-1] and sum(h.sum() for h in hit) == counts[3] + counts[7] - 1
+
+
 def brute_repeats(rows):
     from collections import Counter
 
@@ -548,6 +558,8 @@ def test_repeats_match_brute_force(spark, monkeypatch):
     assert got == brute_repeats(rows) and len(got) > 20
     monkeypatch.setattr(substring_dedup, "BLOCK_WORDS", 50)
     assert {tuple(r) for r in substring_dedup.repeats(docs).collect()} == got
+    monkeypatch.setattr(substring_dedup, "HOT", 3)  # seeds of more segments go by passage hashes: the same rows
+    assert {tuple(r) for r in substring_dedup.repeats(docs).collect()} == got
     assert substring_dedup.repeats(docs.limit(0)).count() == 0
 
 
