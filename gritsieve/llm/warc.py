@@ -3,14 +3,15 @@
 A record counts if it passes every check: an intact gzip member (with its CRC) where compressed, a version line, well-formed
 headers, a block as long as ``Content-Length`` says, the two closing line breaks, and the block digest where one is given.
 After a failed check the reader opens a gap, searches for the next gzip magic or version line, tries there, and goes on until
-a record passes, so later records are recovered; the bytes passed over are logged as one ``gap`` with its first failure. An
-intact member may hold several records; the same salvage applies to its content.
-
-Scale: archives are the unit of work, read with bounded memory (a member at a time) through a seekable file, so tasks follow
-archives and no archive is shuffled. Defined cases: null and empty archives give nothing; an archive without a valid record
-is one gap; records of any length are read whole; repeated archives report each; a header that is absent is null; of repeated
-headers the last counts; an empty table gives an empty result; pages with null html have no record; further columns are
-ignored.
+a record passes, so later records are recovered; the bytes passed over are logged as one ``gap`` with its first failure and
+the id of the record that ends it. An intact member may hold several records; the same salvage applies to its content.
+
+Scale: archives are the unit of work, read through a seekable file, so tasks follow archives and no archive is shuffled.
+Nothing is held but the record that is read: headers are checked line by line, what a false length points at is checked
+before the block is read, and a member of more than ``HELD`` bytes is inflated once to check it and once more, piece by
+piece, to read it. Defined cases: null and empty archives give nothing; an archive without a valid record is one gap; records
+and headers of any length are read whole; repeated archives report each; a header that is absent is null; of repeated headers
+the last counts; an empty table gives an empty result; pages with null html have no record; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ import base64
 import hashlib
 import io
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,12 +32,14 @@ from pyspark.sql import functions as F
 from .textkernel import need
 
 STEP = 1 << 16
+#: Bytes of a member's content that are kept from the check for the reading.
+HELD = 16 << 20
 _START = re.compile(rb"\x1f\x8b\x08|WARC/[0-9]\.[0-9]+\r?\n")
-_VERSION = re.compile(rb"WARC/[0-9]\.[0-9]+\r?\n")
+_VERSION_LINE = re.compile(rb"WARC/[0-9]\.[0-9]+\r?\n")
+_NAME = re.compile(rb"[^\x00-\x20\x7f:]+[ \t]*:")
 #: A header line into which the version line of another record has run.
 _TORN_LINE = re.compile(rb"WARC/[0-9]\.[0-9]+$")
 _LONGEST_START = 16
-_HEADERS_MOST = 1 << 20
 
 
 class Damaged(Exception):
@@ -57,38 +61,6 @@ class Gap:
     reason: str
 
 
-def parse(data: bytes, at: int = 0) -> tuple[Record, int]:
-    """The record at ``at`` and where it ends; raises Damaged."""
-    version = _VERSION.match(data, at)
-    if not version:
-        raise Damaged("version")
-    end = re.compile(rb"\r?\n\r?\n").search(data, version.end() - 1, version.end() + _HEADERS_MOST)
-    if not end:
-        raise Damaged("headers")
-    headers: dict[str, str] = {}
-    for line in data[version.end() : end.start()].splitlines():
-        name, colon, value = line.partition(b":")
-        if not colon or not name.strip() or _TORN_LINE.search(line):
-            raise Damaged("headers")
-        headers[name.strip().decode("utf-8", "replace").lower()] = value.strip().decode("utf-8", "replace")
-    size = headers.get("content-length", "")
-    if not size.isascii() or not size.isdigit():
-        raise Damaged("length")
-    stop = end.end() + int(size)
-    if stop > len(data):
-        raise Damaged("truncated")
-    closing = re.compile(rb"\r\n\r\n|\n\n").match(data, stop)
-    if not closing:
-        raise Damaged("closing")
-    block = data[end.end() : stop]
-    kind, _, digest = headers.get("warc-block-digest", "").partition(":")
-    if kind.lower() in ("sha1", "sha256", "md5"):
-        own = hashlib.new(kind.lower(), block)
-        if digest.lower() not in (own.hexdigest(), base64.b32encode(own.digest()).decode().lower()):
-            raise Damaged("digest")
-    return Record(headers, block, at, closing.end()), closing.end()
-
-
 class _Source:
     """Random reads of a seekable file, with the last piece kept."""
 
@@ -99,15 +71,32 @@ class _Source:
 
     def read(self, at: int, n: int) -> bytes:
         if not (self.at <= at and at + n <= self.at + len(self.held)):
-            self.file.seek(at)
-            self.at, self.held = at, self.file.read(max(n, STEP))
+            self.at, self.held = at, self.fetch(at, max(n, STEP))
         return self.held[at - self.at : at - self.at + n]
 
-    def find(self, at: int) -> int:
+    def fetch(self, at: int, n: int) -> bytes:
+        self.file.seek(at)
+        return self.file.read(n)
+
+    def line(self, at: int, cut: re.Pattern | None = None) -> bytes:
+        """The bytes from ``at`` through the next line feed; none if what begins there doesn't match ``cut`` or has no end."""
+        n = 256
+        while True:
+            piece = self.read(at, n)
+            if cut and not cut.match(piece) and (b"\n" in piece or b":" in piece or len(piece) >= 256):
+                return b""
+            stop = piece.find(b"\n")
+            if stop >= 0:
+                return piece[: stop + 1]
+            if len(piece) < n:
+                return b""
+            n *= 4
+
+    def find(self, at: int, start: re.Pattern = _START) -> int:
         """The next place from ``at`` where a member or record may start; the size if there is none."""
         while at < self.size:
             piece = self.read(at, STEP)
-            found = _START.search(piece)
+            found = start.search(piece)
             if found:
                 return at + found.start()
             if at + len(piece) >= self.size:
@@ -116,91 +105,156 @@ class _Source:
         return self.size
 
 
-def _member(source: _Source, at: int) -> tuple[bytes, int]:
-    """Content and end of the gzip member at ``at``."""
-    unpack, out, place = zlib.decompressobj(31), [], at
+class _Inflated(_Source):
+    """The content of the intact member at ``place`` of a source, inflated anew from its start when read backwards."""
+
+    def __init__(self, source: _Source, place: int, size: int):
+        self.source, self.place, self.size = source, place, size
+        self.at, self.held = 0, b""
+        self._restart()
+
+    def _restart(self) -> None:
+        self.pack, self.next, self.done, self.spare = zlib.decompressobj(31), self.place, 0, b""
+
+    def fetch(self, at: int, n: int) -> bytes:
+        if at < self.done - len(self.spare):
+            self._restart()
+        out, have = [self.spare], len(self.spare)
+        begin = self.done - have
+        while begin + have < at + n and not self.pack.eof:
+            piece = self.pack.unconsumed_tail
+            if not piece:
+                piece = self.source.fetch(self.next, STEP)
+                self.next += len(piece)
+            more = self.pack.decompress(piece, STEP)
+            self.done += len(more)
+            if begin + have <= at and have > 4 * STEP:  # what lies before isn't asked for
+                out, begin, have = out[-1:], self.done - len(more) - len(out[-1]), len(out[-1])
+            out.append(more)
+            have += len(more)
+        whole = b"".join(out)
+        self.spare = whole[-STEP:]
+        return whole[at - begin : at - begin + n]
+
+
+class _Held(_Source):
+    def __init__(self, content: bytes):
+        super().__init__(io.BytesIO(content))
+
+
+def _record(source: _Source, at: int) -> Record:
+    """The record at ``at``; raises Damaged."""
+    version = source.line(at, _VERSION_LINE)
+    if not version:
+        raise Damaged("version")
+    headers: dict[str, str] = {}
+    place = at + len(version)
+    while True:
+        if source.read(place, 2)[:1] == b"\n" or source.read(place, 2) == b"\r\n":
+            place += 1 if source.read(place, 1) == b"\n" else 2
+            break
+        line = source.line(place, _NAME)
+        if not line or _TORN_LINE.search(line.rstrip(b"\r\n")):
+            raise Damaged("headers")
+        name, _, value = line.partition(b":")
+        headers[name.strip().decode("utf-8", "replace").lower()] = value.strip().decode("utf-8", "replace")
+        place += len(line)
+    size = headers.get("content-length", "")
+    if not size.isascii() or not size.isdigit():
+        raise Damaged("length")
+    stop = place + int(size)
+    if stop > source.size:
+        raise Damaged("truncated")
+    closing = re.match(rb"\r\n\r\n|\n\n", source.read(stop, 4))
+    if not closing:
+        raise Damaged("closing")
+    block = source.fetch(place, stop - place)
+    kind, _, digest = headers.get("warc-block-digest", "").partition(":")
+    if kind.lower() in ("sha1", "sha256", "md5"):
+        own = hashlib.new(kind.lower(), block)
+        if digest.lower() not in (own.hexdigest(), base64.b32encode(own.digest()).decode().lower()):
+            raise Damaged("digest")
+    return Record(headers, block, at, stop + closing.end())
+
+
+def _member(source: _Source, at: int) -> tuple[_Source, int]:
+    """Content and end of the gzip member at ``at``, after its CRC has been checked."""
+    unpack, kept, size, place = zlib.decompressobj(31), [], 0, at
     while not unpack.eof:
-        piece = source.read(place, STEP)
+        piece = unpack.unconsumed_tail
         if not piece:
-            raise Damaged("truncated member")
+            piece = source.fetch(place, STEP)
+            place += len(piece)
         try:
-            out.append(unpack.decompress(piece))
+            more = unpack.decompress(piece, STEP)
         except zlib.error:
             raise Damaged("gzip") from None
-        place += len(piece)
-    return b"".join(out), place - len(unpack.unused_data)
-
-
-def _plain(source: _Source, at: int) -> tuple[list[Record | Gap], int]:
-    """The uncompressed record at ``at``: the bytes read double until its checks can tell."""
-    n = STEP
-    while True:
-        data = source.read(at, n)
-        try:
-            record, end = parse(data)
-        except Damaged:
-            # headers beyond the piece, or a block beyond it, may only need more bytes
-            if at + len(data) >= source.size:
-                raise
-            if n > _HEADERS_MOST and not re.search(rb"\r?\n\r?\n", data[:_HEADERS_MOST]):
-                raise
-            length = re.search(rb"(?i)\ncontent-length:[ \t]*(\d+)", data[:_HEADERS_MOST])
-            whole = re.search(rb"\r?\n\r?\n", data[:_HEADERS_MOST])
-            if whole and (not length or whole.end() + int(length.group(1)) + 4 <= len(data)):
-                raise
-            n *= 2
-            continue
-        record.start, record.end = at, at + end
-        return [record], at + end
+        if not piece and not more:
+            raise Damaged("truncated member")
+        size += len(more)
+        if size <= HELD:
+            kept.append(more)
+        else:
+            kept = []
+    end = place - len(unpack.unused_data)
+    return (_Held(b"".join(kept)) if size <= HELD else _Inflated(source, at, size)), end
 
 
 def salvage(file) -> Iterator[Record | Gap]:
     """Records and gaps of a seekable binary file, in order. Places of records inside a member are the member's."""
-    source, at, gap, why = _Source(file), 0, None, ""
+    yield from _salvage(_Source(file), True)
+
+
+def _salvage(source: _Source, members: bool) -> Iterator[Record | Gap]:
+    at, gap, why = 0, None, ""
     while at < source.size:
-        head = source.read(at, 3)
         try:
-            if head[:2] == b"\x1f\x8b":
+            if members and source.read(at, 2) == b"\x1f\x8b":
                 content, end = _member(source, at)
-                if not content:
+                if not content.size:
                     raise Damaged("empty member")
-                found: list[Record | Gap] = [Record(x.headers, x.block, at, end) if isinstance(x, Record) else Gap(at, end, f"in member: {x.reason}") for x in _inside(content)]
-                if not any(isinstance(x, Record) for x in found):
-                    raise Damaged(found[0].reason.removeprefix("in member: "))
+                found = _moved(content, at, end)
+                first = next(found)  # a gap only if no record follows in the member
+                if isinstance(first, Gap):
+                    raise Damaged(first.reason)
             else:
-                found, end = _plain(source, at)
+                first, found = _record(source, at), iter(())
+                end = first.end
         except Damaged as e:
             if gap is None:
                 gap, why = at, str(e)
-            at = source.find(at + 1)
+            at = source.find(at + 1, _START if members else _VERSION_LINE)
             continue
         if gap is not None:
             yield Gap(gap, at, why)
             gap = None
-        yield from found
+        yield from _unwrapped(first)
+        for x in found:
+            yield from _unwrapped(x)
         at = end
     if gap is not None:
         yield Gap(gap, source.size, why)
 
 
-def _inside(content: bytes) -> Iterator[Record | Gap]:
-    at, gap, why = 0, None, ""
-    while at < len(content):
-        try:
-            record, end = parse(content, at)
-        except Damaged as e:
-            if gap is None:
-                gap, why = at, str(e)
-            following = _VERSION.search(content, at + 1)
-            at = following.start() if following else len(content)
-            continue
-        if gap is not None:
-            yield Gap(gap, at, why)
-            gap = None
-        yield record
-        at = end
-    if gap is not None:
-        yield Gap(gap, len(content), why)
+def _unwrapped(x: Record | Gap | list) -> list[Record | Gap]:
+    return x if isinstance(x, list) else [x]
+
+
+def _moved(content: _Source, at: int, end: int) -> Iterator[list[Record | Gap] | Gap]:
+    """Lists of a member's records and gaps, each with the member's place, the first list up to its first record; one bare gap if it has none."""
+    held: list[Record | Gap] = []
+    any_record = False
+    for x in _salvage(content, False):
+        if isinstance(x, Record):
+            any_record = True
+            yield [*held, Record(x.headers, x.block, at, end)]
+            held = []
+        else:
+            held.append(Gap(at, end, f"in member: {x.reason}"))
+    if not any_record:
+        yield Gap(at, end, held[0].reason.removeprefix("in member: "))
+    elif held:
+        yield held
 
 
 def record_bytes(block: bytes, url: str | None = None, extra: dict[str, str] | None = None, compress: bool = True) -> bytes:
@@ -217,17 +271,23 @@ def record_bytes(block: bytes, url: str | None = None, extra: dict[str, str] | N
     return pack.compress(raw) + pack.flush()
 
 
-SCHEMA = "kind string, id string, url string, block binary, start long, end long, reason string"
-_NAMES = ["kind", "id", "url", "block", "start", "end", "reason"]
-_TYPES = [pa.string(), pa.string(), pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.string()]
+SCHEMA = "kind string, id string, url string, block binary, start long, end long, reason string, resumed string"
+_NAMES = ["kind", "id", "url", "block", "start", "end", "reason", "resumed"]
+_TYPES = [pa.string(), pa.string(), pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
 
 def _rows(file) -> Iterator[tuple]:
+    """Rows of SCHEMA; a gap waits for the record that ends it."""
+    gaps: list[Gap] = []
     for x in salvage(file):
-        if isinstance(x, Record):
-            yield "record", x.headers.get("x-page-id"), x.headers.get("warc-target-uri"), x.block, x.start, x.end, None
-        else:
-            yield "gap", None, None, None, x.start, x.end, x.reason
+        if isinstance(x, Gap):
+            gaps.append(x)
+            continue
+        own = x.headers.get("x-page-id")
+        yield from (("gap", None, None, None, g.start, g.end, g.reason, own) for g in gaps)
+        gaps.clear()
+        yield "record", own, x.headers.get("warc-target-uri"), x.block, x.start, x.end, None, None
+    yield from (("gap", None, None, None, g.start, g.end, g.reason, None) for g in gaps)
 
 
 def _batches(archives: Iterator[tuple[str | None, object]]) -> Iterator[pa.RecordBatch]:
@@ -270,44 +330,92 @@ def read_archives(spark: SparkSession, paths: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _batches((p, opened(p)) for b in batches for p in b["archive"].to_pylist())
 
-    table = spark.createDataFrame([(p,) for p in paths], "archive string")
-    return (table.repartition(len(paths), "archive") if paths else table).mapInArrow(run, f"archive string, {SCHEMA}")
-
-
-#: What precedes the first member of an archive that :func:`pack_pages` writes: a magic that is no member, as a torn write leaves.
-TORN = b"\x1f\x8b\x08" + b"torn member of an earlier write..."
-assert len(TORN) == 37
+    table = spark.createDataFrame([(i, p) for i, p in enumerate(paths)], "at int, archive string")
+    if paths:
+        table = table.repartitionByRange(len(paths), "at")
+    return table.select("archive").mapInArrow(run, f"archive string, {SCHEMA}")
+
+
+#: Pages of an archive that :func:`pack_pages` writes, and bytes of them from which it is full.
+PAGES, FULL = 64, 8 << 20
+#: Bytes of a torn record that are left of it, and of a torn member.
+TORN_RECORD, TORN_MEMBER = 60, 8
+
+
+def stored_member(raw: bytes) -> bytes:
+    """A gzip member that holds ``raw`` uncompressed; 18 bytes, and 5 for each 65,535, are added."""
+    parts = [b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\xff"]
+    for a in range(0, len(raw), 65_535):
+        piece = raw[a : a + 65_535]
+        parts += [struct.pack("<BHH", a + 65_535 >= len(raw), len(piece), len(piece) ^ 0xFFFF), piece]
+    return b"".join([*parts, struct.pack("<II", zlib.crc32(raw), len(raw) & 0xFFFFFFFF)])
+
+
+def _hurt(number: int, plain: bytes) -> bytes:
+    """A damaged copy of a record, of the kind that its number modulo 8 names (none for 0 and 7)."""
+    kind = number % 8
+    if kind == 1:  # torn while its headers were written
+        return plain[:TORN_RECORD]
+    if kind == 2:  # a member torn in its header
+        return stored_member(plain)[:TORN_MEMBER]
+    if kind == 3:  # a member with a wrong CRC (and no version line that a search could find in it)
+        whole = stored_member(plain[8:])
+        return whole[:-8] + bytes([whole[-8] ^ 1]) + whole[-7:]
+    if kind == 4:  # a block that its digest denies
+        return re.sub(rb"(WARC-Block-Digest: sha1:)(.)", lambda m: m[1] + (b"B" if m[2] == b"A" else b"A"), plain, count=1)
+    if kind == 5:  # a length that points past the closing line breaks
+        return re.sub(rb"Content-Length: (\d+)", lambda m: b"Content-Length: %0*d" % (len(m[1]), int(m[1]) + 1), plain, count=1)
+    if kind == 6:  # bytes of no format
+        return b"torn bytes of another write "
+    return b""
 
 
 def pack_pages(pages: DataFrame) -> DataFrame:
-    """(archive, content): archives of the pages of 64 ids, behind a torn write."""
-    kept = need(pages, "page_id", "url", "html").where(F.col("html").isNotNull())
-    number = F.coalesce(F.shiftright(F.col("page_id").cast("long"), 6), -1 - F.pmod(F.xxhash64("html"), F.lit(4096)))
+    """(archive, content): the pages in archives of up to PAGES, in members and plain by turns, each behind a damaged copy by its id."""
+
+    def archive(rows: list[tuple]) -> bytes:
+        out = []
+        for i, u, h in rows:
+            url, extra = u and re.sub(r"[\r\n]+", " ", u), {} if i is None else {"X-Page-Id": str(i)}
+            if i is not None:
+                out.append(_hurt(i, record_bytes(h.encode(), url, extra, False)))
+            out.append(record_bytes(h.encode(), url, extra, i is None or i % 2 == 0))
+        return b"".join(out)
 
-    def pack(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(*[table[c].to_pylist() for c in ("page_id", "url", "html")], strict=True), key=lambda r: (r[0] is None, r[0] or 0, r[1] or "", r[2]))
-        body = b"".join(record_bytes(h.encode(), u and re.sub(r"[\r\n]+", " ", u), {} if i is None else {"X-Page-Id": str(i)}) for i, u, h in rows)
-        return pa.table({"archive": table["archive"].slice(0, 1), "content": pa.array([TORN + body], pa.binary())})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+        for b in batches:
+            for row in zip(*[b[c].to_pylist() for c in ("page_id", "url", "html")], strict=True):
+                rows.append(row)
+                held += len(row[2])
+                if len(rows) >= PAGES or held >= FULL:
+                    yield pa.RecordBatch.from_arrays([pa.array([str(rows[0][0])]), pa.array([archive(rows)], pa.binary())], names=["archive", "content"])
+                    rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([str(rows[0][0])]), pa.array([archive(rows)], pa.binary())], names=["archive", "content"])
 
-    return kept.withColumn("archive", number).groupBy("archive").applyInArrow(pack, "archive long, content binary")
+    return need(pages, "page_id", "url", "html").where(F.col("html").isNotNull()).mapInArrow(run, "archive string, content binary")
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """(kind, page_id, url, n_bytes, sha256, gap_start, gap_end, reason): what the salvage reader finds in the pages' archives."""
+    """(kind, page_id, url, n_bytes, sha256, reason): what the salvage reader finds in the pages' archives.
+
+    Of a gap, ``page_id`` is that of the record that ended it and ``n_bytes`` the bytes passed over.
+    """
     found = read_contents(pack_pages(pages))
     gap = F.col("kind") == "gap"
     return found.select(
-        "kind", F.col("id").cast("long").alias("page_id"), "url", F.octet_length("block").cast("long").alias("n_bytes"), F.sha2("block", 256).alias("sha256"),
-        F.when(gap, F.col("start")).alias("gap_start"), F.when(gap, F.col("end")).alias("gap_end"), "reason",
+        "kind", F.when(gap, F.col("resumed")).otherwise(F.col("id")).cast("long").alias("page_id"), "url",
+        F.when(gap, F.col("end") - F.col("start")).otherwise(F.octet_length("block")).cast("long").alias("n_bytes"), F.sha2("block", 256).alias("sha256"), "reason",
     )
 
 
-SQL = """
-SELECT 'record' AS kind, page_id, url, CAST(octet_length(encode(html)) AS BIGINT) AS n_bytes, sha256(html) AS sha256,
-       CAST(NULL AS BIGINT) AS gap_start, CAST(NULL AS BIGINT) AS gap_end, CAST(NULL AS VARCHAR) AS reason
-FROM pages WHERE html IS NOT NULL
+_PLAIN = "(SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS n, 240 + octet_length(encode('WARC-Target-URI: ' || url || 'X-Page-Id: ' || page_id || chr(13) || chr(10) || chr(13) || chr(10))) + octet_length(encode(html)) + len(CAST(octet_length(encode(html)) AS VARCHAR)) AS size FROM pages WHERE html IS NOT NULL)"
+SQL = f"""
+SELECT 'record' AS kind, page_id, url, CAST(octet_length(encode(html)) AS BIGINT) AS n_bytes, sha256(html) AS sha256, CAST(NULL AS VARCHAR) AS reason FROM pages WHERE html IS NOT NULL
 UNION ALL
-SELECT 'gap', NULL, NULL, NULL, NULL, 0, 37, 'gzip' FROM (SELECT DISTINCT page_id >> 6 FROM pages WHERE html IS NOT NULL)
+SELECT 'gap', page_id, NULL, CAST(CASE page_id % 8 WHEN 1 THEN {TORN_RECORD} WHEN 2 THEN {TORN_MEMBER} WHEN 3 THEN size + 10 + 5 * ((size - 8 + 65534) // 65535) WHEN 6 THEN 28 ELSE size END AS BIGINT), NULL,
+  CASE page_id % 8 WHEN 1 THEN 'headers' WHEN 2 THEN 'gzip' WHEN 3 THEN 'gzip' WHEN 4 THEN 'digest' WHEN 5 THEN 'closing' ELSE 'version' END FROM {_PLAIN} WHERE page_id % 8 BETWEEN 1 AND 6
 """
 
 
