@@ -18,7 +18,10 @@ gives an empty result; further columns are ignored.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+import functools
+import re
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +33,10 @@ from .textkernel import need, utf8
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The split pattern of the rank files.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Remembered pieces of a worker, and the longest piece remembered; beyond them pieces are encoded anew.
-CACHE_PIECES, CACHE_BYTES = 400_000, 64
+#: Remembered pieces of a worker, the longest piece remembered, and remembered pairs; beyond them all is found anew.
+CACHE_PIECES, CACHE_BYTES, CACHE_PAIRS = 400_000, 64, 1_000_000
+#: Setting that names another vocabulary file.
+SETTING = "gritsieve.bpe.vocabulary"
 
 
 class Vocabulary:
@@ -50,7 +55,26 @@ class Vocabulary:
                     self.left[t], self.right[t] = parts
                 else:
                     self.whole.add(t)
+        self._index()
+
+    def _index(self) -> None:
         self.apart: dict[int, bool] = {}
+        ends: dict[bytes, set[int]] = {}
+        for t in self.tokens:
+            if len(t) > 2:
+                ends.setdefault(t[-3:], set()).add(len(t))
+        self.inner = {t: i for t, i in self.rank.items() if i not in self.whole}
+        #: Sizes, longest first, of the tokens that may end where these three bytes do.
+        self.sizes = {k: (*sorted(v, reverse=True), 2, 1) for k, v in ends.items()}
+
+    @classmethod
+    def of(cls, tokens: list[bytes], left: list[int], right: list[int], whole: set[int]) -> Vocabulary:
+        """A vocabulary whose merges are known."""
+        v = cls.__new__(cls)
+        v.tokens, v.left, v.right, v.whole = tokens, left, right, whole
+        v.rank, v.longest = {t: i for i, t in enumerate(tokens)}, max(map(len, tokens))
+        v._index()
+        return v
 
     @classmethod
     def read(cls, path: str = VOCABULARY) -> Vocabulary:
@@ -78,6 +102,8 @@ class Vocabulary:
         key = one << 32 | two
         known = self.apart.get(key)
         if known is None:
+            if len(self.apart) >= CACHE_PAIRS:
+                self.apart.clear()
             known = self.apart[key] = self._stays_apart(one, two)
         return known
 
@@ -105,12 +131,15 @@ class Vocabulary:
         With ``until``, an old table whose entry i - shift speaks of the same place, filling stops once the longest token's
         number of entries in a row, all past byte ``clean``, agree; the old entries are then taken over. Returns the number of entries computed.
         """
-        rank, tokens, whole, apart, longest = self.rank, self.tokens, self.whole, self.apart, self.longest
+        rank, apart, longest, sizes = self.inner, self.apart, self.longest, self.sizes
         same, begun = 0, len(last)
         for i in range(len(last), len(raw) + 1):
-            for j in range(max(0, i - longest), i):
+            for n in sizes.get(raw[i - 3 : i], (2, 1)) if i > 2 else (2, 1):
+                j = i - n
+                if j < 0:
+                    continue
                 t = rank.get(raw[j:i])
-                if t is None or t in whole:
+                if t is None:
                     continue
                 if j == 0:
                     break
@@ -126,7 +155,6 @@ class Vocabulary:
                 if same >= longest:
                     last.extend(until[i - shift + 1 :])
                     return i + 1 - begun
-        del tokens
         return len(raw) + 1 - begun
 
     def walk(self, last: list[int], end: int) -> list[int]:
@@ -171,11 +199,31 @@ class PrefixTable:
         return self.vocabulary.walk(self.last, len(self.raw) if end is None else end)
 
 
+@functools.cache
+def splitter(pattern: str = PATTERN) -> Callable[[str], list[str]]:
+    """Cuts a text by the pattern. For texts of Latin-1 characters the classes are spelled out for the quicker engine."""
+    full = regex.compile(pattern).findall
+    if pattern != PATTERN:
+        return full
+    letters, numbers, space = ("".join(f"\\x{c:02x}" for c in range(256) if regex.match(kind, chr(c))) for kind in (r"\p{L}", r"\p{N}", r"\s"))
+    quick = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[{numbers}]+| ?[^{space}{letters}{numbers}]+|[{space}]+(?![^{space}])|[{space}]+").findall
+
+    def split(text: str) -> list[str]:
+        if not text.isascii():
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                return full(text)
+        return quick(text)
+
+    return split
+
+
 class Encoder:
     """Encoding of texts by pieces, which are remembered."""
 
     def __init__(self, vocabulary: Vocabulary, pattern: str = PATTERN):
-        self.vocabulary, self.split = vocabulary, regex.compile(pattern).findall
+        self.vocabulary, self.split = vocabulary, splitter(pattern)
         self.known = _Pieces(vocabulary)
         self.flat = np.frombuffer(b"".join(vocabulary.tokens), np.uint8)
         self.size = np.array([len(t) for t in vocabulary.tokens])
@@ -203,7 +251,7 @@ class _Pieces(dict):
         self.vocabulary = vocabulary
 
     def __missing__(self, piece: str) -> bytes:
-        out = np.array(self.vocabulary.piece(piece.encode()), np.int32).tobytes()
+        out = array("i", self.vocabulary.piece(piece.encode())).tobytes()
         if len(piece) <= CACHE_BYTES:
             if len(self) >= CACHE_PIECES:
                 self.clear()
@@ -254,8 +302,14 @@ class EditableText:
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def encode(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
+def vocabulary_path(spark: SparkSession) -> str:
+    """The file that the session's setting names, else the default one."""
+    return spark.conf.get(SETTING, None) or VOCABULARY
+
+
+def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, tokens, exact): exact says that decoding gives the text's bytes."""
+    path = path or vocabulary_path(docs.sparkSession)
     vocabulary = Vocabulary.read(path)
     shared = docs.sparkSession.sparkContext.broadcast((path, vocabulary.tokens, vocabulary.left, vocabulary.right, vocabulary.whole))
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -263,10 +317,7 @@ def encode(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     def encoder() -> Encoder:
         name, tokens, left, right, whole = shared.value
         if name not in _ENCODERS:
-            v = Vocabulary.__new__(Vocabulary)
-            v.tokens, v.left, v.right, v.whole, v.apart = tokens, left, right, whole, {}
-            v.rank, v.longest = {t: i for i, t in enumerate(tokens)}, max(map(len, tokens))
-            _ENCODERS[name] = Encoder(v)
+            _ENCODERS[name] = Encoder(Vocabulary.of(tokens, left, right, whole))
         return _ENCODERS[name]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,9 +345,9 @@ def encode(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     return need(docs, "doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long, tokens array<int>, exact boolean")
 
 
-def decode(tokens: DataFrame, path: str = VOCABULARY) -> DataFrame:
+def decode(tokens: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, text) of (doc_id, tokens); null tokens give a null text, ids outside the vocabulary are an error."""
-    shared = tokens.sparkSession.sparkContext.broadcast(Vocabulary.read(path).tokens)
+    shared = tokens.sparkSession.sparkContext.broadcast(Vocabulary.read(path or vocabulary_path(tokens.sparkSession)).tokens)
     kind = tokens.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

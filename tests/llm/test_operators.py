@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -701,6 +702,18 @@ def test_an_edit_computes_little(vocabulary):
     assert p.edit(100, 3, b"xyz") < 400
 
 
+@given(st.text(st.characters(max_codepoint=255), max_size=60))
+@settings(max_examples=200, deadline=None)
+def test_quick_split_equals_the_pattern(text):
+    assert bpe.splitter()(text) == regex.findall(bpe.PATTERN, text)
+
+
+def test_forgotten_pairs_change_nothing(encoding, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_PAIRS", 3)
+    e = bpe.Encoder(bpe.Vocabulary.read())
+    assert e.encode(prose(300, 8)) == encoding.encode_ordinary(prose(300, 8)) and len(e.vocabulary.apart) <= 3
+
+
 @given(st.text(max_size=60), st.integers(0, 60), st.integers(0, 5), st.text(max_size=6))
 @settings(max_examples=80, deadline=None)
 def test_encoder_and_edits_equal_the_library(vocabulary, encoding, text, at, remove, insert):
