@@ -7,8 +7,9 @@ A block is a vector: hashed embeddings of its tag path (names, class and id word
 words, and shape numbers (length, links, punctuation, case, digits, place). A bidirectional LSTM in numpy reads the page's
 whole sequence in both directions, so every label sees the whole document, and blocks with a probability of at least
 ``KEEP_FROM`` make up the text. The network is trained here, once for a process and always alike (fixed seed), on pages of a
-generator that writes articles, lists, tables, menus, asides, advertisements and footers in several layouts with known
-labels; nothing is taken from the corpus.
+generator (:func:`generated_page`) with known labels: articles of one block to dozens between mastheads, menus, crumbs,
+bylines, teasers, notices, sponsored boxes, comments and footers, nested in elements drawn at random, with words of random
+letters. Neither markup nor words are taken from the corpus.
 
 Scale: one map over pages in Arrow batches, no shuffle; pages of like length are run together as one matrix. Defined cases:
 null html gives null text and no blocks; empty or tagless html is text of one block or none; broken nesting is mended as
@@ -79,7 +80,9 @@ def blocks(page: str) -> list[Block]:
         if name is None:
             continue
         name = name.lower()
-        if name not in _INLINE:
+        if name == "br":  # a break within a block
+            parts.append(" ")
+        elif name not in _INLINE:
             flush()
         if m.group(2):
             at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
@@ -124,6 +127,8 @@ def vectors(found: list[Block]) -> np.ndarray:
     count = np.diff(words.first)
     total = np.concatenate([np.zeros((1, EMBED), np.float32), np.cumsum(_TABLE[(mix(words.hash) >> _U(52)).astype(np.int64)], axis=0)])
     out[:, EMBED : 2 * EMBED] = (total[words.first[1:]] - total[words.first[:-1]]) / np.sqrt(np.maximum(count, 1))[:, None] / 2
+    norm = np.sqrt((out[:, EMBED : 2 * EMBED] ** 2).sum(1, keepdims=True))
+    out[:, EMBED : 2 * EMBED] /= np.maximum(1, norm / 3)  # one word over and over isn't louder than prose
     for i, b in enumerate(found):
         out[i, :EMBED] = _path_vector(b.path)
 
@@ -207,11 +212,11 @@ class Labeller:
         return loss, [*gw, *gb, np.einsum("tr,trh->h", dz, h), np.array([dz.sum()])]
 
     def fit(self, pages: list[tuple[np.ndarray, np.ndarray]], epochs: int = 8, batch: int = 32, rate: float = 0.02, seed: int = SEED) -> Labeller:
-        """Adam on (vectors, labels) pages."""
+        """Adam on (vectors, labels) pages, with a rate that falls to a twentieth."""
         rng = np.random.default_rng(seed)
         params = self.params()
         first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-        step = 0
+        step, steps = 0, epochs * -(-len(pages) // batch)
         for _ in range(epochs):
             order = rng.permutation(len(pages))
             for a in range(0, len(order), batch):
@@ -227,7 +232,7 @@ class Labeller:
                     g = g * min(1, 1 / (norm + 1e-9))
                     m += 0.1 * (g - m)
                     v += 0.001 * (g * g - v)
-                    p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+                    p -= rate * (1 - 0.95 * step / steps) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         return self
 
     def label(self, pages: list[np.ndarray]) -> list[np.ndarray]:
@@ -256,79 +261,130 @@ def _stack(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return x, mask
 
 
-_SYLLABLES = "ka lo mi ra ten sol ver pan dor ist un ed al or en ta ri no se lu be ga pe ci du ul om ek".split()
+def _word(rng: random.Random) -> str:
+    letters = rng.choice(("etaoinshrdlucmfwypvbgk", "aeiouéèàçlrnst", "eniriastdhulcgßüöä", "aeosrnidlctumpbñóí"))
+    return "".join(rng.choice(letters) for _ in range(max(1, int(rng.gammavariate(3, 1.7)))))
 
 
-def _words(rng: random.Random, n: int) -> list[str]:
-    return ["".join(rng.choice(_SYLLABLES) for _ in range(rng.randint(1, 4))) for _ in range(n)]
+def _phrase(rng: random.Random, low: int, high: int) -> str:
+    return " ".join(_word(rng) for _ in range(rng.randint(low, high)))
 
 
-def _sentence(rng: random.Random, low: int = 4, high: int = 24) -> str:
-    w = _words(rng, rng.randint(low, high))
-    w = [x + "," if rng.random() < 0.08 else x for x in w]
-    if rng.random() < 0.08:
-        w = [x + rng.choice(["!!", "%%%", "$$$", "&amp;&amp;", "***"]) for x in w]
-    return " ".join([w[0].capitalize(), *w[1:]]) + rng.choice([".", ".", ".", "!", "?"])
+def _sentence(rng: random.Random, low: int = 1, high: int = 26, noise: float = 0.04) -> str:
+    words = [_word(rng) for _ in range(rng.randint(low, high))]
+    for i in range(len(words)):
+        r = rng.random()
+        if r < noise:
+            words[i] += "".join(rng.choice("!?#$%*+=~^@|") for _ in range(rng.randint(1, 3)))
+        elif r < noise + 0.05:
+            words[i] += rng.choice(",,,;:")
+        elif r < noise + 0.07:
+            words[i] = str(rng.randint(1, 3000))
+    return " ".join([words[0].capitalize(), *words[1:]]) + rng.choice("....!?")
+
+
+#: Words of classes and ids by which sites name what isn't the text, and what is; none of them is always there.
+_CHROME_MARKS = "nav menu topbar masthead header navbar links crumbs breadcrumb sidebar widget rail ad ads advert sponsor sponsored promo banner teaser related more share social comments reply footer legal bottom cookie notice newsletter signup login search pager tags meta".split()
+_TEXT_MARKS = "content main article post entry story body text copy page prose document column center inner wrap".split()
 
 
 def generated_page(rng: random.Random) -> tuple[str, list[tuple[str, int]]]:
     """(html, (text, label) of every block in order) of a made-up page."""
-    out: list[str] = []
     truth: list[tuple[str, int]] = []
+    noise = rng.choice((0.0, 0.02, 0.02, 0.5))
 
     def say(text: str, label: int) -> str:
-        truth.append((" ".join(entities.unescape(text).split()), label))
-        return text
-
-    def menu(tag: str, attr: str) -> str:
-        items = [f'<li><a href="/{k}">{say(" ".join(_words(rng, rng.randint(1, 2))), 0)}</a></li>' for k in range(rng.randint(3, 9))]
-        return f"<{tag}{attr}><ul>{''.join(items)}</ul></{tag}>"
-
-    def advert() -> str:
-        name = rng.choice(["ad", "promo", "banner", "sponsor", "ads", "advert", "related", "share"])
-        return f'<{(t := rng.choice(["div", "aside", "section"]))} class="{name}">' + say(_sentence(rng, 3, 12), 0) + f"</{t}>"
-
-    def foot() -> str:
-        text = say(f"&copy; {rng.choice(['www.', 'm.', ''])}{_words(rng, 1)[0]}.example &middot; {_sentence(rng, 3, 15)}", 0)
-        return rng.choice(["<footer>{}</footer>", '<div class="footer">{}</div>', '<div id="bottom"><p>{}</p></div>']).format(text)
+        truth.append((" ".join(text.split()), label))
+        return entities.escape(text, quote=False)
+
+    def mark(words: list[str], often: float = 0.7) -> str:
+        if rng.random() > often:
+            return ""
+        return f' {rng.choice(("class", "class", "id", "role"))}="{" ".join(rng.sample(words, rng.randint(1, 2)))}"'
+
+    def inside(body: str, words: list[str], tags: tuple[str, ...], often: float = 0.7) -> str:
+        for _ in range(rng.randint(1, 2)):
+            tag = rng.choice(tags)
+            body = f"<{tag}{mark(words, often)}>{body}</{tag}>"
+        return body
+
+    def link(text: str) -> str:
+        return f'<a href="/{_word(rng)}">{text}</a>'
+
+    def menu() -> str:
+        items = [say(rng.choice((_word(rng), _word(rng).capitalize(), _phrase(rng, 1, 3), _word(rng) + rng.choice(".,"))), 0) for _ in range(rng.randint(2, 12))]
+        item = rng.choice(("li", "li", "div", "td", "p", "dd"))
+        rows = "".join(f"<{item}>{link(x)}</{item}>" for x in items)
+        return {"li": f"<ul>{rows}</ul>", "td": f"<table><tr>{rows}</tr></table>", "dd": f"<dl>{rows}</dl>"}.get(item, rows)
+
+    def notice(tag: str = "") -> str:
+        text = say(_sentence(rng, 1, 22) if rng.random() < 0.7 else _phrase(rng, 1, 6), 0)
+        text = link(text) if rng.random() < 0.3 else text
+        tag = tag or rng.choice(("p", "span", "div", "h3", ""))
+        return f"<{tag}>{text}</{tag}>" if tag else text
+
+    def legal() -> str:
+        return f"<{(t := rng.choice(('p', 'small', 'span', 'div')))}>{say(rng.choice(('© ', '(c) ', '™ ', '')) + _sentence(rng, 2, 16), 0)}</{t}>"
+
+    def chrome(first: bool, last: bool) -> str:
+        kinds = [menu, notice, lambda: "".join(notice() + menu() for _ in range(1)), lambda: "".join(notice("h4") + notice("p") for _ in range(rng.randint(1, 4)))]
+        body = rng.choice([menu, menu, notice] if first else [legal, legal, menu, notice] if last else kinds)()
+        tags = ("nav", "header", "div", "div", "section", "ul") if first else ("footer", "footer", "div", "section") if last else ("aside", "aside", "div", "div", "section", "nav", "form")
+        often = 1.0 if not first and not last else 0.6
+        return inside(body, _CHROME_MARKS, tags, often)
+
+    heading = _phrase(rng, 1, 10).capitalize() if rng.random() < 0.7 else _sentence(rng, 1, 10, noise)
 
     def prose() -> str:
-        body = []
+        out = []
         if rng.random() < 0.85:
-            body.append(f"<h1>{say(' '.join(_words(rng, rng.randint(2, 9))), 1)}</h1>")
-        for _ in range(rng.randint(1, 14)):
-            text = " ".join(_sentence(rng) for _ in range(rng.randint(1, 8)))
+            level = rng.choice(("h1", "h1", "h1", "h2", "header"))
+            out.append(f"<{level}>{say(heading, 1)}</{level}>")
+        plain = rng.choice(("p", "p", "p", "div"))
+        many = rng.choice((rng.randint(1, 3), rng.randint(1, 8), rng.randint(4, 25)))
+        for at in range(many):
             kind = rng.random()
-            if kind < 0.72:
-                body.append(rng.choice(["<p>{}</p>", "<p>{}</p>", "<p>{}", "<p><b>{}<br>"]).format(say(text, 1)))
-            elif kind < 0.8:
-                body.append(f"<h2>{say(' '.join(_words(rng, rng.randint(1, 6))), 1)}</h2>")
-            elif kind < 0.86:
-                body.append("<ul>" + "".join(f"<li>{say(_sentence(rng), 1)}</li>" for _ in range(rng.randint(2, 5))) + "</ul>")
-            elif kind < 0.9:
-                body.append("<table>" + "".join(f"<tr><td>{say(_words(rng, 1)[0], 1)}</td><td>{say(str(rng.randint(1, 999)), 1)}</td></tr>" for _ in range(rng.randint(1, 4))) + "</table>")
-            elif kind < 0.95:
-                body.append(f"<p>{say(_words(rng, 1)[0].capitalize() + '.', 1)}</p>")
+            if at == 0 and rng.random() < 0.2:
+                text = heading  # the lead says the title again
+            elif kind < 0.25:
+                text = _sentence(rng, 1, 6, noise)
             else:
-                body.append(advert())
-        return "".join(body)
-
-    title = say(" ".join(_words(rng, rng.randint(2, 8))), 0)
-    out.append(f'<!DOCTYPE html><html><head><meta charset="utf-8"><title>{title}</title><style>p{{margin:0}}</style></head><body>')
-    if rng.random() < 0.8:
-        out.append(menu(*rng.choice([("nav", ""), ("div", ' class="menu"'), ("header", ' id="top"')])))
-    if rng.random() < 0.6:
-        out.append(advert())
-    open_, close = rng.choice([("<article>", "</article>"), ('<div id="content">', "</div>"), ("<main><section>", "</section></main>"), ("<div><div>", "</div></div>"), ('<div class="post entry">', "</div>"), ("", "")])
-    out += [open_, prose(), close]
-    if rng.random() < 0.4:
-        out.append(menu(*rng.choice([("aside", ""), ("div", ' class="sidebar"'), ("nav", "")])))
-    if rng.random() < 0.3:
-        out.append(advert())
-    if rng.random() < 0.8:
-        out.append(foot())
-    out.append("</body></html>")
-    return "".join(out), truth
+                text = " ".join(_sentence(rng, 1, 26, noise) for _ in range(rng.randint(1, 9)))
+            if kind > 0.93:
+                item = rng.choice(("li", "li", "td", "dd"))
+                rows = "".join(f"<{item}>{say(_sentence(rng, 1, 14, noise) if rng.random() < 0.7 else _phrase(rng, 1, 3), 1)}</{item}>" for _ in range(rng.randint(1, 5)))
+                out.append({"li": f"<{(l := rng.choice(('ul', 'ol')))}>{rows}</{l}>", "td": f"<table><tr>{rows}</tr></table>", "dd": f"<dl>{rows}</dl>"}[item])
+                continue
+            tag = plain if kind < 0.85 else rng.choice(("h2", "h3", "blockquote", "pre", "figcaption"))
+            if tag[0] == "h":
+                text = _phrase(rng, 1, 6)
+            own = say(text, 1)
+            if rng.random() < 0.25:
+                cut = own.split(" ")
+                k = rng.randrange(len(cut))
+                if "&" not in cut[k]:
+                    cut[k] = rng.choice(("<b>{}</b>", "<em>{}</em>", '<a href="#">{}</a>', "<code>{}</code>")).format(cut[k])
+                own = " ".join(cut)
+            out.append(f"<{tag}>{own}" + ("" if tag == "p" and rng.random() < 0.2 else f"</{tag}>"))
+            if rng.random() < 0.03:
+                out.append(inside(notice(), _CHROME_MARKS, ("aside", "div"), 1.0))
+        return "".join(out)
+
+    head = rng.choice(("<html><head>", "<!doctype html>\n<html>\n<head>", '<html class="no-js"><head><link rel="icon" href="i.png">'))
+    title = heading if rng.random() < 0.4 else heading[: rng.randint(3, 60)].strip() if rng.random() < 0.4 else _phrase(rng, 1, 8)
+    page = [head, f"<title>{say(title or 'x', 0)}</title>" if rng.random() < 0.9 else "", "</head><body>"]
+    for k in range(before := rng.choice((0, 1, 1, 2, 2, 3))):
+        page.append(chrome(k == 0, False))
+    holder = rng.choice((("article",), ("article",), ("main",), ("main", "article"), ("div", "article"), ("div", "div"), ("section", "div"), ("td",), ()))
+    body = prose()
+    for tag in holder:
+        body = f"<{tag}{mark(_TEXT_MARKS, 0.4 if tag in ('article', 'main') else 0.85)}>{body}</{tag}>"
+    page.append(body)
+    for k in range(after := rng.choice((0, 1, 1, 2, 3))):
+        page.append(chrome(False, k == after - 1))
+    page.append("</body></html>")
+    del before
+    return "".join(page), truth
 
 
 def training_pages(n: int, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -343,7 +399,7 @@ def training_pages(n: int, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 @functools.cache
-def trained(pages: int = 480, seed: int = SEED) -> Labeller:
+def trained(pages: int = 1200, seed: int = SEED) -> Labeller:
     return Labeller(seed).fit(training_pages(pages, seed))
 
 
