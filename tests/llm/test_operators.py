@@ -173,6 +173,22 @@ def test_sparse_features_give_the_linear_score():
     assert np.allclose(a[keep], b[keep])
 
 
+def test_quality_scores_equal_the_definition():
+    texts = ["Some words, more words.", "A!!", "é É go go go", prose(200, 4)]
+    w = np.random.default_rng(0).normal(size=quality.DIM)
+    mask, mean = 2**32 - 1, lambda v: sum(v) / len(v) if v else 0.0
+    for text, z in zip(texts, quality.linear(pa.array(texts), w), strict=True):
+        raw = text.encode()
+        want = 0.0
+        for n in (2, 3, 4):
+            want += mean([w[(((int.from_bytes(raw[k : k + n], "little") + n * 0x01000193) & mask) * 2654435761 & mask) >> 17] for k in range(len(raw) - n + 1)])
+        h = [int(x) for x in textkernel.Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)])).hash]
+        want += mean([w[x >> 49] for x in h])
+        pair = [12345 << 49 if a == b else (x := (a * 3 + b * 0x9E3779B97F4A7C15) % 2**64) ^ (x >> 29) for a, b in zip(h, h[1:])]
+        want += mean([w[x >> 49] for x in pair])
+        assert abs(z - quality._SCALE * want) < 1e-3
+
+
 def test_quality_on_held_out_labels(spark, sf):
     sf = sf.replace("0.001", "0.01")
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
@@ -301,6 +317,35 @@ def test_url_filter_on_unseen_urls(spark):
     assert url_filter.scores(pages.limit(0), model).count() == 0 and url_filter.scores(pages, None).where("blocked").count() == 0
 
 
+def test_url_words_outside_the_table(spark):
+    """Hosts whose words aren't in the table; inflections and compounds of what blocked sites say are."""
+    listed = {w for u, _ in url_filter.LABELLED for w in re.split(r"[^a-z]+", u)}
+    bad = ["megajackpotz", "pornvideos", "nudecamgirl", "onlinepokerroom", "cracksoftwares", "viagraonline", "luckyslotsclub", "torrentmirror", "sexchatting", "bettingtips"]
+    good = ["wikipedia", "gardening", "scunthorpe", "readers", "newsroom", "physicist", "mountaineer", "chessboard", "orchestral", "beekeepers"]
+    assert not (set(bad) | set(good)) & listed
+    model = url_filter.fit_model(spark)
+    urls = spark.createDataFrame([(i, f"https://{h}.example.com/") for i, h in enumerate(bad + good)], "page_id long, url string")
+    got = [r["blocked"] for r in url_filter.scores(urls, model).orderBy("page_id").collect()]
+    assert sum(got[: len(bad)]) >= 9 and not any(got[len(bad) :])
+
+
+def test_gram_scores_equal_the_definition():
+    host, path = ["a.example.com", "xy", None, "é.de", "aaaaaa"], ["/p/q?x=1#y", "", None, "/", "/aaaa"]
+    w = np.random.default_rng(1).normal(size=url_filter.DIM)
+    got = url_filter.linear(pa.array(host), pa.array(path), w)
+    for h, p, z in zip(host, path, got, strict=True):
+        count = {}
+        for salt, text in enumerate((h or "", p or "")):
+            raw = f"^{text}$".encode()
+            for n in (3, 4, 5):
+                for k in range(len(raw) - n + 1):
+                    code = int.from_bytes(raw[k : k + n], "little") + salt * 131 + n
+                    b = (code * 0x9E3779B97F4A7C15 % 2**64) >> 46
+                    count[b] = count.get(b, 0) + 1
+        norm = sum(c * c for c in count.values()) ** 0.5
+        assert abs(z - sum(url_filter._SCALE * c / norm * w[b] for b, c in count.items())) < 1e-9 if norm else z == 0
+
+
 # -- decontamination
 
 
