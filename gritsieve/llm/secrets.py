@@ -6,11 +6,13 @@ alphabet (hex or base36 in one case, any) without its separators, as of a UUID;
 control of false discoveries. What lies within a longer discovery isn't reported again. A candidate's encoding is
 inferred from its characters (hex, base32, alpha26, base36, base64), which gives the alphabet in which it would be uniform
 if it were random. Three tests ask whether it is: chi-squared uniformity over the alphabet, runs above and below the middle
-of the alphabet, and lag-1 serial correlation of the codes; Fisher's method combines them. What passes (p >= 0.001) gets an
-e-value, the likelihood ratio of uniform characters against natural ones. The natural model is counted over all documents:
-folded letter frequencies, transitions between letters, digits and symbols, and a price for changes of case. Evidence grows
-with length, and the e-BH procedure (Wang and Ramdas, 2022) over all candidates of the corpus holds the share of false
-discoveries at ``FDR`` whatever their dependence; e-values are rounded down to tenths of a decade, which keeps that.
+of the alphabet, and lag-1 serial correlation of the codes; Fisher's method combines them to p. The evidence is an e-value
+against natural text: the likelihood ratio of uniform characters against natural ones, times min(1, p / 0.001), so it falls
+with every decade by which the battery denies uniformity (a factor of at most 1 keeps it an e-value). The natural model is
+counted over all documents: folded letter frequencies, transitions between letters, digits and symbols, and a price for
+changes of case. Evidence grows with length, and the e-BH procedure (Wang and Ramdas, 2022) over all candidates of the corpus
+holds the share of false discoveries at ``FDR`` whatever their dependence; e-values are rounded down to tenths of a decade,
+which keeps that.
 
 Scale: two counting scans whose results are a few hundred numbers, then one scan that decides; nothing is shuffled but those
 counts. Starts and lengths are bytes of the UTF-8 text.
@@ -37,6 +39,8 @@ from .textkernel import chunks, need, utf8
 LEAST = 16
 RANDOM_FROM = 1e-3
 FDR = 0.01
+#: Tenths of a decade of evidence that are told apart: below 1 / FDR none can be a discovery, and beyond the last all are.
+LOWEST, HIGHEST = 20, 400
 MASK = b"[SECRET]"
 _CANDIDATE = re.compile(rb"(?<![\x80-\xffA-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{16,}+={0,2}+(?![\x80-\xff])")
 _LETTER = re.compile(rb"[A-Za-z]")
@@ -116,7 +120,7 @@ class Natural:
     symbols: np.ndarray
     moves: np.ndarray
 
-    def log10_e(self, token: bytes, kind: str) -> float:
+    def log10_ratio(self, token: bytes, kind: str) -> float:
         """log10 of the likelihood of the token under uniformity over that under the natural model."""
         b = np.frombuffer(token, np.uint8)
         c = _CLASS[b]
@@ -129,6 +133,16 @@ class Natural:
         return float((-math.log(len(_KINDS)) - len(b) * math.log(_CODES[kind][0]) - natural) / math.log(10))
 
 
+def evidence(p_random: float, log10_ratio: float) -> float:
+    """log10 of the e-value of a candidate with these results of the battery and of the likelihood ratio."""
+    return log10_ratio + min(0.0, math.log10(p_random / RANDOM_FROM)) if p_random > 0 else -math.inf
+
+
+def bucket(log10_e: float) -> int | None:
+    """Tenths of a decade, rounded down; None for what can't be a discovery."""
+    return min(HIGHEST, math.floor(10 * log10_e)) if log10_e >= LOWEST / 10 else None
+
+
 @dataclass
 class Detector:
     """The natural model and the least e-value bucket (tenths of a decade) that is a discovery; None if there is none."""
@@ -140,10 +154,11 @@ class Detector:
         body = token.rstrip(b"=")
         kind = infer(body)
         p = battery(body, kind)
-        return (kind, *p, self.natural.log10_e(body, kind))
+        return (kind, *p, evidence(p[3], self.natural.log10_ratio(body, kind)))
 
-    def secret(self, p_random: float, log10_e: float) -> bool:
-        return self.least is not None and p_random >= RANDOM_FROM and math.floor(10 * log10_e) >= self.least
+    def secret(self, log10_e: float) -> bool:
+        own = bucket(log10_e)
+        return self.least is not None and own is not None and own >= self.least
 
 
 def _within(run: bytes) -> set[tuple[int, int, bytes]]:
@@ -174,7 +189,7 @@ def candidates(column: pa.Array) -> Iterator[tuple[int, int, list[tuple[int, int
 def discovered(column: pa.Array, found: Detector) -> Iterator[tuple[int, int, int, tuple]]:
     """(row, start byte, end byte, tests) of every secret that lies in no other, in order; of one span the best evidence."""
     for row, start, tokens in candidates(column):
-        hits = [(a, b, t) for a, b, token in tokens if found.secret((t := found.tests(token))[4], t[5])]
+        hits = [(a, b, t) for a, b, token in tokens if found.secret((t := found.tests(token))[5])]
         last = -1
         for a, b, t in sorted(hits, key=lambda x: (x[0], -x[1], -x[2][5])):
             if b > last:
@@ -218,20 +233,19 @@ def _bucket_batches(natural: Natural):
             out = []
             for _, _, tokens in candidates(b["text"]):
                 for _, _, token in tokens:
-                    *_, p, e = probe.tests(token)
-                    out.append(math.floor(10 * e) if p >= RANDOM_FROM else None)
+                    out.append(bucket(probe.tests(token)[5]))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["bucket"])
 
     return run
 
 
 def discoveries_from(counts: list[tuple[int | None, int]], fdr: float = FDR) -> int | None:
-    """e-BH on bucket counts (None: failed the battery): the least bucket b with 10^(b/10) >= m / (fdr * tokens at b or above)."""
+    """e-BH on bucket counts (None: no discovery, whatever the rest): the least bucket b with 10^(b/10) >= m / (fdr * tokens at b or above)."""
     m, above, least = sum(n for _, n in counts), 0, None
-    for bucket, n in sorted(((b, n) for b, n in counts if b is not None), reverse=True):
+    for own, n in sorted(((b, n) for b, n in counts if b is not None), reverse=True):
         above += n
-        if bucket / 10 >= math.log10(m / (fdr * above)):
-            least = bucket
+        if own / 10 >= math.log10(m / (fdr * above)):
+            least = own
     return least
 
 

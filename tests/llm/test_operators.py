@@ -248,6 +248,46 @@ def test_encoding(token, kind):
     assert secrets.infer(token) == kind
 
 
+def plain_battery(token, alphabet):
+    """The three tests by their textbook formulas, in plain Python."""
+    import math
+
+    x, n, size = [alphabet.index(c) for c in token], len(token), len(alphabet)
+    tail = lambda z: 0.5 * math.erfc(z / math.sqrt(2))
+    expected = n / size
+    statistic = sum((x.count(v) - expected) ** 2 / expected for v in range(size))
+    mean, var = size - 1, 2 * (size - 1) * (n - 1) / n
+    k, scale = 2 * mean**2 / var, var / (2 * mean)  # a scaled chi-squared of that mean and variance, by Wilson and Hilferty
+    chi = tail(((statistic / scale / k) ** (1 / 3) - (1 - 2 / (9 * k))) / math.sqrt(2 / (9 * k)))
+    high = [v >= size / 2 for v in x]
+    up, down = high.count(True), high.count(False)
+    runs = 1 + sum(a != b for a, b in zip(high, high[1:]))
+    expect = 2 * up * down / n + 1
+    run = 2 * tail(abs(runs - expect) / math.sqrt((expect - 1) * (expect - 2) / (n - 1)))
+    centre = sum(x) / n
+    r1 = sum((a - centre) * (b - centre) for a, b in zip(x, x[1:])) / sum((a - centre) ** 2 for a in x)
+    serial = 2 * tail(abs(r1 + 1 / n) * math.sqrt(n))
+    fisher = -2 * sum(map(math.log, (chi, run, serial)))
+    return chi, run, serial, math.exp(-fisher / 2) * sum((fisher / 2) ** j / math.factorial(j) for j in range(3))
+
+
+def test_battery_equals_the_formulas_and_is_calibrated():
+    r = random.Random(6)
+    small = {"hex": 0, "base64": 0}
+    for kind, alphabet in (("hex", b"0123456789abcdef"), ("base64", secrets._KINDS[-1][2][0])):
+        for k in range(600):
+            token = bytes(r.choice(alphabet) for _ in range(20 + k % 60))
+            got = secrets.battery(token, kind)
+            assert np.allclose(got, plain_battery(token, alphabet), rtol=1e-9)
+            small[kind] += got[3] < 0.05
+    assert all(10 <= n <= 60 for n in small.values())  # 30 are expected of 600
+
+
+def test_the_battery_counts_in_the_evidence():
+    assert secrets.evidence(0.5, 7.0) == secrets.evidence(1e-3, 7.0) == 7.0 and abs(secrets.evidence(1e-5, 7.0) - 5.0) < 1e-9 and secrets.evidence(0.0, 900.0) == -np.inf
+    assert secrets.bucket(1.99) is None and secrets.bucket(2.0) == 20 and secrets.bucket(-np.inf) is None and secrets.bucket(900.0) == secrets.HIGHEST
+
+
 def test_e_bh_by_hand():
     def brute(es, fdr):
         m, best = len(es), None
@@ -258,9 +298,12 @@ def test_e_bh_by_hand():
 
     r = random.Random(3)
     for _ in range(100):
-        es = [r.choice([None, r.randint(-50, 60)]) for _ in range(r.randint(1, 60))]
+        es = [r.choice([None, r.randint(-50, 60), r.randint(300, 500)]) for _ in range(r.randint(1, 60))]
         counts = [(b, es.count(b)) for b in set(es)]
         assert secrets.discoveries_from(counts) == brute(es, secrets.FDR)
+        folded = [None if e is None else secrets.bucket(e / 10) for e in es]  # what is folded together changes no decision
+        own, was = secrets.discoveries_from([(b, folded.count(b)) for b in set(folded)]), brute(es, secrets.FDR)
+        assert [f is not None and own is not None and f >= own for f in folded] == [e is not None and was is not None and e >= was for e in es]
 
 
 def test_secrets_found_and_masked(spark):
