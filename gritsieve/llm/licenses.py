@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .license_texts import TEXTS
 from .shared import small_side
 from .textkernel import need, row_key
 
@@ -32,7 +33,7 @@ COVER = 0.75
 STRETCH = 1.5
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: (license, template) pairs: notices and telling clauses of public licenses.
+#: (license, template) pairs: one-line notices and telling clauses of public licenses, then their texts.
 TEMPLATES = [
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
@@ -62,6 +63,7 @@ TEMPLATES = [
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("Proprietary", "All rights reserved. Unauthorized copying of this file, via any medium, is strictly prohibited."),
     ("Proprietary", "All rights reserved."),
+    *TEXTS,
 ]
 
 
@@ -114,7 +116,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None) -> Dat
 def sql(templates: list[tuple[str, str]] = TEMPLATES) -> str:
     """The same over DuckDB's ``documents``."""
     split = "list_filter(string_split_regex(translate(text, '{u}', '{l}'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')".format(u=_UPPER, l=_LOWER)
-    values = ", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(templates))
+    values = ", ".join("({}, '{}', '{}')".format(i, name, text.replace("'", "''")) for i, (name, text) in enumerate(templates))
     return f"""
 WITH t AS (SELECT template, license, {split} AS w FROM (VALUES {values}) v(template, license, text)),
 tg AS (SELECT template, license, len(w) AS size, q, w[q + 1:q + {K}] AS gram FROM t, unnest(range(0, len(w) - {K - 1})) AS r(q)),

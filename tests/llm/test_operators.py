@@ -173,20 +173,24 @@ def test_sparse_features_give_the_linear_score():
     assert np.allclose(a[keep], b[keep])
 
 
+def plain_quality(text, w):
+    """The linear score gram by gram."""
+    mask, mean = 2**32 - 1, lambda v: sum(v) / len(v) if v else 0.0
+    raw = text.encode()
+    out = 0.0
+    for n in (2, 3, 4):
+        out += mean([w[(((int.from_bytes(raw[k : k + n], "little") + n * 0x01000193) & mask) * 2654435761 & mask) >> 17] for k in range(len(raw) - n + 1)])
+    h = [int(x) for x in textkernel.Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)])).hash]
+    out += mean([w[x >> 49] for x in h])
+    pair = [12345 << 49 if a == b else (x := (a * 3 + b * 0x9E3779B97F4A7C15) % 2**64) ^ (x >> 29) for a, b in zip(h, h[1:])]
+    return quality._SCALE * (out + mean([w[x >> 49] for x in pair]))
+
+
 def test_quality_scores_equal_the_definition():
     texts = ["Some words, more words.", "A!!", "é É go go go", prose(200, 4)]
     w = np.random.default_rng(0).normal(size=quality.DIM)
-    mask, mean = 2**32 - 1, lambda v: sum(v) / len(v) if v else 0.0
     for text, z in zip(texts, quality.linear(pa.array(texts), w), strict=True):
-        raw = text.encode()
-        want = 0.0
-        for n in (2, 3, 4):
-            want += mean([w[(((int.from_bytes(raw[k : k + n], "little") + n * 0x01000193) & mask) * 2654435761 & mask) >> 17] for k in range(len(raw) - n + 1)])
-        h = [int(x) for x in textkernel.Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)])).hash]
-        want += mean([w[x >> 49] for x in h])
-        pair = [12345 << 49 if a == b else (x := (a * 3 + b * 0x9E3779B97F4A7C15) % 2**64) ^ (x >> 29) for a, b in zip(h, h[1:])]
-        want += mean([w[x >> 49] for x in pair])
-        assert abs(z - quality._SCALE * want) < 1e-3
+        assert abs(z - plain_quality(text, w)) < 1e-3
 
 
 def test_quality_on_held_out_labels(spark, sf):
@@ -519,10 +523,25 @@ def test_licenses(spark):
     mit = "released under the MIT license"
     rows = [(1, f"{prose(30, 1)} Released under the MIT License. {prose(30, 2)}"), (2, f"{mit} and again: {mit}!"), (3, prose(300, 3)), (4, "the MIT license"), (5, "Licensed under the Apache License, and then Version 2.0.")]
     got = licenses.scan(table(spark, rows + [(600, t) for _, t in awkward()])).where("template in (0, 4)")
-    assert sorted((g["doc_id"], g["license"], g["start_word"], g["end_word"]) for g in got.collect()) == [(1, "MIT", 30, 35), (2, "MIT", 0, 5), (2, "MIT", 7, 12)]
+    assert sorted((g["doc_id"], g["license"], g["start_word"], g["end_word"]) for g in got.collect()) == [(1, "MIT", 30, 35), (2, "MIT", 0, 5), (2, "MIT", 7, 12), (5, "Apache-2.0", 0, 10)]  # two words more don't hide it
     assert licenses.scan(table(spark, [])).count() == 0 and licenses.scan(table(spark, rows), []).count() == 0
 
 
+def test_whole_license_texts(spark):
+    from gritsieve.llm.license_texts import TEXTS
+
+    first = len(licenses.TEMPLATES) - len(TEXTS)
+    rows = []
+    for i, (_, text) in enumerate(TEXTS):
+        w = text.split()
+        w[len(w) // 2 : len(w) // 2 + 1] = ["by", "someone", w[len(w) // 2]] if len(w) > 30 else [w[len(w) // 2]]
+        rows.append((i, f"Copyright (c) 2001 {prose(3, i)}\n\n{' '.join(w)}\n{prose(200, 50 + i)}"))
+    got = {}
+    for g in licenses.scan(table(spark, rows)).where(f"template >= {first}").collect():
+        got.setdefault(g["doc_id"], {})[g["template"] - first] = g["coverage"]
+    assert all(got[i].get(i, 0) > 0.9 and max(got[i], key=lambda k: (got[i][k], k == i)) == i for i in range(len(TEXTS)))
+
+
 def test_license_with_an_inserted_word(spark):
     text = "permission to use copy modify and or freely distribute this software for any purpose with or without fee"
     got = licenses.scan(table(spark, [(None, text), (None, text)])).where("license = 'ISC'").collect()
