@@ -69,5 +69,33 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
     assert sorted(map(repr, corpus_pipeline.run(spark, d).collect())) == sorted(map(repr, docs.collect()))
 
 
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    """Every stage by its definition in plain Python: scores gram by gram, all pairs, all windows, all tokens, the library's encoding."""
+    import re
+
+    import tiktoken
+
+    from gritsieve.llm import bpe
+
+    from .test_operators import brute_groups, brute_matches, plain_quality
+
+    d = folder(spark, tmp_path, corpus())
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    model = quality.fit_model(docs, labels)
+    rows = [(i, t) for i, t in corpus() if t is not None and re.search(r"\w", t) and model.probability(plain_quality(t, model.weights)) >= quality.REJECT_BELOW]
+    root, _, _ = brute_groups([t for _, t in rows], near_dup.RADIUS)
+    order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0))
+    first = {}
+    for k in order:
+        first.setdefault(root[k], k)
+    rows = [rows[k] for k in sorted(first.values())]
+    hit = {i for i, _ in brute_matches([(k, t) for k, (_, t) in enumerate(rows)], [(1, prose(30, 77))])}
+    rows = [(i, t.replace("7f3a9c1be04d5286a1f0c37be92d4856", "[SECRET]")) for k, (i, t) in enumerate(rows) if k not in hit]
+    library = tiktoken.Encoding("own", pat_str=bpe.PATTERN, mergeable_ranks=bpe.Vocabulary.read().rank, special_tokens={})
+    want = sorted(repr((i, len(t.encode()), library.encode_ordinary(t))) for i, t in rows)
+    got = sorted(repr((r["doc_id"], r["n_bytes"], r["tokens"])) for r in corpus_pipeline.run(spark, d).collect())
+    assert got == want and 50 < len(got) < len(corpus()) - 50
+
+
 def test_pipeline_on_an_empty_table(spark, tmp_path):
     assert corpus_pipeline.run(spark, folder(spark, tmp_path, [])).count() == 0
