@@ -22,6 +22,11 @@ def any_of(globs: list[str]) -> str | None:
     return "|".join(f"(?:{to_regex(g)})" for g in globs) or None
 
 
+def any_above(globs: list[str]) -> str | None:
+    """One regex for paths that any of the globs matches, or a folder above them."""
+    return "|".join(f"(?:{to_regex(g).removesuffix('$')}(?:/.*)?$)" for g in globs) or None
+
+
 def matches(path: Column, globs: list[str]) -> Column:
     pattern = any_of(globs)
     return F.lit(False) if pattern is None else F.translate(path, "\\", "/").rlike(pattern)

@@ -20,7 +20,7 @@ class Token(NamedTuple):
     quote: str = ""  # of str and tpl: ' " ` <<< or <<<'
 
 
-_LABEL = r"[A-Za-z_\x80-\xff][A-Za-z0-9_\x80-\xff]*"
+_LABEL = r"[A-Za-z_\x7f-\xff][A-Za-z0-9_\x7f-\xff]*"
 _RULES = re.compile(
     rf"""(?P<ws>[ \t\r\n]+)
     |(?P<doc>/\*\*(?=\s).*?(?:\*/|\Z))
@@ -39,7 +39,7 @@ _RULES = re.compile(
     re.X | re.S,
 )
 _TICK = {'"': re.compile(r'"((?:[^"\\]|\\.)*)"', re.S), "`": re.compile(r"`((?:[^`\\]|\\.)*)`", re.S)}
-_INTERPOLATED = re.compile(r"(?<!\\)(?:\\\\)*(?:\$[A-Za-z_\x80-\xff]|\{\$|\$\{)")
+_INTERPOLATED = re.compile(r"(?<!\\)(?:\\\\)*(?:\$[A-Za-z_\x7f-\xff]|\{\$|\$\{)")
 
 
 def tokens(text: str, strict: bool = True) -> list[Token]:
@@ -98,7 +98,7 @@ def tokens(text: str, strict: bool = True) -> list[Token]:
             add("op", m.end())
             opened = False
         elif kind == "heredoc":
-            stop = re.compile(rf"^([ \t]*){m.group('tag')}(?![A-Za-z0-9_\x80-\xff])", re.M).search(text, m.end())
+            stop = re.compile(rf"^([ \t]*){m.group('tag')}(?![A-Za-z0-9_\x7f-\xff])", re.M).search(text, m.end())
             if stop is None:
                 if strict:
                     raise PhpSyntaxError(f"unterminated heredoc on line {line}")

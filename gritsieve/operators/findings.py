@@ -39,7 +39,7 @@ def raw_order() -> list[Column]:
 def selection_order() -> list[Column]:
     """By falling score, rule, first candidate path and first line, then raw order."""
     first = F.coalesce(F.get(candidate_paths(), 0), F.lit(""))
-    line = F.coalesce(F.get(F.col("locations"), 0)["line"], F.lit(1))
+    line = F.coalesce(F.get(F.col("locations"), 0)["line"], F.lit(0))
     return [F.desc("score"), F.asc("rule_id"), first.asc(), line.asc(), *raw_order()]
 
 

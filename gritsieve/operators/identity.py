@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 VERSION = 1
-_KEY = ["rule_id", "family", "scope", "message", "path", "evidence"]
+#: What tells a finding but for its line; ``at_path`` is the path of the place.
+_KEY = ["rule_id", "family", "scope", "message", "at_path", "evidence"]
 
 
 def places() -> Column:
@@ -26,35 +26,46 @@ def with_occurrences(findings: DataFrame) -> DataFrame:
     return findings.withColumn("occurrences", each)
 
 
-def occurrences(findings: DataFrame) -> DataFrame:
-    """One row for each fingerprint: of findings that share it, the last in raw order."""
+def _each(findings: DataFrame) -> DataFrame:
+    """(fingerprint, row, order) of every place of every finding; ``at_path`` is the place's path."""
     each = with_occurrences(findings).select("*", F.posexplode("occurrences").alias("at", "o"))
     order = F.struct(F.concat("rule_id", F.coalesce("path", F.lit(""))), "ord", "at")
-    row = F.struct(*_KEY, "severity", "score", "locations", "o")
-    return each.groupBy(F.col("o.fingerprint").alias("fingerprint")).agg(F.max_by(row, order).alias("r")).select("fingerprint", "r.*")
+    return each.select(F.col("o.fingerprint").alias("fingerprint"), F.struct("rule_id", "family", "scope", "message", F.col("o.path").alias("at_path"), "evidence", "path", "severity", "score", "locations", "o").alias("row"), order.alias("order"))
+
+
+def occurrences(findings: DataFrame) -> DataFrame:
+    """One row for each fingerprint: of findings that share it, the last in raw order."""
+    return _each(findings).groupBy("fingerprint").agg(F.max_by("row", "order").alias("r")).select("fingerprint", "r.*")
+
+
+def differences(base: DataFrame, head: DataFrame) -> DataFrame:
+    """(status, fingerprint, finding columns) of the fingerprints that only one side has, from one grouping of both."""
+    both = _each(base).withColumn("status", F.lit("resolved")).unionByName(_each(head).withColumn("status", F.lit("added")))
+    g = both.groupBy("fingerprint").agg(F.min("status").alias("status"), F.max("status").alias("other"), F.max_by("row", "order").alias("r"))
+    return g.where("status = other").select("status", "fingerprint", "r.*")
 
 
-def _unique(side: DataFrame) -> DataFrame:
-    return side.withColumn("n", F.count("*").over(W.partitionBy(*_KEY))).where("n = 1").select("fingerprint", *_KEY)
+def moved(changes: DataFrame) -> DataFrame:
+    """(added, resolved) fingerprints of findings that only moved: the same but for line, once on either side."""
+    own = lambda s: F.col("status") == s
+    g = changes.groupBy(*_KEY).agg(*[F.count_if(own(s)).alias("n_" + s) for s in ("added", "resolved")], *[F.min(F.when(own(s), F.col("fingerprint"))).alias(s) for s in ("added", "resolved")])
+    return g.where("n_added = 1 and n_resolved = 1").select("added", "resolved")
 
 
 def relocations(added: DataFrame, resolved: DataFrame) -> DataFrame:
-    """(added, resolved) fingerprints of findings that only moved: the same but for place, once on either side."""
-    a, b = _unique(added).alias("a"), _unique(resolved).alias("b")
-    same = F.lit(True)
-    for k in _KEY:
-        same &= F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
-    return a.join(b, same).select(F.col("a.fingerprint").alias("added"), F.col("b.fingerprint").alias("resolved"))
+    return moved(added.withColumn("status", F.lit("added")).unionByName(resolved.withColumn("status", F.lit("resolved"))))
 
 
 def delta(base: DataFrame, head: DataFrame) -> DataFrame:
-    """(status, fingerprint, finding columns) of what head adds and resolves, without what only moved."""
-    b, h = occurrences(base), occurrences(head)
-    added, resolved = h.join(b.select("fingerprint"), "fingerprint", "left_anti"), b.join(h.select("fingerprint"), "fingerprint", "left_anti")
-    moved = relocations(added, resolved)
-    added = added.join(moved.select(F.col("added").alias("fingerprint")), "fingerprint", "left_anti").withColumn("status", F.lit("added"))
-    resolved = resolved.join(moved.select(F.col("resolved").alias("fingerprint")), "fingerprint", "left_anti").withColumn("status", F.lit("resolved"))
-    return added.unionByName(resolved).select("status", "fingerprint", *_KEY, "severity", "score", "locations").orderBy("fingerprint")
+    """(status, fingerprint, finding columns) of what head adds and resolves, without what only moved.
+
+    Both sides meet in one grouping by fingerprint, and what differs is grouped once more by all but its line; the groups are
+    counted by partial aggregation, whatever their size.
+    """
+    changes = differences(base, head)
+    gone = moved(changes).select(F.explode(F.array("added", "resolved")).alias("fingerprint"))
+    kept = changes.join(gone, "fingerprint", "left_anti")
+    return kept.select("status", "fingerprint", "rule_id", "family", "scope", "message", "path", "evidence", "severity", "score", "locations").orderBy("fingerprint")
 
 
 def delta_counts(changes: DataFrame) -> DataFrame:

@@ -20,17 +20,15 @@ class RuleConfig:
 
 
 def _apply(base: RuleConfig, data: dict[str, Any]) -> RuleConfig:
-    options = data.get("options")
-    return RuleConfig(
-        bool(data["enabled"]) if "enabled" in data else base.enabled,
-        float(data["weight"]) if "weight" in data else base.weight,
-        {**base.options, **options} if isinstance(options, dict) else base.options,
-    )
+    own, options = data.get("options"), base.options
+    if "options" in data:  # objects are merged; anything else replaces, and rules then use their defaults
+        options = {**base.options, **own} if isinstance(own, dict) else {}
+    return RuleConfig(bool(data["enabled"]) if "enabled" in data else base.enabled, float(data["weight"]) if "weight" in data else base.weight, options)
 
 
 def patterns(override: dict[str, Any]) -> list[str]:
-    out = [override["path"]] if isinstance(override.get("path"), str) else []
-    return out + [p for p in override.get("paths") or [] if isinstance(p, str)]
+    out = [override.get("path"), *(override["paths"] if isinstance(override.get("paths"), list) else [])]
+    return [p for p in out if isinstance(p, str) and p]
 
 
 def variant(path: Column, overrides: list[dict[str, Any]]) -> Column:

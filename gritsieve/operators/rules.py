@@ -6,7 +6,6 @@ A rule takes the facts (or what it groups) and its options and gives findings. `
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -28,18 +27,6 @@ def _path() -> Column:
     return F.col("path")
 
 
-
-
-@dataclass(frozen=True)
-class Rule:
-    id: str
-    family: str
-    severity: str
-    scope: str
-    requires: tuple[str, ...]
-    build: Callable[..., Any]
-
-
 def location(path: Column, line: Column | int, column: Column | int = 1) -> Column:
     as_col = lambda v: v if isinstance(v, Column) else F.lit(v)
     return F.struct(path.alias("path"), as_col(line).cast("int").alias("line"), as_col(column).cast("int").alias("column"))

@@ -7,7 +7,6 @@ from dataclasses import dataclass
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import globs
@@ -82,20 +81,29 @@ def matches(ignore: Ignore) -> Column:
 def ignored(findings: DataFrame, ignores: list[Ignore]) -> DataFrame:
     """Findings that no entry ignores. An entry with a count takes its first matches in order of emission, in turn.
 
-    Entries without a count fold into one predicate; a counted one ranks its own matches alone, so the unpartitioned window
-    holds the few rows that match it.
+    Entries without a count fold into one predicate. For a counted one the place of its last match is found (the greatest of
+    the first ``count``, a bounded heap in every task) and becomes a predicate too, so entries don't multiply the plan.
     """
     out = findings
     for g in ignores:
-        if g.count is None:
-            out = out.where(~F.coalesce(matches(g), F.lit(False)))
-            continue
         hit = F.coalesce(matches(g), F.lit(False))
-        rank = F.row_number().over(W.orderBy("ord", "rule_id"))
-        out = out.where(~hit).unionByName(out.where(hit).withColumn("_rank", rank).where(F.col("_rank") > g.count).drop("_rank"))
+        if g.count is None:
+            out = out.where(~hit)
+        elif g.count:
+            place = F.struct("ord", "rule_id")
+            last = out.where(hit).select(place.alias("p")).orderBy("p").limit(g.count).agg(F.max("p").alias("p"), F.count("*").alias("n")).first()
+            if last["n"] == g.count:
+                out = out.where(~hit | (place > _literal(last["p"])))
+            else:
+                out = out.where(~hit)
     return out
 
 
+def _literal(p) -> Column:
+    kinds = [("phase", "int"), ("unit", "string"), ("rule", "int"), ("key", "string"), ("a", "bigint"), ("b", "bigint")]
+    return F.struct(F.struct(*[F.lit(p["ord"][n]).cast(k).alias(n) for n, k in kinds]).alias("ord"), F.lit(p["rule_id"]).alias("rule_id"))
+
+
 def directives(comments: DataFrame, token: str = DIRECTIVE) -> DataFrame:
     """(path, rule_id, first, last) of comments (path, line, text) that carry a directive; a malformed tail voids it."""
     body = X.comment_body(F.col("text"))

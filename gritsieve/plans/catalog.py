@@ -228,12 +228,12 @@ def _fanout(spark, d):
 
 @query("over_fragmentation", f"""
 SELECT 'php.over-fragmentation' AS rule_id, dir AS path, CAST(1 AS INTEGER) AS line, CAST(1.0 AS DOUBLE) AS score, 'Found many tiny PHP files in one directory' AS message, 'tinyFiles=' || small AS evidence, CAST(1 AS INTEGER) AS places
-FROM (SELECT 'src/' || CAST(doc_id % 40 AS VARCHAR) AS dir, count(*) AS n, count(*) FILTER (lines BETWEEN 1 AND 12 AND doc_id % 4 <= 1) AS small
+FROM (SELECT 'src/' || CAST(doc_id % 8 AS VARCHAR) AS dir, count(*) AS n, count(*) FILTER (lines BETWEEN 1 AND 12 AND doc_id % 4 <= 1) AS small
       FROM (SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: {_TRIM('x')} <> '' AND NOT regexp_matches({_TRIM('x')}, '^(//|\\*)'))) AS lines FROM documents) GROUP BY 1) WHERE small >= 6 AND small >= n / 2.0""")
 def _fragments(spark, d):
     i = F.col("doc_id")
     rows = _table(spark, d, "documents").select(
-        F.concat(F.lit("src/"), (i % 40).cast("string"), F.lit("/f"), i.cast("string"), F.lit(".php")).alias("path"), text.logical_lines(F.col("text")).alias("logical_line_count"), (i % 4).alias("function_count")
+        F.concat(F.lit("src/"), (i % 8).cast("string"), F.lit("/f"), i.cast("string"), F.lit(".php")).alias("path"), text.logical_lines(F.col("text")).alias("logical_line_count"), (i % 4).alias("function_count")
     )
     return flat(rules.fragmentation(rows, {}))
 

@@ -9,9 +9,10 @@ import sys
 from pyspark.sql import SparkSession
 
 from ..operators import findings, identity
-from ..sources import reports
+from ..plugins import default_registry
+from ..sources import cache, reports
 from ..sources.config import Config, load
-from .analyze import analyze_tree
+from .analyze import Analysis, analyze_tree
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -25,8 +26,9 @@ def _parser() -> argparse.ArgumentParser:
         scan.add_argument("--" + name, action="append", default=[])
     scan.add_argument("--max-findings", type=int)
     scan.add_argument("--min-score", type=float)
-    for name in ("config-file", "cache-file", "baseline-file", "generate-baseline"):
+    for name in ("config-file", "cache-file", "baseline-file"):
         scan.add_argument("--" + name)
+    scan.add_argument("--generate-baseline", action="store_true")
     delta = sub.add_parser("delta")
     delta.add_argument("base_path", nargs="?")
     delta.add_argument("head_path", nargs="?", default=".")
@@ -51,8 +53,18 @@ def _config(root: str, path: str | None, ignore: list[str]) -> Config:
     return config
 
 
-def _changes(spark: SparkSession, base, head) -> list[dict]:
-    return [{"status": r["status"], "fingerprint": r["fingerprint"], "ruleId": r["rule_id"], "message": r["message"], "path": r["path"]} for r in identity.delta(base, head).collect()]
+def _analysis(spark: SparkSession, root: str, config: Config, cache_file: str | None = None) -> Analysis:
+    """With the cache that is named, else the configured one, else the default one."""
+    below = config.scan.cache_file
+    return analyze_tree(spark, root, config, cache_file or (os.path.join(root, below) if below else os.path.join(root, cache.DEFAULT_NAME)))
+
+
+def _delta_of(spark: SparkSession, base: dict, head: dict) -> dict:
+    """The changes between two reports, each with its finding."""
+    told = [{o["fingerprint"]: f for f in r.get("findings") or [] for o in (f.get("deltaIdentity") or {}).get("occurrences") or []} for r in (head, base)]
+    rows = identity.delta(reports.findings_of(spark, base), reports.findings_of(spark, head)).select("status", "fingerprint").orderBy("fingerprint").collect()
+    changes = [{"status": r["status"], "fingerprint": r["fingerprint"], "finding": told[r["status"] == "resolved"].get(r["fingerprint"], {})} for r in rows]
+    return {"summary": {s: sum(c["status"] == s for c in changes) for s in ("added", "resolved")}, "changes": changes}
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
@@ -71,62 +83,68 @@ def _scan(spark: SparkSession, a: argparse.Namespace) -> int:
     s.rules, s.path_filters = a.rule or s.rules, a.path_filter or s.path_filters
     s.max_findings = s.max_findings if a.max_findings is None else max(0, a.max_findings)
     s.min_score = s.min_score if a.min_score is None else a.min_score
-    cached = a.cache_file or (s.cache_file and os.path.join(a.path, s.cache_file))
-    done = analyze_tree(spark, a.path, config, cached)
-    report = done.report()
+    against = a.baseline_file or (s.baseline_file and os.path.join(a.path, s.baseline_file))
+    if a.generate_baseline and not against:
+        raise ValueError("Missing --baseline-file for --generate-baseline.")
+    kind = reports.reporter(a.json, a.toon, a.ndjson, a.github, a.lint)
+    done = _analysis(spark, a.path, config, a.cache_file)
+    try:
+        report = done.report()
+    finally:
+        done.release()
     if a.generate_baseline:
-        reports.write_report(a.generate_baseline, reports.baseline(report))
+        reports.write_report(against, reports.baseline(report))
+        print(f"{reports.TOOL} baseline written to {against}")
         return 0
-    against = a.baseline_file or (s.baseline_file and os.path.join(a.path, s.baseline_file))
-    if against:
-        base = reports.findings_of(spark, reports.read_baseline(against))
-        changes = _changes(spark, base, done.select())
-        added = {c["fingerprint"] for c in changes if c["status"] == "added"}
-        new = [f for f in report["findings"] if added & {o["fingerprint"] for o in f["deltaIdentity"]["occurrences"]}]
-        kind = reports.reporter(a.json, a.toon, a.ndjson, a.github, a.lint)
-        summary = {"added": sum(c["status"] == "added" for c in changes), "resolved": sum(c["status"] == "resolved" for c in changes)}
-        full = report | {"baseline": {"summary": summary, "changes": changes}, "newFindings": new}
-        if kind in ("json", "toon"):
-            print(reports.render(full, kind))
-        elif kind in ("ndjson", "github", "lint"):
-            print(reports.render(report | {"findings": new, "summary": report["summary"] | {"delta": summary}}, kind))
-        else:
-            print(reports.delta_report(changes))
-        return int(summary["added"] > 0)
-    print(reports.render(report, reports.reporter(a.json, a.toon, a.ndjson, a.github, a.lint)))
-    return 0
-
-
-def _side(spark: SparkSession, report: str | None, path: str | None, config_file: str | None, ignore: list[str]):
+    if not against:
+        print(default_registry().reporter(kind).render(report))
+        return 0
+    delta = _delta_of(spark, reports.read_baseline(against), report)
+    added = {c["fingerprint"] for c in delta["changes"] if c["status"] == "added"}
+    new = [f for f in report["findings"] if added & {o["fingerprint"] for o in f["deltaIdentity"]["occurrences"]}]
+    print({
+        "json": lambda: reports.render(reports.with_delta(report, delta), kind), "toon": lambda: reports.render(reports.with_delta(report, delta), kind),
+        "ndjson": lambda: reports.new_ndjson_report(new, delta["summary"]), "github": lambda: reports.github_report(new), "lint": lambda: reports.lint_report(new, "new findings"),
+        "text": lambda: reports.delta_report(delta["changes"]),
+    }[kind]())
+    return int(delta["summary"]["added"] > 0)
+
+
+def _side(spark: SparkSession, report: str | None, path: str | None, config_file: str | None, ignore: list[str]) -> dict:
     if report:
-        return reports.findings_of(spark, reports.read_report(report))
+        return reports.read_report(report)
     if not path:
-        raise ValueError("A path or a report is needed for either side")
-    return analyze_tree(spark, path, _config(path, config_file, ignore)).findings
+        raise ValueError("Missing delta input.")
+    done = _analysis(spark, path, _config(path, config_file, ignore))
+    try:
+        return done.whole_report()
+    finally:
+        done.release()
 
 
 def _delta(spark: SparkSession, a: argparse.Namespace) -> int:
     base = _side(spark, a.base_report, a.base or a.base_path, a.base_config_file, a.ignore)
     head = _side(spark, a.head_report, a.head or a.head_path, a.head_config_file, a.ignore)
-    changes = _changes(spark, base, head)
-    count = {s: sum(c["status"] == s for c in changes) for s in ("added", "resolved")}
-    print(reports.json_text({"summary": count, "changes": changes}, True) if a.json else reports.delta_report(changes))
+    delta = _delta_of(spark, base, head)
+    print(reports.json_text(delta, True) if a.json else reports.delta_report(delta["changes"]))
     on = [x.strip() for x in (a.fail_on or "").split(",") if x.strip()]
-    return int(bool(on) and any("any" in on or c["status"] in on for c in changes))
+    return int(bool(on) and any("any" in on or c["status"] in on for c in delta["changes"]))
 
 
 def _stats(spark: SparkSession, a: argparse.Namespace) -> int:
-    kind = "scan"
-    if a.report:
-        data = reports.read_report(a.report)
-        kind = data.get("metadata", {}).get("kind", "scan")
-        found = reports.findings_of(spark, data)
-    else:
-        found = analyze_tree(spark, a.path, _config(a.path, a.config_file, a.ignore)).findings
-    summary = findings.stats_summary(found).first().asDict()
-    rules = [r.asDict() for r in findings.top_rules(found, a.top_rules).collect()]
-    files = [r.asDict() for r in findings.top_files(found, a.top_files).collect()]
-    print(reports.json_text({"summary": summary | {"reportKind": kind}, "topRules": rules, "topFiles": files}, True) if a.json else reports.stats_report(summary, rules, files, kind))
+    data = _side(spark, a.report, a.path, a.config_file, a.ignore)
+    found = reports.findings_of(spark, data)
+    s = findings.stats_summary(found).first()
+    own, metadata = data.get("summary"), data.get("metadata")
+    stats = {
+        "summary": {
+            "findingCount": s["finding_count"], "uniqueRules": s["unique_rules"], "uniquePaths": s["unique_paths"], "reportKind": (metadata if isinstance(metadata, dict) else {}).get("kind") or "scan",
+            "reportFindingCount": int((own if isinstance(own, dict) else {}).get("findingCount", s["finding_count"]) or 0),
+        },
+        "topRules": [{"ruleId": r["rule_id"], "findingCount": r["finding_count"], "locationCount": r["location_count"]} for r in findings.top_rules(found, max(1, a.top_rules)).collect()],
+        "topFiles": [{"path": r["path"], "findingCount": r["finding_count"]} for r in findings.top_files(found, max(1, a.top_files)).collect()],
+    }
+    print(reports.json_text(stats, True) if a.json else reports.stats_report(stats))
     return 0
 
 

@@ -93,9 +93,20 @@ def ndjson_report(report: dict[str, Any]) -> str:
     return "\n".join([json_text(head), *[json_text({"type": "finding", "finding": f}) for f in report.get("findings", [])]])
 
 
+def new_ndjson_report(findings: list[dict[str, Any]], delta: dict[str, int]) -> str:
+    """The findings that are new against a baseline."""
+    head = {"type": "summary", "summary": {"findingCount": len(findings), "label": "new findings", "delta": delta}}
+    return "\n".join([json_text(head), *[json_text({"type": "finding", "finding": f}) for f in findings]])
+
+
+def with_delta(report: dict[str, Any], delta: dict[str, Any]) -> dict[str, Any]:
+    """A report with its changes against a baseline; a new finding is told for each of its added places."""
+    return report | {"baseline": delta, "newFindings": [c["finding"] for c in delta["changes"] if c["status"] == "added"]}
+
+
 def lint_report(findings: list[dict[str, Any]], label: str = "findings") -> str:
     if not findings:
-        return "0 findings"
+        return f"0 {label}"
     lines = []
     for f in findings:
         lines.append(f"{f['severity']}  {f['message']}  {f['ruleId']}")
@@ -129,13 +140,14 @@ def render(report: dict[str, Any], kind: str) -> str:
 
 def delta_report(changes: list[dict[str, Any]], title: str = TOOL + " delta") -> str:
     count = {s: sum(c["status"] == s for c in changes) for s in ("added", "resolved")}
-    return "\n".join([title, f"added: {count['added']}", f"resolved: {count['resolved']}", *[f"{c['status']} {c['ruleId']}" for c in changes]])
+    return "\n".join([title, f"added: {count['added']}", f"resolved: {count['resolved']}", *[f"{c['status']} {c['finding'].get('ruleId') or '<unknown>'}" for c in changes]])
 
 
-def stats_report(summary: dict[str, Any], rules: list[dict], files: list[dict], kind: str = "scan") -> str:
-    lines = [TOOL + " stats", f"findings: {summary['finding_count']}", f"unique rules: {summary['unique_rules']}", f"unique paths: {summary['unique_paths']}", f"report kind: {kind}", "", "top rules:"]
-    lines += [f"- {r['rule_id']}: {r['finding_count']} findings, {r['location_count']} locations" for r in rules]
-    return "\n".join([*lines, "", "top files:", *[f"- {f['path']}: {f['finding_count']}" for f in files]])
+def stats_report(stats: dict[str, Any]) -> str:
+    s = stats["summary"]
+    lines = [TOOL + " stats", f"findings: {s['findingCount']}", f"unique rules: {s['uniqueRules']}", f"unique paths: {s['uniquePaths']}", f"report kind: {s['reportKind']}", "", "top rules:"]
+    lines += [f"- {r['ruleId']}: {r['findingCount']} findings, {r['locationCount']} locations" for r in stats["topRules"]]
+    return "\n".join([*lines, "", "top files:", *[f"- {f['path']}: {f['findingCount']} findings" for f in stats["topFiles"]]])
 
 
 # -- files

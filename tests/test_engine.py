@@ -5,11 +5,15 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from gritsieve import plugins
 from gritsieve.functions import globs
 from gritsieve.operators import findings, identity, overrides, suppress
 from gritsieve.plans import cli, fixtures
-from gritsieve.plans.analyze import analyze
+from gritsieve.plans.analyze import analyze, analyze_tree
 from gritsieve.plans.corpora import findings as as_findings
+from gritsieve.schema import FINDING, of
 from gritsieve.sources import cache, config, files, reports, toon
 
 
@@ -21,7 +25,7 @@ def whole(spark):
 
 @pytest.fixture(scope="module")
 def rows(whole):
-    return whole.findings.collect()
+    return whole.findings.orderBy(*findings.raw_order()).collect()
 
 
 def test_each_fixture_has_its_finding_alone(rows):
@@ -178,21 +182,132 @@ def test_cache_parses_only_what_is_new(spark, tmp_path, monkeypatch):
     assert sorted(map(repr, cache.facts(spark, found, at).collect())) == first and seen == [0]
 
 
+def test_a_lost_cache_write_loses_nothing(spark, tmp_path):
+    at = str(tmp_path / "facts")
+    found = files.discovered(spark.createDataFrame([("a.php", "<?php\nvar_dump(1);\n")], "path string, text string"), [])
+    want = cache.facts(spark, found, at).collect()
+    torn = tmp_path / "facts" / "g-99999999999999999999-torn"
+    torn.mkdir()
+    (torn / "part-0.parquet").write_bytes(b"half a file")
+    assert cache.facts(spark, found, at).collect() == want and len(cache.generations(spark, at)) == 2
+    cache.facts(spark, found, at)
+    assert len(cache.generations(spark, at)) == 2
+    (tmp_path / "plain").write_text("no folder")
+    assert cache.facts(spark, found, str(tmp_path / "plain" / "x")).collect() == want
+
+
+def tree(root, sources):
+    for path, text in sources:
+        (root / path).parent.mkdir(parents=True, exist_ok=True)
+        (root / path).write_bytes(text if isinstance(text, bytes) else text.encode())
+    return str(root)
+
+
+def test_discovery(spark, tmp_path):
+    import hashlib
+
+    latin = "<?php\n// caf\u00e9 todo: x\n$a = 'n\u00e4h'; var_dump($a);\n".encode("latin-1")
+    root = tree(tmp_path, [("src/A.php", "<?php\n"), ("src/_ide.php", "<?php\n"), (".hid/a.php", "<?php\n"), ("src/B.PHP", latin), ("legacy/c.php", "<?php\n"), ("legacy/deep/d.php", "x"), ("x.generated.d/e.php", "x"), ("notes.txt", "x"), ("noext", "x"), ("a.Md", "")])
+    (tmp_path / "loop").symlink_to(tmp_path / "src")
+    got = {r["path"]: r for r in files.read_tree(spark, root, ["legacy", "**/*.generated.*"]).collect()}
+    assert sorted(got) == [".hid/a.php", "a.Md", "src/A.php", "src/B.PHP", "src/_ide.php"]
+    odd = got["src/B.PHP"]
+    assert odd["content_hash"] == hashlib.sha256(latin).hexdigest() and len(odd["text"]) == len(latin) and odd["line_count"] == 3
+    assert (odd["extension"], odd["language_id"], got["a.Md"]["language_id"], got["a.Md"]["line_count"]) == (".php", "php", "markdown", 0)
+    found = analyze(spark, files.read_tree(spark, root, [])).findings.where("path = 'src/B.PHP'").collect()
+    assert {(r["rule_id"], r["locations"][0]["line"]) for r in found} >= {("php.placeholder-comments", 2), ("php.debug-output", 3)}
+    same = [("legacy/c.php", "x"), ("src/A.php", "x")]  # rows of a table are pruned alike
+    assert [r["path"] for r in files.discovered(spark.createDataFrame(same, "path string, text string"), ["legacy"]).collect()] == ["src/A.php"]
+    with pytest.raises(OSError):
+        files.read_tree(spark, str(tmp_path / "none"), [])
+    assert files.read_tree(spark, tree(tmp_path / "void", [("t.txt", "x")]), []).count() == 0
+
+
+def test_a_second_scan_sees_changes(spark, tmp_path):
+    root = tree(tmp_path, [("a.php", "<?php\nvar_dump(1);\n")])
+    count = lambda: analyze_tree(spark, root).findings.where("rule_id = 'php.debug-output'").count()
+    assert count() == 1
+    tree(tmp_path, [("b.php", "<?php\nvar_dump(1);\n")])
+    assert count() == 2
+    tree(tmp_path, [("b.php", "<?php\nvar_dump(1);\nvar_dump(2);\n")])
+    assert count() == 3
+
+
+def test_plugins(spark, tmp_path):
+    reg = plugins.default_registry()
+    assert len(reg.rules) == 27 and reg.detect_language("x/Y.PHTML") == "php" and reg.detect_language("x.sql") is None
+    reg.register(plugins.LanguagePlugin("sql", ("sql",)))
+    reg.register(plugins.FactProvider("sql.twice", ("twice",), lambda full: full.select("path", (F.col("stars") * 2).alias("twice")), ("stars",)))
+    reg.register(plugins.FactProvider("sql.stars", ("stars",), lambda full: full.where("language_id = 'sql'").select("path", F.length(F.regexp_replace("text", "[^*]", "")).alias("stars")), ("text",)))
+    reg.register(plugins.RulePlugin("sql.star", "sql", "weak", "file", lambda full, o: full.where(F.col("twice") >= o.get("least", 2)).select("path", F.lit(1).alias("line"), F.lit("Found a star").alias("message"), F.array(F.col("twice").cast("string")).alias("evidence"), F.lit(1.5).alias("score")), ("twice",)))
+    reg.register(plugins.ReporterPlugin("count", lambda report: str(len(report["findings"]))))
+    assert [p.id for p in reg.ordered_providers()] == ["sql.stars", "sql.twice"]
+    root = tree(tmp_path, [("q.sql", "select * from t"), ("r.sql", "select 1"), ("a.php", "<?php\nvar_dump(1);\n")])
+    done = analyze_tree(spark, root, config.merge({"rules": {"sql.star": {"weight": 2}}}), registry=reg)
+    got = {(r["rule_id"], r["path"], r["score"]) for r in done.findings.collect()}
+    assert ("sql.star", "q.sql", 3.0) in got and ("php.debug-output", "a.php", 1.25) in got and not any(p == "r.sql" for _, p, _ in got)
+    assert reg.reporter("count").render(done.report()) == str(len(got))
+    off = analyze_tree(spark, root, config.merge({"rules": {"sql.star": {"enabled": False}}}), registry=reg)
+    assert off.findings.where("rule_id = 'sql.star'").count() == 0
+    with pytest.raises(ValueError):
+        reg.reporter("none")
+    with pytest.raises(ValueError):
+        plugins.Registry().register(plugins.FactProvider("x", ("y",), lambda f: f, ("nowhere",))).ordered_providers()
+
+
+def test_override_options():
+    base = overrides.RuleConfig(True, 1.0, {"a": 1})
+    assert overrides._apply(base, {"options": {"b": 2}}).options == {"a": 1, "b": 2} and overrides._apply(base, {"options": 7}).options == {} and overrides._apply(base, {}).options == {"a": 1}
+    assert overrides.patterns({"path": "", "paths": ["", "a", 3]}) == ["a"] and overrides.patterns({"paths": "a"}) == []
+
+
+def test_delta_tells_places_apart_by_their_file(spark):
+    """A finding of two files whose place in one of them moved."""
+    def rows(line):
+        places = [("a.php", 1, 1), ("b.php", line, 1)]
+        return spark.createDataFrame([("r", "f", "medium", "repo", "m", ["e"], 1.0, places, None, (2, "", 0, None, 0, 0))], of(FINDING))
+
+    assert identity.delta(rows(5), rows(9)).count() == 0
+    assert identity.delta(rows(5), rows(5)).count() == 0
+
+
+def test_write_findings(spark, tmp_path):
+    root = tree(tmp_path / "t", [("a.php", "<?php\nvar_dump(1);\nvar_dump(2);\n")])
+    done = analyze_tree(spark, root)
+    for kind in ("ndjson", "lint", "github"):
+        done.write_findings(str(tmp_path / kind), kind)
+        assert spark.read.text(str(tmp_path / kind)).where("value like '%var_dump%' or value like '%debug-output%'").count() == 2
+    done.release()
+
+
 def test_commands(spark, tmp_path, capsys):
     root = tmp_path / "tree"
-    for path, text in fixtures.CORPUS[:3] + fixtures.CLEAN[-2:]:
-        (root / path).parent.mkdir(parents=True, exist_ok=True)
-        (root / path).write_text(text)
+    tree(root, fixtures.CORPUS[:3] + fixtures.CLEAN[-2:])
     base = str(tmp_path / "base.json")
+    out = lambda: capsys.readouterr().out
     assert cli.main(["scan", str(root), "--json", "--rule", "php.empty-catch"], spark) == 0
-    report = json.loads(capsys.readouterr().out)
+    report = json.loads(out())
     assert [f["ruleId"] for f in report["findings"]] == ["php.empty-catch"] and report["summary"]["findingCountBeforeFilters"] >= 3
-    assert cli.main(["scan", str(root), "--generate-baseline", base], spark) == 0
+    assert cache.generations(spark, str(root / cache.DEFAULT_NAME))
+    assert cli.main(["scan", str(root), "--generate-baseline"], spark) == 1 and "Missing --baseline-file" in capsys.readouterr().err
+    assert cli.main(["scan", str(root), "--baseline-file", base, "--generate-baseline"], spark) == 0 and f"baseline written to {base}" in out()
+    assert cli.main(["scan", str(root), "--baseline-file", base, "--lint"], spark) == 0 and out().strip() == "0 new findings"
     (root / "src" / "New.php").write_text("<?php\nvar_dump(1);\n")
     assert cli.main(["scan", str(root), "--baseline-file", base, "--lint"], spark) == 1
-    assert "php.debug-output" in capsys.readouterr().out
+    assert "php.debug-output" in out()
+    assert cli.main(["scan", str(root), "--baseline-file", base, "--ndjson"], spark) == 1
+    lines = [json.loads(x) for x in out().splitlines()]
+    assert lines[0] == {"type": "summary", "summary": {"findingCount": 1, "label": "new findings", "delta": {"added": 1, "resolved": 0}}} and lines[1]["finding"]["ruleId"] == "php.debug-output" and len(lines) == 2
+    assert cli.main(["scan", str(root), "--baseline-file", base, "--json"], spark) == 1
+    full = json.loads(out())
+    assert [c["status"] for c in full["baseline"]["changes"]] == ["added"] and full["newFindings"] == [full["baseline"]["changes"][0]["finding"]] and full["newFindings"][0]["path"] == "src/New.php"
     assert cli.main(["delta", "--base-report", base, "--head", str(root), "--fail-on", "resolved"], spark) == 0
-    assert "added: 1" in capsys.readouterr().out
+    assert "added: 1" in (text := out()) and "added php.debug-output" in text
+    assert cli.main(["delta", "--base-report", base, "--head", str(root), "--json", "--fail-on", "any"], spark) == 1
+    assert json.loads(out())["changes"][0]["finding"]["ruleId"] == "php.debug-output"
     assert cli.main(["stats", "--report", base, "--json"], spark) == 0
-    assert json.loads(capsys.readouterr().out)["summary"]["reportKind"] == "baseline"
+    stats = json.loads(out())
+    assert stats["summary"] | {"uniqueRules": 0, "uniquePaths": 0} == {"findingCount": stats["summary"]["reportFindingCount"], "uniqueRules": 0, "uniquePaths": 0, "reportKind": "baseline", "reportFindingCount": len(json.load(open(base))["findings"])}
+    assert set(stats["topRules"][0]) == {"ruleId", "findingCount", "locationCount"} and set(stats["topFiles"][0]) == {"path", "findingCount"}
+    assert cli.main(["stats", "--report", base], spark) == 0 and " findings, " in (text := out()) and text.strip().endswith(" findings")
     assert cli.main(["stats", "--report", str(tmp_path / "none.json")], spark) == 1
