@@ -109,18 +109,20 @@ class Facts:
         """Statements as tokens with set spacing, so that layout and comments don't count."""
         if not stmts:
             return ""
-        out, last = [], ""
+        out, last, before = [], "", ""
         for t in tokens("<?php " + self.text[stmts[0].start : stmts[-1].end]):
             if t.kind in ("comment", "doc"):
                 continue
             s = t.text.strip()
             if t.kind == "str" and t.quote in ("'", '"'):
                 s = "'" + t.body.replace("\\'", "'").replace("'", "\\'") + "'" if t.quote == "'" or "\\" not in t.body else s
-            tight = not out or s in (")", "]", ",", ";", "(", "[", "->", "?->", "::", "++", "--") or last in ("(", "[", "->", "?->", "::", "!", "@", "~", "$")
-            if s == "(" and last in ("if", "for", "foreach", "while", "switch", "catch", "match", "function", "=", "=>", "return", ",", "&&", "||", ".", "+", "-", "*", "?", ":"):
+            signed = last in ("+", "-", "&", "...") and (before in _OPENERS or not before)
+            label = s == ":" and before in ("(", ",") and (last[:1].isalpha() or last[:1] == "_")
+            tight = not out or signed or label or s in (")", "]", ",", ";", "(", "[", "->", "?->", "::", "++", "--") or last in ("(", "[", "->", "?->", "::", "!", "@", "~", "$")
+            if s in ("(", "[") and last in _OPENERS and last not in ("(", "[") and not signed:
                 tight = False
             out.append(s if tight else ("\n" if last in (";", "{", "}") else " ") + s)
-            last = s
+            before, last = last, s
         return "".join(out)
 
     # -- facts
@@ -416,6 +418,11 @@ class Facts:
         )
 
 
+#: Tokens after which an operand begins, so that a bracket opens a list or group and a sign is one.
+_OPENERS = frozenset(
+    "( [ , = => return echo print ? : && || . * / % + - < > == === != !== <= >= <=> ?? ??= += -= *= /= .= ; { } & | ^ << >> and or xor "
+    "if for foreach while switch catch match function fn use as case throw yield elseif".split()
+)
 _STATEMENTS = frozenset(
     "Namespace Use Function Class Interface Trait Enum Return Echo Expression If ElseIf Else For Foreach While Do Switch Case TryCatch Catch Finally "
     "Global Static Unset Break Continue Goto Label Const Declare InlineHTML".split()

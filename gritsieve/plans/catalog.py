@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import globs, text
 from ..operators import findings as O
-from ..operators import identity, overrides, rules, suppress
+from ..operators import facts, identity, overrides, rules, suppress
 from ..sources import files, reports
 from . import corpora as C
+from . import php_corpora as P
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -465,31 +466,90 @@ def _github(spark, d):
     return reports.annotations(_head(spark, d)).select(F.col("ord.a").alias("k"), "value")
 
 
-# -- the PHP front end on a corpus that holds every rule
+# -- the PHP front end on sources of all documents
 
+_SHORT = f"len(list_filter(string_split_regex(text, '\\r\\n|[\\n\\v\\f\\r\\x{{85}}\\x{{2028}}\\x{{2029}}]'), lambda x: {_TRIM('x')} <> '' AND NOT regexp_matches({_TRIM('x')}, '^(//|\\*)'))) <= 5000"
 
-def _php_corpus(spark: SparkSession) -> DataFrame:
-    from .fixtures import CORPUS
 
-    return files.discovered(spark.createDataFrame(CORPUS, "path string, text string"), ["**/vendor/**"])
+def _sources(spark: SparkSession, d: str, sql: str) -> tuple[DataFrame, DataFrame]:
+    """Files of a corpus and their facts."""
+    rows = C.corpus(spark, d, sql).select("path", "language_id", "text")
+    return rows, facts.extract(rows)
 
 
-@query("php_facts_fixture")
-def _php_facts(spark, d):
-    from ..operators import facts
+def _php_findings(spark: SparkSession, d: str, sql: str, names: list[str]) -> DataFrame:
+    rows, own = _sources(spark, d, sql)
+    lined = rows.select("path", "text", text.logical_lines(F.col("text")).alias("logical_line_count"))
+    return flat(rules.fact_findings(facts.with_facts(lined, own), {r: {} for r in names}))
 
-    return facts.extract(_php_corpus(spark))
 
+def _joined(c: str | Column) -> Column:
+    return F.array_join(c, ",")
 
-@query("php_findings_fixture")
-def _php_findings(spark, d):
-    from .analyze import analyze
 
-    return flat(analyze(spark, _php_corpus(spark)).findings)
+@query("php_catch_facts", P.CATCH_FACTS)
+def _catch_facts(spark, d):
+    rows = _sources(spark, d, P.CATCHES)[1].select("path", F.explode("catches").alias("c"))
+    thrown = F.transform("c.thrown", lambda t: F.concat(F.coalesce(t["class"], F.lit("")), *[F.concat(F.lit(":"), t[n].cast("string")) for n in ("is_generic", "preserves_previous", "uses_caught")]))
+    return rows.select(
+        "path", "c.line", F.col("c.statement_count").alias("statements"), "c.has_throw", "c.has_return", _joined("c.call_names").alias("calls"),
+        _joined("c.default_return_kinds").alias("defaults"), _joined("c.returned_caught_value_kinds").alias("returned"), _joined(thrown).alias("thrown"),
+    )
+
+
+@query("php_normalizations", P.NORMALIZATIONS)
+def _normalizations(spark, d):
+    return _sources(spark, d, P.CATCHES)[1].select("path", F.explode("normalizations").alias("n")).select("path", "n.kind", "n.line", F.col("n.column").alias("col"))
+
+
+@query("php_functions", P.FUNCTION_FACTS)
+def _functions(spark, d):
+    rows = rules.flat_functions(_sources(spark, d, P.FUNCTIONS)[1])
+    return rows.select(
+        "path", "pos", "name", "signature", "line", _joined("params").alias("params"), F.col("pass_through.callee").alias("callee"), "constant_return", "class_kind", "class_name", "namespace_name", "body",
+    )
+
+
+@query("php_magic_numbers", P.NUMBERS)
+def _php_numbers(spark, d):
+    rows = rules.flat_functions(_sources(spark, d, P.FUNCTIONS)[1]).select("path", "name", F.explode("magic_numbers").alias("n"))
+    return rows.select("path", "name", "n.value", "n.normalized", "n.kind", "n.line", F.col("n.column").alias("col"))
 
 
-@query("phpdoc_types")
+@query("php_call_facts", P.CALL_FACTS)
+def _calls(spark, d):
+    none = F.lit(None).cast("int")
+    row = lambda fact, line, col, detail: F.struct(F.lit(fact).alias("fact"), line.alias("line"), col.alias("col"), detail.alias("detail"))
+    number = lambda name, c: F.concat(F.lit(f"{name}="), F.col(c).cast("string"))
+    every = F.concat(
+        F.transform("debug_calls", lambda c: row("debug", c["line"], none, c["name"])),
+        F.transform("array_casts", lambda c: row("cast", c["line"], c["column"], F.concat_ws(" ", c["variable"], c["kind"]))),
+        F.transform("envelopes", lambda e: row("envelope", e["line"], e["column"], F.concat_ws(" ", e["kind"], F.concat(e["key"], F.lit(":"), e["value"]), F.array_join(e["payload"], ",")))),
+        F.array(row("escapes", none, none, F.concat_ws(" ", number("mixed", "type_escapes.mixed"), number("casts", "type_escapes.casts")))),
+        F.array(row("parser", none, none, F.concat_ws(" ", F.col("parser.available").cast("string"), number("classes", "parser.class_count"), number("functions", "parser.function_count"), F.col("parser.error")))),
+    )
+    return _sources(spark, d, P.CALLS)[1].select("path", F.explode(every).alias("f")).select("path", "f.*")
+
+
+@query("php_test_facts", P.TEST_FACTS)
+def _tests(spark, d):
+    setups = F.transform("mock_setups", lambda s: F.concat(s["label"], F.lit(":"), s["line"].cast("string")))
+    return _sources(spark, d, P.TESTS)[1].select("path", "test_calls.*", _joined(setups).alias("setups"))
+
+
+@query("php_comments", P.COMMENT_FACTS)
+def _php_comments(spark, d):
+    return rules.exploded_comments(_sources(spark, d, P.DOCS)[1]).select("path", "pos", "line", F.sha2("text", 256).alias("hash"))
+
+
+@query("phpdoc_types", P.DOC_FACTS)
 def _php_doc(spark, d):
-    from ..operators import facts
+    rows = _sources(spark, d, P.DOCS)[1].select("path", F.explode("phpdoc").alias("e")).select("path", "e.subject", F.explode("e.annotations").alias("a"))
+    return rows.select("path", "subject", "a.line", "a.annotation", "a.native", "a.doc_type", "a.raw")
+
 
-    return facts.extract(_php_corpus(spark)).select("path", F.explode("phpdoc").alias("e")).select("path", "e.subject", "e.line", F.explode("e.annotations").alias("a")).select("path", "subject", "line", "a.annotation", "a.native", "a.doc_type", "a.raw")
+for _name, _corpus, _names, _sql in (
+    ("php_error_rules", P.CATCHES, P.ERROR_RULES, P.ERROR_FINDINGS), ("php_function_rules", P.FUNCTIONS, P.FUNCTION_RULES, P.FUNCTION_FINDINGS), ("php_call_rules", P.CALLS, P.CALL_RULES, P.CALL_FINDINGS),
+    ("php_mock_heavy_tests", P.TESTS, ["php.mock-heavy-tests-without-assertions"], P.MOCK_FINDINGS), ("php_phpdoc_rule", P.DOCS, ["php.misleading-phpdoc-types"], P.DOC_FINDINGS),
+):
+    query(_name, _sql.replace("{short}", _SHORT))(lambda spark, d, c=_corpus, n=_names: _php_findings(spark, d, c, n))

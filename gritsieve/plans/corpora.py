@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import php_corpora as P
+
 COMMENTS = """
 SELECT 'src/mod' || CAST(o_custkey % 50 AS VARCHAR(20)) || '.php' AS path, CAST(n - 1 AS INT) AS pos, CAST(n + gap AS INT) AS line,
   CASE k % 11 WHEN 0 THEN '// TODO fix ' || CAST(k AS VARCHAR(20)) WHEN 1 THEN '// @phpstan-ignore-next-line' WHEN 2 THEN '// @phpstan-ignore argument.type (legacy)'
@@ -58,7 +60,7 @@ BASE = _FINDINGS.format(
     where="WHERE event_id % 13 <> 0",  # what the head has added since
 )
 
-_TABLES = {COMMENTS: ["orders"], MD_FILES: ["documents"], FILES: ["documents"], FUNCTIONS: ["documents"], SETUPS: ["orders"], CATCHES: ["lineitem"], HEAD: ["events"], BASE: ["events"]}
+_TABLES = {COMMENTS: ["orders"], MD_FILES: ["documents"], FILES: ["documents"], FUNCTIONS: ["documents"], SETUPS: ["orders"], CATCHES: ["lineitem"], HEAD: ["events"], BASE: ["events"]} | {s: ["documents"] for s in P.PHP_SOURCES}
 
 
 def corpus(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
