@@ -102,10 +102,12 @@ def analyze(spark: SparkSession, found: DataFrame, config: Config | None = None,
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    out = suppress.ignored(out, suppress.normalize(config.ignore_errors))
+    made = out.persist(StorageLevel.MEMORY_AND_DISK)  # read by every suppression; the rules' plan is compiled and run once
+    out = suppress.ignored(made, suppress.normalize(config.ignore_errors))
     comments = full.where("language_id = 'php'").select("path", F.explode("comments").alias("c")).select("path", "c.line", "c.text")
     out = suppress.inline_suppressed(out, suppress.directives(comments, directive))
-    return Analysis(root, config, full, out, (full,))
+    out = out.persist(StorageLevel.MEMORY_AND_DISK)  # a report reads them several times
+    return Analysis(root, config, full, out, (full, made, out))
 
 
 def _branch(full: DataFrame, names: list[str], own: list[RulePlugin], config: Config, key: str) -> DataFrame:
