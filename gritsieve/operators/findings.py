@@ -91,7 +91,8 @@ def summary(files: DataFrame, findings: DataFrame) -> DataFrame:
         F.coalesce(F.sum("logical_line_count"), F.lit(0)).cast("long").alias("logical_line_count"), F.coalesce(F.sum("function_count"), F.lit(0)).cast("long").alias("function_count"),
     )
     g = findings.agg(F.count("*").alias("finding_count"), F.coalesce(F.sum("score"), F.lit(0.0)).alias("repo_score"))
-    both = f.crossJoin(g)  # one row each
+    both = f.unionByName(g, allowMissingColumns=True)  # one row each, of different columns
+    both = both.agg(*[F.max(c).alias(c) for c in both.columns])
     kloc = F.col("logical_line_count") / 1000
     return both.select(
         "*", _ratio(F.col("repo_score"), F.col("file_count")).alias("score_per_file"), _ratio(F.col("repo_score"), kloc).alias("score_per_kloc"), _ratio(F.col("repo_score"), F.col("function_count")).alias("score_per_function"),

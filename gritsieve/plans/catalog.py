@@ -379,14 +379,25 @@ def _directory_raw(spark, d):
     return O.raw_directory_scores(rules.fanout(C.corpus(spark, d, C.FILES), {"fileCount": 3}))
 
 
-@query("repo_summary", f"""
+_SUMMARY = f"""
 WITH f AS (SELECT count(*) AS file_count, count(DISTINCT {_DIR}) AS directory_count, CAST(sum(doc_id % 50) AS BIGINT) AS physical_line_count, CAST(sum(doc_id % 40) AS BIGINT) AS logical_line_count, CAST(sum(doc_id % 3) AS BIGINT) AS function_count FROM ({C.FILES})),
-g AS (SELECT count(*) AS finding_count, sum(score) AS repo_score FROM ({C.HEAD}))
-SELECT *, repo_score / file_count AS score_per_file, repo_score / (logical_line_count / 1000) AS score_per_kloc, repo_score / function_count AS score_per_function, finding_count / file_count AS findings_per_file, finding_count / (logical_line_count / 1000) AS findings_per_kloc, finding_count / function_count AS findings_per_function FROM f, g""")
-def _summary(spark, d):
+g AS (SELECT count(*) AS finding_count, sum(score) AS repo_score FROM ({C.HEAD}) {{where}})
+SELECT *, repo_score / file_count AS score_per_file, repo_score / (logical_line_count / 1000) AS score_per_kloc, repo_score / function_count AS score_per_function, finding_count / file_count AS findings_per_file, finding_count / (logical_line_count / 1000) AS findings_per_kloc, finding_count / function_count AS findings_per_function FROM f, g"""
+
+
+def _counted(spark: SparkSession, d: str) -> DataFrame:
     i = F.col("doc_id")
-    rows = C.corpus(spark, d, C.FILES).select("path", (i % 50).alias("line_count"), (i % 40).alias("logical_line_count"), (i % 3).alias("function_count"))
-    return O.summary(rows, _head(spark, d))
+    return C.corpus(spark, d, C.FILES).select("path", (i % 50).alias("line_count"), (i % 40).alias("logical_line_count"), (i % 3).alias("function_count"))
+
+
+@query("repo_summary", _SUMMARY.format(where=""))
+def _summary(spark, d):
+    return O.summary(_counted(spark, d), _head(spark, d))
+
+
+@query("repo_summary_filtered", _SUMMARY.format(where="WHERE rule_id IN ('rule.click', 'rule.view') AND score >= 0.75 AND regexp_matches(path, '^src/d1[^/]*/.*$')"))
+def _summary_filtered(spark, d):
+    return O.summary(_counted(spark, d), O.selected(_head(spark, d), ["rule.click", "rule.view"], ["src/d1*/**"], 0.75))
 
 
 @query("stats_top_rules", f"SELECT rule_id, count(*) AS finding_count, CAST(count(*) AS BIGINT) AS location_count FROM ({C.HEAD}) GROUP BY rule_id ORDER BY 2 DESC, rule_id LIMIT 10")
@@ -435,6 +446,11 @@ def _changes(spark, d):
     return identity.delta(*_sides(spark, d)).select("status", "fingerprint", "rule_id", "path")
 
 
+@query("delta_counts", _DELTA + "SELECT count(*) FILTER (status = 'added') AS added, count(*) FILTER (status = 'resolved') AS resolved FROM x")
+def _delta_counts(spark, d):
+    return identity.delta_counts(identity.delta(*_sides(spark, d)))
+
+
 @query("delta_relocated", _DELTA + "SELECT * FROM m")
 def _relocated(spark, d):
     base, head = (identity.occurrences(x) for x in _sides(spark, d))
