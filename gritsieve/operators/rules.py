@@ -443,8 +443,17 @@ def flat_functions(files: DataFrame) -> DataFrame:
     return files.select("path", F.posexplode("functions").alias("pos", "f")).select("path", "pos", "f.*")
 
 
+def signature_clusters(functions: DataFrame) -> DataFrame:
+    """(signature, places, first) of signatures that occur more than once, by partial aggregation: no group is gathered."""
+    own = functions.where(~X.ascii_lower(F.col("name")).isin(_LIFECYCLE))
+    return own.groupBy("signature").agg(F.count("*").alias("places"), F.min(F.struct("path", "pos", "line")).alias("first")).where("places > 1")
+
+
 def duplicate_signatures(functions: DataFrame, options: Options | None = None) -> DataFrame:
-    """(path, pos, line, name, namespace_name, signature) rows -> signatures that occur more than once."""
+    """(path, pos, line, name, namespace_name, signature) rows -> signatures that occur more than once, a finding each.
+
+    A finding holds all its places, as a report lists them; :func:`signature_clusters` counts them for groups of any size.
+    """
     rule = "php.duplicate-function-signatures"
     own = functions.where(~X.ascii_lower(F.col("name")).isin(_LIFECYCLE))
     g = own.groupBy("signature").agg(_places().alias("at")).where(F.size("at") > 1)
@@ -463,13 +472,32 @@ def directory_prefix(path: Column, depth: int = 3) -> Column:
     return F.concat_ws("/", F.slice(parts, 1, depth))
 
 
+def _bodies(functions: DataFrame) -> DataFrame:
+    return functions.where(~X.ascii_lower(F.col("name")).isin(_LIFECYCLE) & (F.octet_length("body") >= 40)).withColumn("normal", normalized_body(F.col("body")))
+
+
+def _spread() -> list[Column]:
+    """Ends of the namespaces and directory prefixes of a group: it has exactly one of them if they are equal."""
+    space, prefix = F.when(F.col("namespace_name") != "", F.col("namespace_name")), directory_prefix(_path())
+    return [F.min(space).alias("s0"), F.max(space).alias("s1"), F.min(prefix).alias("p0"), F.max(prefix).alias("p1")]
+
+
+_SPREADS = "(s0 IS NULL OR s0 <> s1) AND p0 <> p1"
+
+
+def clone_clusters(functions: DataFrame) -> DataFrame:
+    """(normal, places, names, first) of equal bodies across namespaces and directories, by partial aggregation: of a group only its distinct names are gathered."""
+    g = _bodies(functions).groupBy("normal").agg(F.count("*").alias("places"), F.sort_array(F.collect_set("name")).alias("names"), F.min(F.struct("path", "pos", "line")).alias("first"), *_spread())
+    return g.where(f"places > 1 AND {_SPREADS}").select("normal", "places", "names", "first")
+
+
 def clones(functions: DataFrame, options: Options | None = None) -> DataFrame:
-    """(path, pos, line, name, namespace_name, body) rows -> equal bodies across namespaces and directories."""
+    """(path, pos, line, name, namespace_name, body) rows -> equal bodies across namespaces and directories, a finding each.
+
+    A finding holds all its places, as a report lists them; :func:`clone_clusters` counts them for groups of any size.
+    """
     rule = "php.clone-cluster"
-    own = functions.where(~X.ascii_lower(F.col("name")).isin(_LIFECYCLE) & (F.octet_length("body") >= 40)).withColumn("normal", normalized_body(F.col("body")))
-    g = own.groupBy("normal").agg(
-        _places().alias("at"), F.count_distinct(F.when(F.col("namespace_name") != "", F.col("namespace_name"))).alias("spaces"), F.count_distinct(directory_prefix(_path())).alias("prefixes")
-    ).where((F.size("at") > 1) & (F.col("spaces") != 1) & (F.col("prefixes") != 1))
+    g = _bodies(functions).groupBy("normal").agg(_places().alias("at"), *_spread()).where(F.size("at") > 1).where(_SPREADS)
     names = F.array_sort(F.array_distinct(F.transform("at", lambda p: p["name"])))
     where = F.transform("at", lambda p: location(p["path"], p["line"]))
     made = finding(rule, "Found near-duplicate PHP function bodies", F.transform(names, lambda n: tagged("name", n)), 2.0, where, _empty(), order(2, F.lit(""), INDEX[rule], F.col("normal")))

@@ -37,6 +37,13 @@ def flat(found: DataFrame) -> DataFrame:
     return found.select("rule_id", "path", line, "score", "message", F.array_join("evidence", "|").alias("evidence"), F.size("locations").alias("places"))
 
 
+def _clusters(groups: DataFrame, rule: str, message: str, evidence: Column) -> DataFrame:
+    """Groups as flat findings, whose places are counted and not listed."""
+    return groups.select(
+        F.lit(rule).alias("rule_id"), F.lit(None).cast("string").alias("path"), F.col("first.line").alias("line"), F.lit(2.0).alias("score"), F.lit(message).alias("message"), evidence.alias("evidence"), F.col("places").cast("int").alias("places")
+    )
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -246,7 +253,7 @@ _OWN = f"{_ASCII.format('name')} NOT IN ('__construct', '__destruct', '_before',
 SELECT 'php.duplicate-function-signatures' AS rule_id, CAST(NULL AS VARCHAR) AS path, CAST(list(line ORDER BY path, pos, line)[1] AS INTEGER) AS line, CAST(2.0 AS DOUBLE) AS score, 'Found duplicated PHP function signatures' AS message, signature AS evidence, CAST(count(*) AS INTEGER) AS places
 FROM ({C.FUNCTIONS}) WHERE {_OWN} GROUP BY signature HAVING count(*) > 1""")
 def _signatures(spark, d):
-    return flat(rules.duplicate_signatures(C.corpus(spark, d, C.FUNCTIONS)))
+    return _clusters(rules.signature_clusters(C.corpus(spark, d, C.FUNCTIONS)), "php.duplicate-function-signatures", "Found duplicated PHP function signatures", F.col("signature"))
 
 
 @query("clone_cluster", f"""
@@ -255,7 +262,8 @@ SELECT 'php.clone-cluster' AS rule_id, CAST(NULL AS VARCHAR) AS path, CAST(list(
 FROM (SELECT *, regexp_replace({_ASCII.format(_TRIM('body'))}, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g') AS normal, array_to_string(string_split({_DIR}, '/')[1:3], '/') AS prefix FROM ({C.FUNCTIONS})) WHERE {_OWN} AND strlen(body) >= 40
 GROUP BY normal HAVING count(*) > 1 AND count(DISTINCT namespace_name) <> 1 AND count(DISTINCT prefix) <> 1""")
 def _clones(spark, d):
-    return flat(rules.clones(C.corpus(spark, d, C.FUNCTIONS)))
+    names = F.array_join(F.transform("names", lambda n: F.concat(F.lit("name="), n)), "|")
+    return _clusters(rules.clone_clusters(C.corpus(spark, d, C.FUNCTIONS)), "php.clone-cluster", "Found near-duplicate PHP function bodies", names)
 
 
 @query("duplicate_mock_setup", f"""

@@ -3,7 +3,8 @@
 import duckdb
 import pytest
 
-from gritsieve.plans import catalog
+from gritsieve.operators import rules
+from gritsieve.plans import catalog, corpora
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: Their groups need more rows than the smallest tables have.
@@ -32,3 +33,11 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name, findings", [("duplicate_signatures", rules.duplicate_signatures), ("clone_cluster", rules.clones)])
+def test_findings_of_clusters_hold_what_is_counted(spark, sf, name, findings):
+    made = catalog.flat(findings(corpora.corpus(spark, "/root/testdata/sf0.01", corpora.FUNCTIONS)))
+    counted = catalog.QUERIES[name](spark, "/root/testdata/sf0.01")
+    rows = lambda df: sorted(tuple(map(repr, r)) for r in df.select(*made.columns).collect())
+    assert rows(made) == rows(counted) and made.count() > 0
