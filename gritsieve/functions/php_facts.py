@@ -80,17 +80,28 @@ class Facts:
     def __init__(self, path: str, text: str):
         self.path = path
         self.text = text.encode("utf-8", "surrogatepass").decode("latin-1")
-        self.comments = comments(self.text)
         self.error: str | None = None
         try:
-            self.statements = parse(self.text)
+            self.tokens = tokens(self.text)
+            self.statements = parse(self.text, self.tokens)
         except PhpSyntaxError as e:
             self.statements, self.error = [], str(e)
+            self.tokens = tokens(self.text, strict=False)
+        self.comments = comments(self.text, self.tokens)
+        self.nodes: dict[str, list[tuple[int, Node]]] = {}
+        for i, n in enumerate(n for top in self.statements for n in top.walk()):
+            self.nodes.setdefault(n.kind, []).append((i, n))
         self.namespace, self.imports = "", {"class": {}, "function": {}}
-        for n in find(self.statements, "UseItem"):
+        for n in self.all("UseItem"):
             if n.type in self.imports:
                 self.imports[n.type][lower(n.alias)] = n.target
 
+    def all(self, *kinds: str) -> list[Node]:
+        """All nodes of these kinds, in the order of :func:`find`."""
+        if len(kinds) == 1:
+            return [n for _, n in self.nodes.get(kinds[0], ())]
+        return [n for _, n in sorted((x for k in kinds for x in self.nodes.get(k, ())), key=lambda x: x[0])]
+
     def column(self, n: Node) -> int:
         return n.start - self.text.rfind("\n", 0, n.start)
 
@@ -207,7 +218,7 @@ class Facts:
 
     def catches(self) -> list[tuple]:
         out = []
-        for c in find(self.statements, "Catch"):
+        for c in self.all("Catch"):
             variable = c.var.name if c.var is not None else None
             names, defaults, returned, thrown = set(), set(), set(), []
             for n in find(c.stmts, "FuncCall", "Print", "Echo", "Return", "Throw"):
@@ -245,7 +256,7 @@ class Facts:
         return (utf8(cls), cls is not None and lower(cls) in GENERIC, previous, used)
 
     def debug_calls(self) -> list[tuple]:
-        calls = [(lower(n.parts["name"].name).lstrip("\\"), n.line) for n in find(self.statements, "FuncCall") if n.parts["name"].kind == "Name"]
+        calls = [(lower(n.parts["name"].name).lstrip("\\"), n.line) for n in self.all("FuncCall") if n.parts["name"].kind == "Name"]
         return [c for c in calls if c[0] in DEBUG]
 
     def looks_like_test(self) -> bool:
@@ -253,7 +264,7 @@ class Facts:
             return False
         if _TEST_PATH.search(self.path):
             return True
-        for c in find(self.statements, "Class"):
+        for c in self.all("Class"):
             for e in c.extends[:1]:
                 name = lower(e.name).lstrip("\\")
                 if name in ("phpunit\\framework\\testcase", "testcase") or name.endswith("\\testcase"):
@@ -264,13 +275,13 @@ class Facts:
         if not looks:
             return (False, 0, 0, 0, 0)
         tests = set()
-        for m in find(self.statements, "ClassMethod"):
+        for m in self.all("ClassMethod"):
             name = m.parts["name"].name
             marked = any((a := lower(x.parts["name"].name).lstrip("\\")) == "test" or a.endswith("\\test") for g in m.attrs for x in g.attrs)
             if marked or re.match(r"test[A-Z0-9_][A-Za-z0-9_]*\Z", name):
                 tests.add((m.line, name))
         mocks = assertions = expectations = 0
-        for n in find(self.statements, "MethodCall", "StaticCall"):
+        for n in self.all("MethodCall", "StaticCall"):
             if n.parts["name"].kind != "Identifier":
                 continue
             raw = n.parts["name"].name
@@ -288,14 +299,14 @@ class Facts:
 
     def type_escapes(self) -> tuple:
         mixed = 0
-        for f in find(self.statements, *_CALLABLES):
+        for f in self.all(*_CALLABLES):
             kinds = [p.type for p in f.params] + [f.returns]
             mixed += sum(k is not None and k.kind == "Identifier" and lower(k.name) == "mixed" for k in kinds)
-        return (mixed, sum(c.type in ("int", "string", "array", "object", "float", "bool") for c in find(self.statements, "Cast")))
+        return (mixed, sum(c.type in ("int", "string", "array", "object", "float", "bool") for c in self.all("Cast")))
 
     def array_casts(self) -> list[tuple]:
         out = []
-        for a in find(self.statements, "Assign"):
+        for a in self.all("Assign"):
             if a.var.kind != "Variable" or a.var.name is None or lower(a.var.name) not in BAGS:
                 continue
             kind = None
@@ -314,7 +325,7 @@ class Facts:
 
     def envelopes(self) -> list[tuple]:
         out = []
-        for a in find(self.statements, "Array"):
+        for a in self.all("Array"):
             key = value = None
             payload = set()
             for item in a.items:
@@ -344,7 +355,7 @@ class Facts:
 
     def normalizations(self) -> list[tuple]:
         rows = []
-        for c in find(self.statements, "Catch"):
+        for c in self.all("Catch"):
             variable = c.var.name if c.var is not None else None
             if variable is None:
                 continue
@@ -381,7 +392,7 @@ class Facts:
         if not looks:
             return []
         out = []
-        for m in find(self.statements, "ClassMethod"):
+        for m in self.all("ClassMethod"):
             alive = set()
             for s in m.stmts or []:
                 if s.kind != "Expression":
@@ -411,7 +422,7 @@ class Facts:
 
     def row(self) -> tuple:
         looks = self.looks_like_test()
-        classes, functions = (len([c for c in find(self.statements, *_CLASSES)]), len(find(self.statements, "Function"))) if self.error is None else (0, 0)
+        classes, functions = (len([c for c in self.all(*_CLASSES)]), len(self.all("Function"))) if self.error is None else (0, 0)
         return (
             self.path, [(utf8(t), line) for t, line in self.comments], self.functions(), self.catches(), (True, classes, functions, self.error), self.phpdoc(), self.debug_calls(),
             self.test_calls(looks), self.type_escapes(), self.envelopes(), self.array_casts(), self.normalizations(), self.mock_setups(looks),

@@ -38,6 +38,7 @@ _RULES = re.compile(
     """,
     re.X | re.S,
 )
+_OPEN = re.compile(r"<\?(?:php(?=\s|\Z)|=)", re.I)
 _TICK = {'"': re.compile(r'"((?:[^"\\]|\\.)*)"', re.S), "`": re.compile(r"`((?:[^`\\]|\\.)*)`", re.S)}
 _INTERPOLATED = re.compile(r"(?<!\\)(?:\\\\)*(?:\$[A-Za-z_\x7f-\xff]|\{\$|\$\{)")
 
@@ -57,7 +58,7 @@ def tokens(text: str, strict: bool = True) -> list[Token]:
     opened = False
     while at < size:
         if not opened:
-            m = re.compile(r"<\?(?:php(?=\s|\Z)|=)", re.I).search(text, at)
+            m = _OPEN.search(text, at)
             if not m:
                 add("html", size)
                 break
@@ -117,9 +118,9 @@ def tokens(text: str, strict: bool = True) -> list[Token]:
     return out
 
 
-def comments(text: str) -> list[tuple[str, int]]:
-    """(comment, first line) pairs, also of source that doesn't parse."""
-    return [(t.text, t.line) for t in tokens(text, strict=False) if t.kind in ("comment", "doc")]
+def comments(text: str, read: list[Token] | None = None) -> list[tuple[str, int]]:
+    """(comment, first line) pairs of a source, also if it doesn't parse, and of its tokens if they are known."""
+    return [(t.text, t.line) for t in (tokens(text, strict=False) if read is None else read) if t.kind in ("comment", "doc")]
 
 
 _ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "v": "\v", "e": "\x1b", "f": "\f", "\\": "\\", "$": "$"}

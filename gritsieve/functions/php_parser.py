@@ -29,7 +29,14 @@ class Node:
         while stack:
             node = stack.pop()
             yield node
-            stack.extend(reversed(list(node.children())))
+            below = []
+            for value in node.parts.values():
+                if value.__class__ is Node:
+                    below.append(value)
+                elif value.__class__ is list:
+                    below += [v for v in value if v.__class__ is Node]
+            below.reverse()
+            stack += below
 
     def children(self) -> Iterator[Node]:
         for value in self.parts.values():
@@ -55,9 +62,9 @@ _STOP = frozenset([";", ")", "]", "}", ",", ":", "=>", "?>", "end"])
 
 
 class _Parser:
-    def __init__(self, text: str):
+    def __init__(self, text: str, read: list[Token] | None = None):
         self.text = text
-        self.tokens = [t for t in tokens(text) if t.kind not in ("comment", "doc")]
+        self.tokens = [t for t in (tokens(text) if read is None else read) if t.kind not in ("comment", "doc")]
         last = self.tokens[-1] if self.tokens else Token("end", "", 0, 1, 0)
         self.tokens.append(Token("end", "", last.end, last.line, last.end))
         self.at = 0
@@ -849,10 +856,10 @@ def link(nodes: list[Node]) -> None:
             stack.append(child)
 
 
-def parse(text: str) -> list[Node]:
-    """Statements of a source given as Latin-1 text; raises PhpSyntaxError."""
+def parse(text: str, read: list[Token] | None = None) -> list[Node]:
+    """Statements of a source given as Latin-1 text, and its tokens if they are known; raises PhpSyntaxError."""
     try:
-        out = _Parser(text).program()
+        out = _Parser(text, read).program()
     except RecursionError:
         raise PhpSyntaxError("nested too deeply") from None
     link(out)

@@ -4,17 +4,17 @@ from __future__ import annotations
 
 import re
 
-from .php_lexer import tokens
+from .php_lexer import Token
 from .php_parser import Node
 
 _KINDS = ("Class", "Interface", "Trait", "Enum")
 
 
-def _docs(text: str) -> dict[int, str]:
+def _docs(read: list[Token]) -> dict[int, str]:
     """The doc comment right before a token, by that token's place."""
     out: dict[int, str] = {}
     doc = None
-    for t in tokens(text, strict=False):
+    for t in read:
         if t.kind == "doc":
             doc = t.text
         elif t.kind != "comment":
@@ -62,7 +62,7 @@ def entries(facts) -> list[tuple]:
 
     if facts.error is not None:
         return []
-    docs = _docs(facts.text)
+    docs = _docs(facts.tokens)
     rows: list[tuple] = []
 
     def note(tag: str, variable: str | None, line: int, own: str | None, raw: str) -> tuple | None:

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..schema import FACTS, of
@@ -33,6 +34,26 @@ def extract(files: DataFrame) -> DataFrame:
     return files.where("language_id = 'php'").select("path", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_extract(to_arrow_schema(kind)), kind)
 
 
+def _extend(schema: pa.Schema, kept: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from ..functions.php_facts import Facts
+
+        none = (None,) * (len(schema) - kept)
+        for b in batches:
+            rows = [Facts(p, t or "").row()[1:] if kind == "php" else none for p, t, kind in zip(b["path"].to_pylist(), b["text"].to_pylist(), b["language_id"].to_pylist(), strict=True)]
+            cols = list(zip(*rows, strict=True)) if rows else [[] for _ in none]
+            new = [pa.array(c, f.type) for c, f in zip(cols, list(schema)[kept:], strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(i).cast(schema.field(i).type) for i in range(kept)] + new, schema=schema)
+
+    return run
+
+
+def extended(files: DataFrame) -> DataFrame:
+    """Every file with its facts (null for languages without), as :func:`with_facts` gives them, in one pass: no text is shuffled."""
+    kind = T.StructType([*files.schema.fields, *of(FACTS).fields[1:]])
+    return files.mapInArrow(_extend(to_arrow_schema(kind), len(files.columns)), kind)
+
+
 def fingerprint() -> F.Column:
     """Content-addressed key of a file's facts."""
     return F.sha2(F.concat(F.lit(f"{PROVIDER}:{SCHEMA_VERSION}:"), F.col("content_hash")), 256)

@@ -82,8 +82,7 @@ def analyze(spark: SparkSession, found: DataFrame, config: Config | None = None,
     """Analyse (path, text, …) rows as :func:`sources.files.discovered` gives them, with the registry's providers and rules too."""
     config = config or Config()
     registry = registry or default_registry()
-    own = cache.facts(spark, found, cache_path)
-    full = facts.with_facts(found, own)
+    full = facts.with_facts(found, cache.facts(spark, found, cache_path)) if cache_path else facts.extended(found)
     for provider in registry.ordered_providers():
         full = full.join(provider.run(full).select("path", *provider.provides), "path", "left")
     full = full.persist(StorageLevel.MEMORY_AND_DISK)  # the branches share one parse; lost blocks are computed anew

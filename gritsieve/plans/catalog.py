@@ -495,16 +495,13 @@ def _github(spark, d):
 _SHORT = f"len(list_filter(string_split_regex(text, '\\r\\n|[\\n\\v\\f\\r\\x{{85}}\\x{{2028}}\\x{{2029}}]'), lambda x: {_TRIM('x')} <> '' AND NOT regexp_matches({_TRIM('x')}, '^(//|\\*)'))) <= 5000"
 
 
-def _sources(spark: SparkSession, d: str, sql: str) -> tuple[DataFrame, DataFrame]:
-    """Files of a corpus and their facts."""
-    rows = C.corpus(spark, d, sql).select("path", "language_id", "text")
-    return rows, facts.extract(rows)
+def _facts(spark: SparkSession, d: str, sql: str) -> DataFrame:
+    return facts.extract(C.corpus(spark, d, sql, True).select("path", "language_id", "text"))
 
 
 def _php_findings(spark: SparkSession, d: str, sql: str, names: list[str]) -> DataFrame:
-    rows, own = _sources(spark, d, sql)
-    lined = rows.select("path", "text", text.logical_lines(F.col("text")).alias("logical_line_count"))
-    return flat(rules.fact_findings(facts.with_facts(lined, own), {r: {} for r in names}))
+    rows = C.corpus(spark, d, sql, True).select("path", "language_id", "text", text.logical_lines(F.col("text")).alias("logical_line_count"))
+    return flat(rules.fact_findings(facts.extended(rows), {r: {} for r in names}))
 
 
 def _joined(c: str | Column) -> Column:
@@ -513,7 +510,7 @@ def _joined(c: str | Column) -> Column:
 
 @query("php_catch_facts", P.CATCH_FACTS)
 def _catch_facts(spark, d):
-    rows = _sources(spark, d, P.CATCHES)[1].select("path", F.explode("catches").alias("c"))
+    rows = _facts(spark, d, P.CATCHES).select("path", F.explode("catches").alias("c"))
     thrown = F.transform("c.thrown", lambda t: F.concat(F.coalesce(t["class"], F.lit("")), *[F.concat(F.lit(":"), t[n].cast("string")) for n in ("is_generic", "preserves_previous", "uses_caught")]))
     return rows.select(
         "path", "c.line", F.col("c.statement_count").alias("statements"), "c.has_throw", "c.has_return", _joined("c.call_names").alias("calls"),
@@ -523,12 +520,12 @@ def _catch_facts(spark, d):
 
 @query("php_normalizations", P.NORMALIZATIONS)
 def _normalizations(spark, d):
-    return _sources(spark, d, P.CATCHES)[1].select("path", F.explode("normalizations").alias("n")).select("path", "n.kind", "n.line", F.col("n.column").alias("col"))
+    return _facts(spark, d, P.CATCHES).select("path", F.explode("normalizations").alias("n")).select("path", "n.kind", "n.line", F.col("n.column").alias("col"))
 
 
 @query("php_functions", P.FUNCTION_FACTS)
 def _functions(spark, d):
-    rows = rules.flat_functions(_sources(spark, d, P.FUNCTIONS)[1])
+    rows = rules.flat_functions(_facts(spark, d, P.FUNCTIONS))
     return rows.select(
         "path", "pos", "name", "signature", "line", _joined("params").alias("params"), F.col("pass_through.callee").alias("callee"), "constant_return", "class_kind", "class_name", "namespace_name", "body",
     )
@@ -536,7 +533,7 @@ def _functions(spark, d):
 
 @query("php_magic_numbers", P.NUMBERS)
 def _php_numbers(spark, d):
-    rows = rules.flat_functions(_sources(spark, d, P.FUNCTIONS)[1]).select("path", "name", F.explode("magic_numbers").alias("n"))
+    rows = rules.flat_functions(_facts(spark, d, P.FUNCTIONS)).select("path", "name", F.explode("magic_numbers").alias("n"))
     return rows.select("path", "name", "n.value", "n.normalized", "n.kind", "n.line", F.col("n.column").alias("col"))
 
 
@@ -552,23 +549,23 @@ def _calls(spark, d):
         F.array(row("escapes", none, none, F.concat_ws(" ", number("mixed", "type_escapes.mixed"), number("casts", "type_escapes.casts")))),
         F.array(row("parser", none, none, F.concat_ws(" ", F.col("parser.available").cast("string"), number("classes", "parser.class_count"), number("functions", "parser.function_count"), F.col("parser.error")))),
     )
-    return _sources(spark, d, P.CALLS)[1].select("path", F.explode(every).alias("f")).select("path", "f.*")
+    return _facts(spark, d, P.CALLS).select("path", F.explode(every).alias("f")).select("path", "f.*")
 
 
 @query("php_test_facts", P.TEST_FACTS)
 def _tests(spark, d):
     setups = F.transform("mock_setups", lambda s: F.concat(s["label"], F.lit(":"), s["line"].cast("string")))
-    return _sources(spark, d, P.TESTS)[1].select("path", "test_calls.*", _joined(setups).alias("setups"))
+    return _facts(spark, d, P.TESTS).select("path", "test_calls.*", _joined(setups).alias("setups"))
 
 
 @query("php_comments", P.COMMENT_FACTS)
 def _php_comments(spark, d):
-    return rules.exploded_comments(_sources(spark, d, P.DOCS)[1]).select("path", "pos", "line", F.sha2("text", 256).alias("hash"))
+    return rules.exploded_comments(_facts(spark, d, P.DOCS)).select("path", "pos", "line", F.sha2("text", 256).alias("hash"))
 
 
 @query("phpdoc_types", P.DOC_FACTS)
 def _php_doc(spark, d):
-    rows = _sources(spark, d, P.DOCS)[1].select("path", F.explode("phpdoc").alias("e")).select("path", "e.subject", F.explode("e.annotations").alias("a"))
+    rows = _facts(spark, d, P.DOCS).select("path", F.explode("phpdoc").alias("e")).select("path", "e.subject", F.explode("e.annotations").alias("a"))
     return rows.select("path", "subject", "a.line", "a.annotation", "a.native", "a.doc_type", "a.raw")
 
 

@@ -63,9 +63,17 @@ BASE = _FINDINGS.format(
 _TABLES = {COMMENTS: ["orders"], MD_FILES: ["documents"], FILES: ["documents"], FUNCTIONS: ["documents"], SETUPS: ["orders"], CATCHES: ["lineitem"], HEAD: ["events"], BASE: ["events"]} | {s: ["documents"] for s in P.PHP_SOURCES}
 
 
-def corpus(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """The corpus of one of the statements above over a folder's tables."""
+def spread(table: DataFrame) -> DataFrame:
+    """A scan's rows over all cores if it has fewer splits than there are cores, as small tables do; else as it is, unshuffled."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+
+
+def corpus(spark: SparkSession, sf_dir: str, sql: str, heavy: bool = False) -> DataFrame:
+    """The corpus of one of the statements above over a folder's tables; ``heavy`` if each row takes a Python worker long."""
     tables = {name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in _TABLES[sql]}
+    if heavy:
+        tables = {name: spread(t) for name, t in tables.items()}
     for name in tables:
         sql = sql.replace(f"FROM {name}", f"FROM {{{name}}}")
     return spark.sql(sql, **tables)

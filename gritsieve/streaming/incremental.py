@@ -20,7 +20,7 @@ def findings_stream(spark: SparkSession, source: str, sink: str, checkpoint: str
 
     def batch(df: DataFrame, number: int) -> None:
         found = files.discovered(df, config.ignores)
-        full = facts.with_facts(found, facts.extract(found)).where("language_id = 'php'")
+        full = facts.extended(found.where("language_id = 'php'"))
         made = rules.fact_findings(full, {r: {} for r in rules.FACT_RULES})
         made.orderBy(*findings.raw_order()).write.mode("overwrite").parquet(f"{sink}/batch={number}")
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gritsieve import plugins
 from gritsieve.functions import globs
-from gritsieve.operators import findings, identity, overrides, suppress
+from gritsieve.operators import facts, findings, identity, overrides, suppress
 from gritsieve.plans import cli, fixtures
 from gritsieve.plans.analyze import analyze, analyze_tree
 from gritsieve.plans.corpora import findings as as_findings
@@ -311,3 +311,14 @@ def test_commands(spark, tmp_path, capsys):
     assert set(stats["topRules"][0]) == {"ruleId", "findingCount", "locationCount"} and set(stats["topFiles"][0]) == {"path", "findingCount"}
     assert cli.main(["stats", "--report", base], spark) == 0 and " findings, " in (text := out()) and text.strip().endswith(" findings")
     assert cli.main(["stats", "--report", str(tmp_path / "none.json")], spark) == 1
+
+
+def test_facts_in_one_pass_equal_the_join(spark):
+    rows = [*fixtures.CORPUS, ("src/empty.php", ""), ("src/broken.php", "<?php function ("), ("src/html.php", "<b>x</b>")]
+    found = files.discovered(spark.createDataFrame([*rows, ("src/null.php", None)], "path string, text string"), [])
+    joined = facts.with_facts(found, facts.extract(found))
+    once = facts.extended(found)
+    assert once.columns == joined.columns
+    as_text = lambda df: sorted(map(repr, df.collect()))
+    assert as_text(once) == as_text(joined)
+    assert facts.extended(found.limit(0)).count() == 0
