@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import globs
@@ -115,9 +116,18 @@ def directives(comments: DataFrame, token: str = DIRECTIVE) -> DataFrame:
 
 
 def inline_suppressed(findings: DataFrame, found: DataFrame) -> DataFrame:
-    """Drop file findings that have a location from a directive's first line to the line after its last."""
+    """Drop file findings that have a location from a directive's first line to the line after its last.
+
+    Whether a line of a file is covered for a rule is decided once, by the furthest end of the directives that begin up to it;
+    so findings and directives meet in order of lines, not each with each.
+    """
     keyed = findings.withColumn("_key", F.struct("rule_id", "ord"))
-    each = keyed.where("scope = 'file'").select("_key", "rule_id", F.explode("locations").alias("l"))
-    d = found.select(F.col("path").alias("d_path"), F.col("rule_id").alias("d_rule"), "first", "last")
-    hit = each.join(d, (F.col("l.path") == F.col("d_path")) & (F.col("rule_id") == F.col("d_rule")) & F.col("l.line").between(F.col("first"), F.col("last") + 1)).select(F.col("_key").alias("_hit")).distinct()
+    each = keyed.where("scope = 'file'").select("_key", "rule_id", F.explode("locations").alias("l")).select("_key", "rule_id", F.col("l.path").alias("at"), F.col("l.line").alias("line"))
+    here = ["at", "rule_id", "line"]
+    lines = each.select(*here).where("at IS NOT NULL AND rule_id IS NOT NULL AND line IS NOT NULL").distinct().withColumn("end", F.lit(None).cast("bigint"))
+    spans = found.where("path IS NOT NULL AND rule_id IS NOT NULL AND first IS NOT NULL AND last IS NOT NULL").groupBy(F.col("path").alias("at"), "rule_id", F.col("first").cast("int").alias("line")).agg((F.max("last").cast("bigint") + 1).alias("end"))
+    # of one line the directives come first, as null ends come last
+    furthest = F.max("end").over(W.partitionBy("at", "rule_id").orderBy("line", F.asc_nulls_last("end")).rowsBetween(W.unboundedPreceding, 0))
+    covered = lines.unionByName(spans).withColumn("furthest", furthest).where("end IS NULL AND furthest >= line").select(*here)
+    hit = each.join(covered, here, "left_semi").select(F.col("_key").alias("_hit")).distinct()
     return keyed.join(hit, F.col("_key") == F.col("_hit"), "left_anti").drop("_key")

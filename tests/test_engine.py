@@ -322,3 +322,17 @@ def test_facts_in_one_pass_equal_the_join(spark):
     as_text = lambda df: sorted(map(repr, df.collect()))
     assert as_text(once) == as_text(joined)
     assert facts.extended(found.limit(0)).count() == 0
+
+
+def test_inline_suppression_meets_in_order_of_lines(spark):
+    from gritsieve.plans import corpora
+
+    found = [("r", 3, 5), ("r", 4, 4), ("r", 9, 9), ("r", 9, 20), ("r", 30, 30), ("q", 1, 50), ("r", 33, 32)]
+    lines = [*range(1, 40), 6, 6]
+    spans = spark.createDataFrame([("a.php", r, a, b) for r, a, b in found] + [(None, "r", 1, 99), ("b.php", "r", 1, 2)], "path string, rule_id string, first int, last int")
+    rows = [(r, "m", p, n, "e", 1.0, i * 100 + j) for i, (r, p) in enumerate([("r", "a.php"), ("q", "c.php"), ("r", None)]) for j, n in enumerate(lines)]
+    kept = suppress.inline_suppressed(corpora.findings(spark.createDataFrame(rows, "rule_id string, message string, path string, line int, item string, score double, k long")), spans)
+    want = [r[6] for r in rows if not any(r[0] == q and r[2] == "a.php" and a <= r[3] <= b + 1 for q, a, b in found)]
+    assert sorted(r["ord"]["a"] for r in kept.collect()) == want
+    joins = [x for x in kept._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in x]
+    assert joins and not any("<=" in x or ">=" in x for x in joins)
