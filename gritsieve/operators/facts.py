@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,42 +17,68 @@ from ..schema import FACTS, of
 PROVIDER, SCHEMA_VERSION = "php.structure", 1
 
 
-def _extract(schema: pa.Schema):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from ..functions.php_facts import Facts
+#: Files that a worker holds the facts of at once, by their number and the bytes of their texts; a longer text is taken alone.
+PIECE_ROWS, PIECE_BYTES = 256, 4 << 20
 
-        for b in batches:
-            rows = [Facts(p, t).row() for p, t in zip(b["path"].to_pylist(), b["text"].to_pylist(), strict=True)]
-            cols = list(zip(*rows, strict=True)) if rows else [[] for _ in schema]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
-    return run
+def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of bounded size."""
+    start = size = 0
+    for i, n in enumerate(pc.binary_length(batch["text"]).fill_null(0).to_pylist()):
+        if i > start and (i - start >= PIECE_ROWS or size + n > PIECE_BYTES):
+            yield batch.slice(start, i - start)
+            start, size = i, 0
+        size += n
+    if batch.num_rows > start:
+        yield batch.slice(start)
 
 
-def extract(files: DataFrame) -> DataFrame:
-    """The facts of the PHP files among ``files``."""
-    kind = of(FACTS)
-    return files.where("language_id = 'php'").select("path", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_extract(to_arrow_schema(kind)), kind)
+def _facts(path: str, text: str | None, names: list[str]) -> tuple:
+    from ..functions.php_facts import Facts
 
+    made = Facts(path, text or "")
+    row = made.row(names)
+    made.release()
+    return row
 
-def _extend(schema: pa.Schema, kept: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from ..functions.php_facts import Facts
 
-        none = (None,) * (len(schema) - kept)
-        for b in batches:
-            rows = [Facts(p, t or "").row()[1:] if kind == "php" else none for p, t, kind in zip(b["path"].to_pylist(), b["text"].to_pylist(), b["language_id"].to_pylist(), strict=True)]
-            cols = list(zip(*rows, strict=True)) if rows else [[] for _ in none]
-            new = [pa.array(c, f.type) for c, f in zip(cols, list(schema)[kept:], strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(i).cast(schema.field(i).type) for i in range(kept)] + new, schema=schema)
+def _kind(names: Iterable[str] | None) -> list[T.StructField]:
+    every = of(FACTS).fields[1:]
+    if names is None:
+        return every
+    wanted = set(names)
+    if unknown := wanted - {f.name for f in every}:
+        raise ValueError(f"Unknown facts: {', '.join(sorted(unknown))}")
+    return [f for f in every if f.name in wanted]
+
+
+def _extend(schema: pa.Schema, kept: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fields = list(schema)[len(kept) :]
+        names = [f.name for f in fields]
+        none = (None,) * len(names)
+        for batch in batches:
+            for b in pieces(batch):
+                rows = [_facts(p, t, names)[1:] if kind == "php" else none for p, t, kind in zip(b["path"].to_pylist(), b["text"].to_pylist(), b["language_id"].to_pylist(), strict=True)]
+                new = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), fields, strict=True)]
+                yield pa.RecordBatch.from_arrays([b[c].cast(schema.field(c).type) for c in kept] + new, schema=schema)
 
     return run
 
 
-def extended(files: DataFrame) -> DataFrame:
-    """Every file with its facts (null for languages without), as :func:`with_facts` gives them, in one pass: no text is shuffled."""
-    kind = T.StructType([*files.schema.fields, *of(FACTS).fields[1:]])
-    return files.mapInArrow(_extend(to_arrow_schema(kind), len(files.columns)), kind)
+def extract(files: DataFrame, names: Iterable[str] | None = None) -> DataFrame:
+    """The facts of the PHP files among ``files``: all, or those of ``names``, for which nothing else is computed."""
+    return extended(files.where("language_id = 'php'").select("path", "language_id", "text"), names, ["path"])
+
+
+def extended(files: DataFrame, names: Iterable[str] | None = None, kept: list[str] | None = None) -> DataFrame:
+    """Every file with its facts (null for languages without), as :func:`with_facts` gives them, in one pass: no text is shuffled.
+
+    ``names`` are the facts to compute, in the order of the schema, and ``kept`` the columns of ``files`` to keep; else all.
+    """
+    kept = files.columns if kept is None else kept
+    kind = T.StructType([*[files.schema[c] for c in kept], *_kind(names)])
+    return files.mapInArrow(_extend(to_arrow_schema(kind), kept), kind)
 
 
 def fingerprint() -> F.Column:

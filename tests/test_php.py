@@ -2,7 +2,7 @@
 
 import pytest
 
-from gritsieve.functions.php_facts import Facts, normalized_number
+from gritsieve.functions.php_facts import NAMES, Facts, normalized_number
 from gritsieve.functions.php_lexer import PhpSyntaxError, comments, tokens
 from gritsieve.functions.php_parser import find, parse
 
@@ -103,3 +103,53 @@ def test_broken_source_keeps_comments():
     row = f.row()
     assert row[1] == [("// note", 2)] and row[2] == [] and row[4][3]
     assert find(f.statements, "Function") == []
+
+
+SOURCE = "/** @param int $a */\nfunction f($a) { try { g(37); } catch (E $e) { return (string) $e; } }\nclass T { function testA() { $m = $this->createMock(A::class); } }"
+
+
+def test_batches_are_parsed_in_bounded_pieces(spark):
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    from gritsieve.operators import facts as stage
+    from gritsieve.schema import FACTS, of
+
+    texts = ["<?php\n" + SOURCE] * 600 + ["<?php /*" + "x" * (3 << 20) + "*/ echo 1;"] * 3 + [None, ""]
+    batch = pa.RecordBatch.from_pydict({"path": [f"tests/{i}.php" for i in range(len(texts))], "language_id": ["php"] * len(texts), "text": texts})
+    parts = list(stage.pieces(batch))
+    assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch]))
+    assert all(0 < p.num_rows <= stage.PIECE_ROWS for p in parts) and all(p.num_rows == 1 or sum(len(t or "") for t in p["text"].to_pylist()) <= stage.PIECE_BYTES for p in parts)
+    made = list(stage._extend(to_arrow_schema(of(FACTS)), ["path"])(iter([batch])))
+    assert max(m.num_rows for m in made) <= stage.PIECE_ROWS and [p for m in made for p in m["path"].to_pylist()] == batch["path"].to_pylist()
+
+
+def test_only_the_facts_asked_for_are_computed():
+    f = Facts("tests/a.php", "<?php\n" + SOURCE)
+    every = dict(zip(NAMES, f.row()[1:], strict=True))
+    for name in NAMES:
+        g = Facts("tests/a.php", "<?php\n" + SOURCE)
+        for other in set(NAMES) - {name, "comments"}:
+            setattr(g, other, None)  # a call would fail
+        assert g.row([name]) == ("tests/a.php", every[name])
+
+
+def test_a_released_source_goes_without_the_collector():
+    import gc
+    import weakref
+
+    gc.disable()
+    try:
+        f = Facts("tests/a.php", "<?php\n" + SOURCE)
+        f.row()
+        f.release()
+        gone = weakref.ref(f)
+        node = f.statements[0].name  # outlives its tree
+        del f
+        assert gone() is None and node.parent is None
+    finally:
+        gc.enable()
+
+
+def test_bodies_with_markup_are_printed():
+    assert [r[3] for r in facts("function f() { ?> it's <b><?php echo 1; }").functions()] == ["it's <b> echo 1;"]
